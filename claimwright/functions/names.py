@@ -8,13 +8,14 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimwright.plans.registry import CONTRACT_SUFFIXES, STRIP_TOKENS
 
 _PUNCTUATION = r"[\s　_,.\-・()（）]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition, in Arrow batches; Spark SQL has no function for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimwright.plans.registry import CHUNK_CHARS, PAYLOAD
 
@@ -107,7 +109,7 @@ def loads_loose(raw: str | None) -> object:
     return []
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_loose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: json.dumps(loads_loose(x), ensure_ascii=False))
 
@@ -120,14 +122,23 @@ def parse_payload(raw: Column | str) -> Column:
     needed = {"entities": ("proposed_type", "canonical_name"), "relations": ("proposed_junction", "from", "to"), "weak_relations": ("subject", "predicate", "object")}
     parts = []
     for name, keys in needed.items():
-        item = PAYLOAD[name].dataType.elementType
-        parsed = F.transform(F.coalesce(named[name], F.array().cast("array<string>")), lambda x, item=item: F.from_json(x, item.simpleString()))
+        parsed = F.transform(F.coalesce(named[name], F.array().cast("array<string>")), _reader(PAYLOAD[name]))
 
-        def usable(x: Column, keys: tuple[str, ...] = keys) -> Column:
-            ok = x.isNotNull()
-            for key in keys:
-                ok = ok & x[key].isNotNull()
-            return ok
-
-        parts.append(F.filter(parsed, usable).alias(name))
+        parts.append(F.filter(parsed, _usable(keys)).alias(name))
     return F.struct(*parts)
+
+
+def _reader(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.from_json(x, kind)
+
+
+def _usable(keys: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Whether an item was read and has all of its needed fields."""
+
+    def usable(x: Column) -> Column:
+        ok = x.isNotNull()
+        for key in keys:
+            ok = ok & x[key].isNotNull()
+        return ok
+
+    return usable

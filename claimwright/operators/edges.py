@@ -86,22 +86,35 @@ def variant_losers(edges: list[tuple[int, int, int, float]]) -> dict[int, int]:
 def variant_direction(edges: DataFrame) -> DataFrame:
     """(document_id, idx, kept, winner_idx) of (document_id, idx, parent_id, variant_id, confidence).
 
-    Resolution is sequential over a document's conflicting nodes, so documents are
-    grouped; a document's edges are few.
+    Resolution is sequential over a document's conflicting nodes; documents stream
+    through in order, so a task holds one document's edges at a time.
     """
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        beaten = variant_losers(list(zip(pdf["idx"], pdf["parent_id"], pdf["variant_id"], pdf["confidence"], strict=True)))
-        out = pdf[["document_id", "idx"]].copy()
-        out["kept"] = [i not in beaten for i in pdf["idx"]]
-        out["winner_idx"] = pd.array([beaten.get(i) for i in pdf["idx"]], dtype="Int64")
-        return out
+    def decided(document: int, rows: list[tuple]) -> list[tuple]:
+        beaten = variant_losers(rows)
+        return [(document, e[0], e[0] not in beaten, beaten.get(e[0])) for e in rows]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for document, *edge in batch.itertuples(index=False, name=None):
+                if document != held:
+                    out += decided(held, rows)
+                    held, rows = document, []
+                rows.append(tuple(edge))
+            yield frame(out)
+        yield frame(decided(held, rows))
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["document_id", "idx", "kept", "winner_idx"]).astype({"winner_idx": "Int64"})
 
     # only documents with a node on both sides need the sequential rule
     nodes = edges.select("document_id", F.col("parent_id").alias("node"), F.lit(1).alias("p"), F.lit(0).alias("v"))
     nodes = nodes.union(edges.select("document_id", "variant_id", F.lit(0), F.lit(1)))
     fought = nodes.groupBy("document_id", "node").agg(F.max("p").alias("p"), F.max("v").alias("v")).filter("p = 1 AND v = 1").select("document_id").distinct()
-    hard = edges.join(fought, "document_id", "left_semi").groupBy("document_id").applyInPandas(work, "document_id long, idx long, kept boolean, winner_idx long")
+    hard = edges.select("document_id", "idx", "parent_id", "variant_id", "confidence").join(fought, "document_id", "left_semi")
+    hard = hard.repartition("document_id").sortWithinPartitions("document_id", "idx").mapInPandas(work, "document_id long, idx long, kept boolean, winner_idx long")
     easy = edges.join(fought, "document_id", "left_anti").select("document_id", "idx", F.lit(True).alias("kept"), F.lit(None).cast("long").alias("winner_idx"))
     return hard.union(easy)
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import types as T
-
 # Fixed values -----------------------------------------------------------------------
 
 ENTITY_COLUMNS = {
@@ -78,22 +76,31 @@ SQL_LIMIT, LIST_LIMIT, WEAK_LIMIT, FTS_TOP, PROVENANCE_TOP, PROVENANCE_STRINGS =
 
 # ------------------------------------------------------------------------------------
 
-CLAIMS = T.StructType.fromDDL(
-    "entity_table string, entity_id bigint, column_name string, value string, document_id bigint, evidence string, confidence double, seq bigint"
-)
-EXISTENCE = T.StructType.fromDDL("junction string, edge_id bigint, document_id bigint, evidence string, confidence double, seq bigint")
-DOCUMENTS = T.StructType.fromDDL("id bigint, slug string, title string, path string, body string, ingested_at timestamp")
-WEAK = T.StructType.fromDDL(
-    "subject_table string, subject_id bigint, predicate string, object_table string, object_id bigint, object_text string, "
-    "document_id bigint, evidence string, confidence double, promoted_to string"
-)
+CLAIMS = {
+    "entity_table": "string", "entity_id": "bigint", "column_name": "string", "value": "string",
+    "document_id": "bigint", "evidence": "string", "confidence": "double", "seq": "bigint",
+}
+EXISTENCE = {"junction": "string", "edge_id": "bigint", "document_id": "bigint", "evidence": "string", "confidence": "double", "seq": "bigint"}
+DOCUMENTS = {"id": "bigint", "slug": "string", "title": "string", "path": "string", "body": "string", "ingested_at": "timestamp"}
+WEAK = {
+    "subject_table": "string", "subject_id": "bigint", "predicate": "string", "object_table": "string", "object_id": "bigint", "object_text": "string",
+    "document_id": "bigint", "evidence": "string", "confidence": "double", "promoted_to": "string",
+}
 _SPEC = "struct<table: string, extends_from: string, additional_columns: array<struct<name: string, type: string, example: string>>, rationale: string>"
-PAYLOAD = T.StructType.fromDDL(
-    "entities array<struct<proposed_type: string, canonical_name: string, mention_surface: string, attributes: map<string, string>, "
-    f"confidence: double, evidence: string, new_table_proposal: {_SPEC}, existing_matches: array<struct<table: string, name: string, rationale: string>>>>, "
-    "relations array<struct<proposed_junction: string, `from`: string, `to`: string, attributes: map<string, string>, evidence: string, confidence: double>>, "
-    "weak_relations array<struct<subject: string, predicate: string, `object`: string, evidence: string, confidence: double>>"
-)
+#: Section -> the type of its items, in an extraction payload.
+PAYLOAD = {
+    "entities": (
+        "struct<proposed_type: string, canonical_name: string, mention_surface: string, attributes: map<string, string>, confidence: double, evidence: string, "
+        f"new_table_proposal: {_SPEC}, existing_matches: array<struct<table: string, name: string, rationale: string>>>"
+    ),
+    "relations": "struct<proposed_junction: string, `from`: string, `to`: string, attributes: map<string, string>, evidence: string, confidence: double>",
+    "weak_relations": "struct<subject: string, predicate: string, `object`: string, evidence: string, confidence: double>",
+}
+
+
+def ddl(columns: dict[str, str]) -> str:
+    """A column list as Spark reads schemas."""
+    return ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
 
 
 @dataclass(frozen=True)
@@ -106,8 +113,8 @@ class Registry:
 
     def tables(self) -> dict[str, dict[str, str]]:
         """Every table with its columns: entities, aliases, claims, edges and the shared tables."""
-        out: dict[str, dict[str, str]] = {"documents": _columns(DOCUMENTS)}
-        claim = {k: v for k, v in _columns(CLAIMS).items() if k not in ("entity_table", "entity_id")} | {"status": "string", "conflict_group": "bigint"}
+        out: dict[str, dict[str, str]] = {"documents": DOCUMENTS}
+        claim = {k: v for k, v in CLAIMS.items() if k not in ("entity_table", "entity_id")} | {"status": "string", "conflict_group": "bigint"}
         for name, columns in self.entities.items():
             out[name] = {"id": "bigint", "norm_key": "string", **columns}
             out[f"{name}_aliases"] = {f"{name}_id": "bigint", "alias": "string", "norm_key": "string"}
@@ -119,7 +126,7 @@ class Registry:
             out[f"{name}_existence_claims"] = {f"{name}_id": "bigint", "document_id": "bigint", "evidence": "string", "confidence": "double", "status": "string"}
             if attributes:
                 out[f"{name}_claims"] = {f"{name}_id": "bigint", **claim}
-        out["weak_relations"] = _columns(WEAK)
+        out["weak_relations"] = WEAK
         out["entity_mentions"] = {"document_id": "bigint", "entity_table": "string", "entity_id": "bigint", "surface_form": "string"}
         return out | self.extra
 
@@ -139,9 +146,5 @@ class Registry:
         return replace(self, extra=self.extra | {table: swap(self.tables()[table])}, version=self.version + 1)
 
 
-def _columns(schema: T.StructType) -> dict[str, str]:
-    return {f.name: f.dataType.simpleString() for f in schema.fields}
-
-
 #: Tables always in the schema text, in order.
 CORE_TABLES = ("documents", *ENTITY_COLUMNS, *JUNCTIONS)

@@ -119,7 +119,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     heads = np.concatenate([[0], np.cumsum(counts)])
     n = len(words.hash)
     rolled = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(min(k, n)):
         rolled[: n - j] = (rolled[: n - j] + words.hash[j:]) * np.uint64(_P)
     left = heads[words.doc + 1] - np.arange(n)
     keep = left >= k

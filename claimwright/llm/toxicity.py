@@ -1,9 +1,9 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Document labels are brought down to tokens: a word, or a prefix of one, that occurs in
-significantly more contexts of toxic documents than of clean ones marks its tokens in
-toxic documents.  A context is the word before, so copies of one document count once.  A
-two-state chain over the tokens is trained on these by maximum likelihood.  Forward-
+significantly more toxic documents than clean ones marks its tokens in toxic documents.
+A document counts by the least hash of the words before the feature, so near copies of
+one document count once.  A two-state chain over the tokens is trained on these by maximum likelihood.  Forward-
 backward marginals give the toxic spans; their sum, calibrated on document labels, gives
 the score.
 
@@ -29,8 +29,8 @@ from claimwright.llm.textbytes import Words, mix, slices, text_buffer
 MOST_LABELLED = {1: 2048, 0: 8192}
 #: Prefix lengths in bytes that are features besides the whole word.
 PREFIXES = (4, 5, 6)
-#: Deviance that a feature needs, its least share of toxic contexts, and the most features.
-DEVIANCE, PRECISION, MOST_FEATURES = 14.0, 0.8, 8192
+#: Deviance that a feature needs, its least share of toxic documents, and the most features.
+DEVIANCE, PRECISION, MOST_FEATURES = 12.0, 0.8, 8192
 #: Tokens on each side of a marked one in a training window, and windows used.
 AROUND, MOST_WINDOWS = 4, 8192
 STEPS, RATE, RIDGE = 120, 0.15, 1e-3
@@ -60,12 +60,15 @@ def _contexts(sample: DataFrame) -> DataFrame:
                     continue
                 left = np.concatenate([[np.uint64(0)], words.hash[:-1]])
                 left[np.concatenate([[True], words.doc[1:] != words.doc[:-1]])] = 0
-                feature = token_features(words)
-                rows = np.stack([feature.reshape(-1), np.repeat(left, feature.shape[1]), np.repeat(labels[start:stop][words.doc].astype(np.uint64), feature.shape[1])])
-                rows = rows[:, rows[0] != 0]
-                key = mix(rows[0] + mix(rows[1] ^ (rows[2] << np.uint64(63))))
-                rows = rows[:, np.unique(key, return_index=True)[1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2])], names=["feature", "before", "toxic"])
+                feature = token_features(words).reshape(-1)
+                before, doc = (np.repeat(x, 1 + len(PREFIXES)) for x in (mix(left), words.doc))
+                some = feature != 0
+                feature, before, doc = feature[some], before[some], doc[some]
+                owner = mix(feature + mix(doc.astype(np.uint64)))
+                order = np.lexsort((before, owner))
+                order = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+                toxic = labels[start:stop][doc[order]].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(feature[order].view(np.int64)), pa.array(before[order].view(np.int64)), pa.array(toxic)], names=["feature", "before", "toxic"])
 
     return sample.mapInArrow(emit, "feature long, before long, toxic long")
 

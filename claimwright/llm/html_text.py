@@ -166,55 +166,85 @@ def _line_hash(text: str) -> int:
     return (zlib.crc32(data) << 31) ^ zlib.adler32(data) ^ len(data)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of `pages`; html is read whole.
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, len(batch), 128):
+            part = batch.slice(first, 128)
+            hashes = [[_line_hash(text) for text, _ in lines_of(h)] if h else [] for h in part.column("html").to_pylist()]
+            names = ["row", "page_id", "host", "path"]
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, "lines"])
 
-    pages: page_id, url, html; other columns are ignored.  Null or empty html gives an
-    empty text.  A page without a host, or alone on it, has no partner and loses only
-    chrome.  Rows that share page_id are never partners of each other; equal rows are
-    each answered alike.  An empty table gives an empty result.
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each page, compressed for their way to its alignment."""
+    for batch in batches:
+        for first in range(0, len(batch), 128):
+            part = batch.slice(first, 128)
+            parsed = [lines_of(h) if h else [] for h in part.column("html").to_pylist()]
+            packed = [zlib.compress("\n".join(f"{zone}{text}" for text, zone in lines).encode("utf-8", "surrogatepass"), 6) for lines in parsed]
+            names = ["row", "page_id", "url"]
+            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(packed, pa.binary())], names=[*names, "packed"])
+
+
+def _shared_with_nearest(page: dict, before: dict | None, after: dict | None) -> list[int]:
+    fit = [x for x in (before, after) if x and page["host"] and x["host"] == page["host"] and x["page_id"] != page["page_id"]]
+    best = max(fit, key=lambda x: _common_prefix(x["path"], page["path"]), default=None)
+    return shared_lines(page["lines"], best["lines"]) if best else []
+
+
+def _aligned(pages: DataFrame) -> DataFrame:
+    """(row, shared): the places of each page's lines that it shares with its partner.
+
+    Pages are sorted by (host, path, page_id) in ranges.  Neighbours within a range are
+    aligned as the range streams by; the first and last page of a range meet theirs
+    through a join of the ranges' ends by place in the whole order.
     """
-    named = pages.select("page_id", "url", host_of().alias("host"), path_of().alias("path"), "html")
+    order = ["host", "path", "page_id", "row"]
+    sorted_ = cut(pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for row in range(0, len(batch), 128):
-                part = batch.slice(row, 128)
-                parsed = [lines_of(h) if h else [] for h in part.column("html").to_pylist()]
-                packed = [zlib.compress("\n".join(f"{zone}{text}" for text, zone in lines).encode("utf-8", "surrogatepass"), 6) for lines in parsed]
-                hashes = [[_line_hash(text) for text, _ in lines] for lines in parsed]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x) for x in ("page_id", "url", "host", "path")), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                    names=["page_id", "url", "host", "path", "lines", "packed"],
-                )
+            for first in range(0, len(batch), 256):
+                held += batch.slice(first, 256).to_pylist()
+                inner = range(1, len(held) - 1)
+                found = [_shared_with_nearest(held[k], held[k - 1], held[k + 1]) for k in inner]
+                yield pa.RecordBatch.from_arrays([pa.array([held[k]["row"] for k in inner], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["row", "shared"])
+                held = held[-2:]
 
-    parsed = named.mapInArrow(parse, "page_id long, url string, host string, path string, lines array<long>, packed binary")
-    parsed = cut(parsed.withColumn("row", F.xxhash64("page_id", "url", "lines")))
-    # every page gets its place in the order of (host, path, page_id): ranges sorted apart, then counted up
-    keys = parsed.select("row", "page_id", "host", "path", "lines").dropDuplicates(["row"])
-    parts = max(1, parsed.rdd.getNumPartitions())
-    ordered = keys.repartitionByRange(parts, "host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
-    ordered = cut(ordered.withColumn("id", F.monotonically_increasing_id()))
-    ordered = ordered.withColumn("part", F.shiftrightunsigned("id", 33).cast("int")).withColumn("seq", F.col("id").bitwiseAND((1 << 33) - 1))
-    counts = sorted((r[0], r[1]) for r in ordered.groupBy("part").count().collect())
+    inside = sorted_.drop("id").mapInArrow(stream, "row long, shared array<int>")
+    placed = sorted_.withColumn("part", F.shiftrightunsigned("id", 33).cast("int")).withColumn("seq", F.col("id").bitwiseAND((1 << 33) - 1))
+    counts = sorted((r[0], r[1]) for r in placed.groupBy("part").count().collect())
     starts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
-    offsets = ordered.sparkSession.createDataFrame([(p, int(s)) for (p, _), s in zip(counts, starts, strict=False)], "part int, start long")
-    ranked = ordered.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("seq")).alias("rank"), "row", "page_id", "host", "path", "lines")
-    side = lambda name, step: ranked.select((F.col("rank") + step).alias("rank"), F.struct("page_id", "host", "path", "lines").alias(name))
-    around = ranked.join(side("before", 1), "rank", "left").join(side("after", -1), "rank", "left").drop("rank")
+    ranges = [(part, int(start), n) for (part, n), start in zip(counts, starts, strict=False)]
+    offsets = pages.sparkSession.createDataFrame(ranges, "part int, start long, n long")
+    ends = placed.join(F.broadcast(offsets), "part").filter("seq <= 1 OR seq >= n - 2").withColumn("rank", F.col("start") + F.col("seq"))
+    side = lambda name, step: ends.select((F.col("rank") + step).alias("rank"), F.struct("page_id", "host", "path", "lines").alias(name))
+    edges = ends.filter("seq = 0 OR seq = n - 1").join(side("before", 1), "rank", "left").join(side("after", -1), "rank", "left")
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                rows = batch.slice(first, 256).to_pylist()
-                found = []
-                for r in rows:
-                    fit = [x for x in (r["before"], r["after"]) if x and r["host"] and x["host"] == r["host"] and x["page_id"] != r["page_id"]]
-                    best = max(fit, key=lambda x: _common_prefix(x["path"], r["path"]), default=None)
-                    found.append(shared_lines(r["lines"], best["lines"]) if best else [])
-                yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["row", "shared"])
+            rows = batch.to_pylist()
+            found = [_shared_with_nearest(r, r["before"], r["after"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["row", "shared"])
 
-    shared = around.mapInArrow(align, "row long, shared array<int>")
+    at_ends = edges.select("row", "page_id", "host", "path", "lines", "before", "after").mapInArrow(meet, "row long, shared array<int>")
+    return inside.union(at_ends)
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for every row of `pages`; html is read whole.
+
+    pages: page_id, url, html; other columns are ignored.  Null or empty html gives an
+    empty text.  A page without a host, or alone on it, has no partner and loses only
+    chrome.  Rows that share page_id are never partners of each other; equal rows are
+    each answered alike.  An empty table gives an empty result.
+    """
+    named = pages.select("page_id", "url", host_of().alias("host"), path_of().alias("path"), "html")
+    named = named.withColumn("row", F.xxhash64("page_id", "url", "html"))
+    hashed = named.mapInArrow(_hashed, "row long, page_id long, host string, path string, lines array<long>")
+    shared = _aligned(hashed.dropDuplicates(["row"]))
+    packed = named.mapInArrow(_packed, "row long, page_id long, url string, packed binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,5 +260,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     names=["page_id", "url", "text", "n_chars"],
                 )
 
-    joined = parsed.select("row", "page_id", "url", "packed").join(shared, "row", "left")
-    return joined.mapInArrow(finish, "page_id long, url string, text string, n_chars long")
+    return packed.join(shared, "row", "left").mapInArrow(finish, "page_id long, url string, text string, n_chars long")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwright.functions.names import cosine, jaccard, norm_key, trigrams
+from claimwright.operators.search import against_queries
 from claimwright.plans.registry import CANDIDATE_COSINE, CANDIDATE_TOP, CANDIDATE_TOP_ACROSS, CANDIDATE_TRIGRAM
 
 
@@ -85,9 +86,8 @@ def candidates(
     near = similarity_join(q, e, least)
     met = q.join(near, "l").join(e.select("r", "entity_table", "entity_id"), "r").select("query_id", "entity_table", "entity_id", (F.col("l") == F.col("r")).alias("norm_match"), "score")
     if vectors:
-        # queries are few beside entities; each is scored against all of them
-        by_vector = e.select("entity_table", "entity_id", "embedding").join(F.broadcast(q.select("query_id", F.col("embedding").alias("qv"))), how="cross")
-        by_vector = by_vector.withColumn("score", cosine("embedding", "qv")).filter(F.col("score") >= least_cosine)
+        near_by = lambda both: both.withColumn("score", cosine("embedding", "qv")).filter(F.col("score") >= least_cosine)
+        by_vector = against_queries(q.select("query_id", F.col("embedding").alias("qv")), "query_id", e.select("entity_table", "entity_id", "embedding"), near_by)
         met = met.unionByName(by_vector.select("query_id", "entity_table", "entity_id", F.lit(False).alias("norm_match"), "score"))
     best = met.groupBy("query_id", "entity_table", "entity_id").agg(F.max("norm_match").alias("norm_match"), F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "entity_table").orderBy(F.desc("norm_match"), F.desc("score"), "entity_id"))

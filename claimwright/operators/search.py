@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,24 @@ from claimwright.functions.text import snippet, terms
 from claimwright.plans.registry import FTS_TOP, HINT_CHARS, HINT_COSINE, HINT_TOP, HINT_TRIGRAM, PROVENANCE_STRINGS, PROVENANCE_TOP
 
 
+#: Query rows broadcast at once; more are scored block by block.
+QUERIES_PER_BLOCK = 4096
+
+
+def against_queries(queries: DataFrame, key: str, items: DataFrame, score: Callable[[DataFrame], DataFrame], most: int = QUERIES_PER_BLOCK) -> DataFrame:
+    """`score` of every (item, query) row, with the queries broadcast in blocks of a checked size.
+
+    The queries are a stated set held against all items; `score` filters or reduces the
+    met rows.  Items are scanned once per block and never multiplied through a shuffle.
+    """
+    blocks = max(1, -(-queries.count() // most))
+    parts = []
+    for block in range(blocks):
+        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
+        parts.append(score(items.join(F.broadcast(mine), how="cross")))
+    return reduce(DataFrame.union, parts)
+
+
 def inverted_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, term, pos): built from the texts anew rather than kept in step by triggers."""
     return documents.select(id_column, F.posexplode(terms(text_column)).alias("pos", "term"))
@@ -38,16 +59,15 @@ def bm25(index: DataFrame, question: DataFrame, top: int = FTS_TOP, id_column: s
 
 
 def cosine_top(queries: DataFrame, items: DataFrame, top: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
-    """Per query the `top` items by cosine, equal scores by item id; exact, every item is scored.
+    """Per query the `top` items by cosine, equal scores by item id; exact, every item is scored."""
 
-    The queries are a stated set that is checked to be small and broadcast; items are
-    scanned once in blocks and never multiplied through a shuffle.
-    """
-    q = F.broadcast(queries.select(query_id, F.col(vector).alias("_q")))
-    scored = items.select(item_id, vector).join(q, how="cross").withColumn("score", cosine(vector, "_q"))
-    scored = scored.filter(F.col("score") >= least) if least is not None else scored
+    def score(met: DataFrame) -> DataFrame:
+        found = met.withColumn("score", cosine(vector, "_q")).select(query_id, item_id, "score")
+        return found.filter(F.col("score") >= least) if least is not None else found
+
+    scored = against_queries(queries.select(query_id, F.col(vector).alias("_q")), query_id, items.select(item_id, vector), score)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
-    return scored.select(query_id, item_id, "score").withColumn("rank", rank).filter(F.col("rank") <= top)
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def top_or_head(query_vector: list[float] | None, items: DataFrame, top: int, order: str, vector: str = "embedding") -> DataFrame:
@@ -65,13 +85,14 @@ def column_hints(questions: DataFrame, values: DataFrame, top: int = HINT_TOP, v
     (and v_vec).  Score is the greatest of containment (1.0), trigram Jaccard and cosine;
     a value is kept if contained or if a measure reaches its threshold.
     """
-    met = values.filter("v_key <> ''").join(F.broadcast(questions), how="cross")
-    contained = F.contains("q_key", "v_key")
-    tri = jaccard(trigrams("q_key"), trigrams("v_key"))
-    vec = cosine("q_vec", "v_vec") if vectors else F.lit(0.0)
-    met = met.withColumn("_c", contained).withColumn("_t", tri).withColumn("_v", vec)
-    kept = met.filter(F.col("_c") | (F.col("_t") >= HINT_TRIGRAM) | (F.col("_v") >= HINT_COSINE))
-    kept = kept.withColumn("score", F.greatest(F.col("_c").cast("double"), "_t", "_v"))
+
+    def score(met: DataFrame) -> DataFrame:
+        vec = cosine("q_vec", "v_vec") if vectors else F.lit(0.0)
+        met = met.withColumn("_c", F.contains("q_key", "v_key")).withColumn("_t", jaccard(trigrams("q_key"), trigrams("v_key"))).withColumn("_v", vec)
+        kept = met.filter(F.col("_c") | (F.col("_t") >= HINT_TRIGRAM) | (F.col("_v") >= HINT_COSINE))
+        return kept.select("question_id", "source", "value", F.greatest(F.col("_c").cast("double"), "_t", "_v").alias("score"))
+
+    kept = against_queries(questions, "question_id", values.filter("v_key <> ''"), score)
     best = kept.groupBy("question_id", "source", "value").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("question_id", "source").orderBy(F.desc("score"), "value"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top)

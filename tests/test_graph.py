@@ -129,6 +129,10 @@ def test_search(spark):
     assert [r.item_id for r in search.top_or_head(None, items, 2, "pos").collect()] == ["a", "b"]
     q = df(spark, [(9, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [r.item_id for r in search.cosine_top(q, items, 2).orderBy("rank").collect()] == ["b", "c"]
+    many = df(spark, [(k, [1.0, k / 10]) for k in range(20)], "query_id long, embedding array<float>")
+    pairs = lambda met: met.select("query_id", "item_id")
+    met = search.against_queries(many.select("query_id"), "query_id", items, pairs, most=3)
+    assert met.count() == 60 and met.distinct().count() == 60
 
 
 def test_hints_and_provenance(spark):

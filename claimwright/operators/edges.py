@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwright.plans.registry import JUNCTIONS
+from claimwright.sources.lineage import cut
 
 
 def first_wins(edges: DataFrame, child: str, parent: str, order: str = "seq") -> DataFrame:
@@ -130,7 +131,7 @@ def closure(edges: DataFrame, child: str = "child_id", parent: str = "parent_id"
         further = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node"))
         longer = further.select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         merged = paths.union(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        merged = merged.checkpoint() if merged.sparkSession.sparkContext.getCheckpointDir() else merged.persist()
+        merged = cut(merged)
         if merged.count() == paths.count():
             return merged
         paths, reach = merged, reach * 2

@@ -1,0 +1,20 @@
+"""Cutting long plans through the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the folder that spark.checkpoint.dir names.
+
+    All executors share that folder.  Only a session that names none (a local test) gets
+    one of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return df.checkpoint(eager=True)

@@ -8,18 +8,19 @@ probability Jaccard similarity of the two weighted sets.  Signatures are cut int
 texts that agree in a band are candidates, and every candidate pair is verified on its
 whole shingle sets.
 
-Exact copies meet first through a digest of the text.  A bucket of a band emits no
-all-pairs product unless it is small.  The members of larger buckets meet again in
-buckets of two bands joined, which texts that only share a passage leave and near copies
-don't; where these are large too, members are held against a few pivots chosen by random
-order (a map-side minimum).  Links of the first round merge classes; rounds with new
-pivots go on over the members whose classes differ until a round links nothing.
+Exact copies meet first through a digest of the text.  Small buckets of a band are compared
+pair by pair.  In larger ones members are first held against pivots chosen by random order
+(a map-side minimum), which merges the large groups of near copies.  Then every pair of
+different classes of a large bucket is either verified or excluded by a proven bound: the
+outline of a text counts its shingles in CELLS cells, and what two outlines have in common
+bounds both similarities from above.  Outlines meet block by block inside a task, so only
+the pairs that the bound leaves become rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +34,16 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS_PER_BAND = 4
-#: Buckets of at most so many texts are compared pair by pair, larger ones through pivots.
+#: Buckets of at most so many texts are compared pair by pair at once, larger ones by outlines.
 SMALL_BUCKET = 10
-PIVOTS = 8
-#: So are buckets of two joined bands, whose texts are seldom unlike, up to this size.
-SMALL_JOINED_BUCKET = 40
-#: The first comparison with pivots takes only so many of the joined bands; it merges
-#: large groups of near copies, whose members then meet in no other bucket.
-FIRST_JOINED = 6
-#: Each band of a text in a large bucket is joined with so many following ones.
-JOINED_BANDS = 4
+#: Pivots of the second comparison in large buckets; the first takes one.
+PIVOTS = 4
+#: Cells of an outline, and members of a large bucket in a block of outlines.
+CELLS, BLOCK = 256, 1024
+#: Pairs that the bound leaves are verified so many a text first, as links make others needless; then all.
+FIRST_LEFT = (1, 8, None)
+#: Rounding that the bound allows for.
+ROUNDING = 1e-4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -157,6 +158,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_word
     return joined.mapInArrow(check, "a long, b long")
 
 
+def _settled(df: DataFrame, schema: str) -> DataFrame:
+    """`df` cut, without the constraints that the optimizer inferred, which otherwise multiply round by round."""
+    return cut(df.mapInArrow(lambda batches: batches, schema))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that each linked node reaches, by label spreading and pointer jumps."""
     edges = cut(links.union(links.select("b", "a")).toDF("src", "dst").distinct())
@@ -165,7 +171,8 @@ def components(links: DataFrame) -> DataFrame:
         heard = edges.join(labels, edges.src == labels.node).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
         spread = labels.join(heard, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("label"))
         head = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = cut(spread.join(head, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")))
+        jumped = spread.join(head, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label"))
+        jumped = _settled(jumped, "node long, was long, label long")
         changed = jumped.filter("label <> was").limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:
@@ -186,17 +193,109 @@ def _pivot_pairs(large: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
+def _outlines(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, outline): per cell the distinct shingles of a text and their counts, compressed."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 1024):
+                rows = batch.slice(first, 1024)
+                offsets, data = text_buffer(rows.column("text"))
+                packed = []
+                for start, stop in slices(offsets):
+                    part = offsets[start : stop + 1]
+                    doc, element, weight = weighted_shingles(Words(part - part[0], data[part[0] : part[-1]]), shingle_words)
+                    cell = doc * CELLS + (element % np.uint64(CELLS)).astype(np.int64)
+                    counts = [np.bincount(cell, w, (stop - start) * CELLS).reshape(-1, CELLS) for w in (None, weight)]
+                    packed += [zlib.compress(x.tobytes(), 1) for x in np.stack(counts, axis=1).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(packed, pa.binary())], names=["node", "outline"])
+
+    return texts.select("node", "text").mapInArrow(draw, "node long, outline binary")
+
+
+def _left_by_bound(node: np.ndarray, label: np.ndarray, side: np.ndarray, outlines: list[bytes], similarity: float) -> tuple:
+    """(a, b, bound) of the pairs of different classes, across the sides if there are two, that the bound doesn't exclude.
+
+    Sets have at most as many elements in common as their cells' smaller counts; equal
+    samples of two distributions are at most as probable as their overlap, which merging
+    elements to cells only raises.
+    """
+    counts = np.stack([np.frombuffer(zlib.decompress(x), np.int32).reshape(2, CELLS) for x in outlines])
+    total, across, places, found = counts[:, 1].sum(axis=1, keepdims=True), side.min() != side.max(), np.arange(len(node)), []
+    size, highest = counts[:, 0].sum(axis=1), counts[:, 1].max(axis=1) / total[:, 0]
+    # the cheap bounds first: of sizes and highest shares, of cells merged by eights, of cells
+    folded = [counts.reshape(len(node), 2, -1, CELLS // 8).sum(axis=2), counts]
+    levels = [(x[:, 0].astype(np.int32), (x[:, 1] / total).astype(np.float32)) for x in folded]
+    least = similarity - ROUNDING
+    for x in range(len(node)):
+        bound = np.maximum(np.minimum(size, size[x]) / np.maximum(size, size[x]), np.minimum(size * highest[x], size[x] * highest))
+        y = np.flatnonzero((label != label[x]) & (places > x) & ((side != side[x]) | (not across)) & (bound >= least))
+        for distinct, share in levels:
+            if len(y):
+                common = np.minimum(distinct[y], distinct[x]).sum(axis=1)
+                bound = np.maximum(common / (size[y] + size[x] - common), np.minimum(share[y], share[x]).sum(axis=1))
+                y, bound = y[bound >= least], bound[bound >= least]
+        if len(y):
+            found.append((np.minimum(node[y], node[x]), np.maximum(node[y], node[x]), bound))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (node[:0], node[:0], np.zeros(0))
+
+
+def _rest_pairs(large: DataFrame, outlines: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, bound): all pairs of different classes in the buckets (node, key, label) that their outlines don't exclude.
+
+    A bucket is dealt in blocks and each two blocks of it meet in one task.
+    """
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("l"), F.max("label").alias("h"))
+    members = large.join(sizes.filter("l <> h").select("key", "blocks"), "key")
+    members = members.withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.join(outlines, "node").select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "label", "side", "outline")
+    shape = ["key", "i", "j"]
+
+    def meet(rows: list[tuple]) -> pa.RecordBatch:
+        node, label, side = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        if rows[0][1] != rows[0][2] and side.min() == side.max():
+            node, label, side, rows = node[:0], label[:0], side[:0], []
+        left = _left_by_bound(node, label, side, [r[6] for r in rows], similarity) if rows else (node, node, np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in left], names=["a", "b", "bound"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield meet(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield meet(held)
+
+    # few bytes make much work here, so the number of partitions is not left to their size
+    partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(partitions, *shape).sortWithinPartitions(*shape)
+    return dealt.mapInArrow(stream, "a long, b long, bound double").groupBy("a", "b").agg(F.max("bound").alias("bound"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after further links join classes: components of the classes, then of their members."""
+    ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
+    classes = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(classes).select(F.col("node").alias("label"), F.col("label").alias("merged"))
+    every = labels.select("node", "label").union(merged.select(F.col("label").alias("node"), "label")).distinct()
+    return _settled(every.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "node long, label long")
+
+
 def _buckets(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one, with their number n."""
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return cut(members.join(shared, "key").select(*members.columns, "n"))
 
 
-def _small_pairs(buckets: DataFrame, most: int = SMALL_BUCKET) -> DataFrame:
-    """All pairs of different classes within the small buckets of (node, key, label, n)."""
-    small = buckets.filter(F.col("n") <= most)
-    left, right = (small.select("key", F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    return left.join(right, "key").filter("a < b AND la <> lb").select("a", "b")
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs within the small buckets of (node, key, n)."""
+    small = buckets.filter(F.col("n") <= SMALL_BUCKET)
+    left, right = (small.select("key", F.col("node").alias(x)) for x in "ab")
+    return left.join(right, "key").filter("a < b").select("a", "b")
 
 
 def _node(doc_id: str, digest: str) -> Column:
@@ -228,39 +327,39 @@ def near_duplicate_classes(
         .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
         .select("digest", _node("least", "digest").alias("node"), "copies", "bands")
     )
-    single = _buckets(groups.select("node", F.posexplode("bands").alias("band", "key")))
+    single = _buckets(groups.select("node", F.explode("bands").alias("key")))
     candidates = groups.join(single.select("node").distinct(), "node", "left_semi").select("node", "digest")
     # of each class of copies one text is fetched: that of the least doc_id
     texts = docs.select(_node("doc_id", "digest").alias("node"), "digest", "text")
     texts = cut(texts.join(candidates, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "text"))
-    again = groups.join(single.filter(F.col("n") > SMALL_BUCKET).select("node").distinct(), "node", "left_semi").select("node", "bands")
-    band = lambda i: F.col("bands")[i % bands]
-    joined = [F.xxhash64(band(i), band(i + step), F.lit(step)) for step in range(1, JOINED_BANDS + 1) for i in range(bands)]
-    double = _buckets(again.select("node", F.posexplode(F.array(*joined)).alias("band", "key")))
-    large = double.filter(F.col("n") > SMALL_BUCKET).select("node", "band", "key")
-    alone = lambda members: members.withColumn("label", F.col("node"))
-    first = _pivot_pairs(alone(large.filter(F.col("band") < FIRST_JOINED)), 0, 1)
-    tried = pairs = cut(_small_pairs(alone(single)).union(first).distinct())
-    labels = components(cut(verified(pairs, texts, similarity, shingle_words)))
-    labelled = lambda members: members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    double = cut(labelled(double))
-    large, further = double.filter(F.col("n") > SMALL_JOINED_BUCKET), []
-    while True:
-        pairs = _pivot_pairs(large, 1 + len(further))
-        pairs = pairs if further else pairs.union(_small_pairs(double, SMALL_JOINED_BUCKET)).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        further.append(cut(verified(pairs, texts, similarity, shingle_words)))
-        if not further[-1].limit(1).count():
-            break
-        tried = tried.union(pairs)
-    if len(further) > 1:
-        # the later links join classes: components of the classes, then of their members
-        links = reduce(DataFrame.union, further)
+    large = single.filter(F.col("n") > SMALL_BUCKET).select("node", "key")
+    first = _pivot_pairs(large.withColumn("label", F.col("node")), 0, 1)
+    tried = cut(_small_pairs(single).union(first).distinct())
+    labels = components(cut(verified(tried, texts, similarity, shingle_words)))
+    labelled = lambda: large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = cut(_pivot_pairs(labelled(), 1).join(tried, ["a", "b"], "left_anti"))
+    tried = tried.union(pairs)
+    labels = _relabelled(labels, cut(verified(pairs, texts, similarity, shingle_words)))
+    # of the large buckets that still hold several classes every other pair is verified or excluded
+    mixed = cut(labelled())
+    several = mixed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
+    mixed = cut(mixed.join(several, "key", "left_semi"))
+    texts = cut(texts.join(mixed.select("node").distinct(), "node", "left_semi"))
+    rest = cut(_rest_pairs(mixed, cut(_outlines(texts, shingle_words)), similarity).join(tried, ["a", "b"], "left_anti"))
+    for most in FIRST_LEFT:
         ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
-        joined_classes = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = components(joined_classes).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-        labels = groups.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = labels.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
+        pairs = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)")
+        rest = pairs = _settled(pairs.select("a", "b", "bound"), "a long, b long, bound double")
+        if most:
+            slot = F.pmod(F.xxhash64("a", "b"), F.lit(most))
+            best = [rest.groupBy(x, slot).agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b") for x in "ab"]
+            pairs = cut(best[0].union(best[1]).distinct())
+            rest = rest.join(pairs, ["a", "b"], "left_anti")
+        if not pairs.limit(1).count():
+            break
+        links = cut(verified(pairs.select("a", "b"), texts, similarity, shingle_words))
+        if links.limit(1).count():
+            labels = _relabelled(labels, links)
     found = groups.join(labels, "node", "left").select("digest", "copies", F.coalesce("label", "node").alias("class_id"))
     return docs.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "copies")
 

@@ -96,3 +96,19 @@ def test_signatures_estimate_probability_jaccard():
     exact = sum(1 / sum(max(da.get(k, 0) / da[d], db.get(k, 0) / db[d]) for k in da.keys() | db.keys()) for d in da.keys() & db.keys())
     assert abs(minhash.jaccards((a, wa), (b, wb))[1] - exact) < 1e-9
     assert abs((sign(a, wa) == sign(b, wb)).mean() - exact) < 0.02
+
+
+def test_every_pair_of_a_crowded_bucket_is_compared(spark):
+    rng = random.Random(5)
+    passage, rows = words(rng, 40), []
+    for k in range(260):
+        own = words(rng, 7)
+        rows.append((len(rows) + 1, " ".join(passage + own)))
+        if k % 8 == 0:  # a near copy of this text among hundreds that share the passage only
+            rows.append((len(rows) + 1, " ".join(passage + own[:-1] + ["other"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # two bands of one slot each put all texts in a few crowded buckets
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, bands=2, rows=1).collect()}
+    want = brute_classes(rows)
+    assert sum(i != c for i, c in want.items()) == 33
+    assert found == want

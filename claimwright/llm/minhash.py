@@ -4,8 +4,10 @@ Texts are sets of five-word shingles weighted by their counts.  Each shingle sen
 exponential arrivals (a Poisson process whose rate is its weight) at random slots of a
 signature; a slot keeps its earliest arrival, and a shingle stops once its next arrival
 comes later than every slot's earliest.  Two signatures agree in a slot with the
-probability Jaccard similarity of the two weighted sets.  Signatures are cut into bands;
-texts that agree in a band are candidates, and every candidate pair is verified on its
+probability Jaccard similarity of the two weighted sets.  A text that repeats a shingle has
+a second signature with all weights 1, so that agreement there has the probability of plain
+Jaccard similarity; both have the same keys, as without repeats they are one.  Signatures
+are cut into bands; texts that agree in a band are candidates, and every candidate pair is verified on its
 whole shingle sets.
 
 Exact copies meet first through a digest of the text.  Small buckets of a band are compared
@@ -105,7 +107,14 @@ def jaccards(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> DataFrame:
-    """(doc_id, digest, bands): each text's digest and its band keys (none if it has no word)."""
+    """(doc_id, digest, bands): each text's digest and its distinct band keys (none if it has no word)."""
+
+    def keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
+        kept = prob_minhash(doc, element, weight, docs, bands * rows).reshape(docs, bands, rows)
+        key = np.full((docs, bands), 0, np.uint64)
+        for r in range(rows):
+            key = mix(key * _GOLD + kept[:, :, r].astype(np.uint64))
+        return mix(key + np.arange(bands, dtype=np.uint64)[None, :])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,14 +123,16 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> Da
                 part = offsets[start : stop + 1]
                 words = Words(part - part[0], data[part[0] : part[-1]])
                 doc, element, weight = weighted_shingles(words, shingle_words)
-                kept = prob_minhash(doc, element, weight, stop - start, bands * rows)
-                key = np.full((stop - start, bands), 0, np.uint64)
-                for r in range(rows):
-                    key = mix(key * _GOLD + kept.reshape(stop - start, bands, rows)[:, :, r].astype(np.uint64))
-                key = mix(key + np.arange(bands, dtype=np.uint64)[None, :])
-                counts = np.where(words.per_doc() > 0, bands, 0)
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                flat = key[words.per_doc() > 0].reshape(-1).view(np.int64)
+                key = keys(doc, element, weight, stop - start)
+                plain = key.copy()
+                repeats = np.unique(doc[weight > 1])
+                if len(repeats):
+                    on = np.isin(doc, repeats)
+                    plain[repeats] = keys(np.searchsorted(repeats, doc[on]), element[on], np.ones(int(on.sum())), len(repeats))
+                some = np.broadcast_to((words.per_doc() > 0)[:, None], key.shape)
+                used = np.concatenate([some, some & (plain != key)], axis=1)
+                ends = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)
+                flat = np.concatenate([key, plain], axis=1)[used].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, stop - start),

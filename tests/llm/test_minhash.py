@@ -112,3 +112,16 @@ def test_every_pair_of_a_crowded_bucket_is_compared(spark):
     want = brute_classes(rows)
     assert sum(i != c for i, c in want.items()) == 33
     assert found == want
+
+
+def test_texts_that_differ_in_repeats_share_a_band(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        passage, own = words(rng, 25), words(rng, 100)
+        rows += [(len(rows) + k, " ".join(passage * times + own)) for k, times in enumerate((50, 1))]
+    want = brute_classes(rows)
+    assert sorted(set(want.values())) == list(range(0, 24, 2))
+    signed = minhash.signatures(spark.createDataFrame([(i, t, "") for i, t in rows], "doc_id long, text string, digest string"), 24, 4, 5)
+    bands = {r.doc_id: set(r.bands) for r in signed.collect()}
+    assert all(bands[i] & bands[i + 1] for i in range(0, 24, 2))

@@ -2,8 +2,8 @@
 
 Document labels are brought down to tokens: a word, or a prefix of one, that occurs in
 significantly more toxic documents than clean ones marks its tokens in toxic documents.
-A document counts by the least hash of the words before the feature, so near copies of
-one document count once.  A two-state chain over the tokens is trained on these by maximum likelihood.  Forward-
+Documents are counted; those with the same least hash over all their five-word shingles
+count once, as near copies mostly have it in common.  A two-state chain over the tokens is trained on these by maximum likelihood.  Forward-
 backward marginals give the toxic spans; their sum, calibrated on document labels, gives
 the score.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from claimwright.llm.labelled import labelled_sample
 from claimwright.llm.scratch import cut
-from claimwright.llm.textbytes import Words, mix, slices, text_buffer
+from claimwright.llm.textbytes import Words, mix, shingles, slices, text_buffer
 
 #: Training documents of each label, about.
 MOST_LABELLED = {1: 2048, 0: 8192}
@@ -48,7 +48,7 @@ def token_features(words: Words) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _contexts(sample: DataFrame) -> DataFrame:
+def _occurrences(sample: DataFrame) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = text_buffer(batch.column("text"))
@@ -58,24 +58,23 @@ def _contexts(sample: DataFrame) -> DataFrame:
                 words = Words(part - part[0], data[part[0] : part[-1]])
                 if not len(words.hash):
                     continue
-                left = np.concatenate([[np.uint64(0)], words.hash[:-1]])
-                left[np.concatenate([[True], words.doc[1:] != words.doc[:-1]])] = 0
+                least = np.full(stop - start, np.iinfo(np.uint64).max, np.uint64)
+                of, value = shingles(words, 5)
+                np.minimum.at(least, of, mix(value))
                 feature = token_features(words).reshape(-1)
-                before, doc = (np.repeat(x, 1 + len(PREFIXES)) for x in (mix(left), words.doc))
+                doc = np.repeat(words.doc, 1 + len(PREFIXES))
                 some = feature != 0
-                feature, before, doc = feature[some], before[some], doc[some]
-                owner = mix(feature + mix(doc.astype(np.uint64)))
-                order = np.lexsort((before, owner))
-                order = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+                feature, doc = feature[some], doc[some]
+                order = np.unique(mix(feature + mix(doc.astype(np.uint64))), return_index=True)[1]
                 toxic = labels[start:stop][doc[order]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(feature[order].view(np.int64)), pa.array(before[order].view(np.int64)), pa.array(toxic)], names=["feature", "before", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(feature[order].view(np.int64)), pa.array(least[doc[order]].view(np.int64)), pa.array(toxic)], names=["feature", "copy", "toxic"])
 
-    return sample.mapInArrow(emit, "feature long, before long, toxic long")
+    return sample.mapInArrow(emit, "feature long, copy long, toxic long")
 
 
 def learn_features(sample: DataFrame) -> np.ndarray:
     """Sorted hashes of the features that mark toxic documents, the MOST_FEATURES most significant at most."""
-    counts = cut(_contexts(sample).distinct().groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a > 0 OR b > 0"))
+    counts = cut(_occurrences(sample).distinct().groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a > 0 OR b > 0"))
     total = counts.agg(F.sum("a"), F.sum("b")).first()
     if not total[0] or not total[1]:
         return np.zeros(0, np.uint64)

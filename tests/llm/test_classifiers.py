@@ -114,3 +114,18 @@ def test_language_of_other_scripts_and_empty_tables(spark, tables):
     assert got[2] == "und" and got[1] != "und" and got[3] != "und"
     empty = langid.fit(tables[0].limit(0))
     assert {r.lang_pred for r in langid.predict(rows, empty).collect()} == {"und"}
+
+
+def test_toxic_word_in_a_fixed_phrase_is_learned_and_copies_count_once(spark):
+    import random
+
+    from claimwright.llm import toxicity
+
+    rng = random.Random(4)
+    prose = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(30))
+    rows = [(k, f"{prose()} you are an grobian {prose()}" if k < 40 else f"{prose()} you are an {prose()}", int(k < 40)) for k in range(240)]
+    copied = f"{prose()} onlycopied {prose()}"
+    rows += [(1000 + k, copied, 1) for k in range(40)]
+    known = toxicity.learn_features(spark.createDataFrame(rows, "doc_id long, text string, label int")).tolist()
+    word = lambda w: int(toxicity.Words(*toxicity.text_buffer(toxicity.pa.array([w]))).hash[0])
+    assert word("grobian") in known and word("onlycopied") not in known

@@ -7,21 +7,18 @@ comes later than every slot's earliest.  Two signatures agree in a slot with the
 probability Jaccard similarity of the two weighted sets.  A text that repeats a shingle has
 a second signature with all weights 1, so that agreement there has the probability of plain
 Jaccard similarity; both have the same keys, as without repeats they are one.  Signatures
-are cut into bands; texts that agree in a band are candidates, and every candidate pair is verified on its
-whole shingle sets.
-
-Exact copies meet first through a digest of the text.  Small buckets of a band are compared
-pair by pair.  In larger ones members are first held against pivots chosen by random order
-(a map-side minimum), which merges the large groups of near copies.  Then every pair of
-different classes of a large bucket is either verified or excluded by a proven bound: the
-outline of a text counts its shingles in CELLS cells, and what two outlines have in common
-bounds both similarities from above.  Outlines meet block by block inside a task, so only
-the pairs that the bound leaves become rows.
+are cut into bands, and texts that agree in a band form a bucket.
+
+Exact copies meet first through a digest of the text, and buckets of the same members count
+once.  A bucket's members come to one task with their whole shingle sets, where matrix
+products count what every two have in common: every pair is verified, and a member sends
+one link to the least of its group, so that links grow with members and not with pairs.
+A crowded bucket is dealt in blocks that share some pivots; once that has merged its large
+groups, the members outside the largest one meet every block of the others as well.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +33,13 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS_PER_BAND = 4
-#: Buckets of at most so many texts are compared pair by pair at once, larger ones by outlines.
-SMALL_BUCKET = 10
-#: Pivots of the second comparison in large buckets; the first takes one.
-PIVOTS = 4
-#: Cells of an outline, and members of a large bucket in a block of outlines.
-CELLS, BLOCK = 256, 1024
-#: Pairs that the bound leaves are verified so many a text first, as links make others needless; then all.
-FIRST_LEFT = (1, 8, None)
-#: Rounding that the bound allows for.
+#: Members, and shingles of all members together, that a block of a crowded bucket holds about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Members that all blocks of a crowded bucket share.
+PIVOTS = 8
+#: Cells of a matrix of members and shingles in memory at once.
+CELLS = 1 << 22
+#: Rounding that a bound allows for.
 ROUNDING = 1e-4
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +102,7 @@ def jaccards(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> DataFrame:
-    """(doc_id, digest, bands): each text's digest and its distinct band keys (none if it has no word)."""
+    """(doc_id, digest, size, bands): each text's digest, its number of shingles and its distinct band keys (none without words)."""
 
     def keys(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs: int) -> np.ndarray:
         kept = prob_minhash(doc, element, weight, docs, bands * rows).reshape(docs, bands, rows)
@@ -137,36 +132,127 @@ def signatures(docs: DataFrame, bands: int, rows: int, shingle_words: int) -> Da
                     [
                         batch.column("doc_id").slice(start, stop - start),
                         batch.column("digest").slice(start, stop - start),
+                        pa.array(np.bincount(doc, minlength=stop - start), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                     ],
-                    names=["doc_id", "digest", "bands"],
+                    names=["doc_id", "digest", "size", "bands"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, digest string, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, digest string, size long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """The candidate pairs (a, b) whose probability or plain Jaccard reaches `similarity`."""
+def shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, elements, weights): the set of each text (node, text) as 32-bit hashes, and its counts if any exceeds 1.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Rows of a task that repeat a node and its text are combined.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                offsets, data = text_buffer(batch.column(name))
-                sets: list = []
-                for start, stop in slices(offsets):
-                    part = offsets[start : stop + 1]
-                    doc, element, weight = weighted_shingles(Words(part - part[0], data[part[0] : part[-1]]), shingle_words)
-                    cuts = np.searchsorted(doc, np.arange(1, stop - start))
-                    sets += zip(np.split(element, cuts), np.split(weight, cuts), strict=True)
-                sides.append(sets)
-            good = [max(jaccards(x, y)) >= similarity for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_pandas(batch.select(["a", "b"]).to_pandas()[np.array(good, bool)], preserve_index=False)
-
-    text_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    text_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(text_a, "a").join(text_b, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(check, "a long, b long")
+            offsets, data = text_buffer(batch.column("text"))
+            nodes = batch.column("node").to_pylist()
+            for start, stop in slices(offsets):
+                part = offsets[start : stop + 1]
+                doc, element, weight = weighted_shingles(Words(part - part[0], data[part[0] : part[-1]]), shingle_words)
+                cuts = np.searchsorted(doc, np.arange(stop - start + 1)).tolist()
+                found: list[tuple] = []
+                for node, a, b in zip(nodes[start:stop], cuts[:-1], cuts[1:], strict=True):
+                    mark = (node, int(element[a:b].sum())) if b > a else None
+                    if mark and mark not in seen:
+                        seen.add(mark)
+                        counts = weight[a:b].astype(np.uint32).tobytes() if (weight[a:b] > 1).any() else b""
+                        found.append((node, (element[a:b] >> np.uint64(12)).astype(np.uint32).tobytes(), counts))
+                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["node", "elements", "weights"]
+                )
+
+    return texts.select("node", "text").mapInArrow(pack, "node long, elements binary, weights binary")
+
+
+def _spread(linked: np.ndarray) -> np.ndarray:
+    """The least member that each one reaches over links [n, n]."""
+    n, label = len(linked), np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def groups_of(sets: list[np.ndarray], weights: list[np.ndarray | None], similarity: float) -> np.ndarray:
+    """The least member of each one's group: all pairs whose plain or probability Jaccard reaches `similarity` are linked.
+
+    Products of the matrix of members and the shingles that several have give the numbers
+    that every two have in common.  Where neither repeats a shingle both similarities are
+    one.  Else equal samples of the two are at most as probable as either one's share of
+    shingles in common; pairs that this bound leaves, and no other link has joined, are
+    looked at one by one.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets])
+    element, own = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(element, kind="stable")
+    element, own = element[order], own[order]
+    column = np.cumsum(np.concatenate([[False], element[1:] != element[:-1]]))
+    several = np.bincount(column) > 1
+    on = several[column]
+    column, own = (np.cumsum(several) - 1)[column[on]], own[on]
+    heavy = np.array([w is not None for w in weights])
+    if heavy.any():
+        share = np.concatenate([np.full(len(x), 1.0 / len(x)) if w is None else w / w.sum() for x, w in zip(sets, weights, strict=True)])[order][on]
+    common, mass = np.zeros((n, n)), np.zeros((n, n))
+    wide = max(64, CELLS // n)
+    for first in range(0, int(several.sum()), wide):
+        a, b = np.searchsorted(column, (first, first + wide))
+        has = np.zeros((n, min(wide, int(column[b - 1]) - first + 1)), np.float32)
+        has[own[a:b], column[a:b] - first] = 1
+        common += has @ has.T
+        if heavy.any():
+            part = np.zeros_like(has)
+            part[own[a:b], column[a:b] - first] = share[a:b]
+            mass += part @ has.T
+    linked = common / (size[:, None] + size[None, :] - common) >= similarity
+    linked[np.diag_indices(n)] = True
+    label = _spread(linked)
+    if heavy.any():
+        bound = np.minimum(mass, mass.T)
+        open_ = (bound >= similarity - ROUNDING) & (label[:, None] != label[None, :]) & (heavy[:, None] | heavy[None, :])
+        x, y = np.nonzero(np.triu(open_))
+        weighted = lambda k: (sets[k], np.ones(size[k]) if weights[k] is None else weights[k])
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            if label[i] != label[j] and jaccards(weighted(i), weighted(j))[1] >= similarity:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return label
+
+
+def _met(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among the members (key, i, j, node) of each (key, i, j): each linked member with the least node of its group."""
+    shape = ["key", "i", "j"]
+
+    def meet(rows: list[tuple]) -> pa.RecordBatch:
+        rows = sorted({(r[3], r[4], r[5]) for r in rows})
+        found: list[tuple] = []
+        if len(rows) > 1:
+            sets = [np.frombuffer(r[1], np.uint32) for r in rows]
+            weights = [np.frombuffer(r[2], np.uint32).astype(np.float64) if r[2] else None for r in rows]
+            found = [(rows[g][0], r[0]) for g, r in zip(groups_of(sets, weights, similarity).tolist(), rows, strict=True) if rows[g][0] != r[0]]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield meet(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield meet(held)
+
+    rows = dealt.join(sets, "node").select(*shape, "node", "elements", "weights")
+    return rows.repartition(*shape).sortWithinPartitions(*shape).mapInArrow(stream, "a long, b long").distinct()
 
 
 def _settled(df: DataFrame, schema: str) -> DataFrame:
@@ -190,123 +276,48 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _pivot_pairs(large: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
-    """Each member of a large bucket (node, key, label) with that bucket's pivots of other classes.
-
-    A pivot is the least of a random order, the same order in all buckets, so that a
-    group of near copies meets few different pivots.
-    """
-    orders = [F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn * 1000 + i)).alias("h"), "node", "label")).alias(f"p{i}") for i in range(pivots)]
-    chosen = F.array(*[F.struct(F.col(f"p{i}.node").alias("node"), F.col(f"p{i}.label").alias("label")) for i in range(pivots)])
-    heads = large.groupBy("key").agg(*orders).select("key", F.array_distinct(chosen).alias("pivots"))
-    others = F.filter("pivots", lambda p: p["label"] != F.col("label"))
-    met = large.join(heads, "key").select("node", F.explode(others).alias("p"))
-    return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-
-
-def _outlines(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, outline): per cell the distinct shingles of a text and their counts, compressed."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), 1024):
-                rows = batch.slice(first, 1024)
-                offsets, data = text_buffer(rows.column("text"))
-                packed = []
-                for start, stop in slices(offsets):
-                    part = offsets[start : stop + 1]
-                    doc, element, weight = weighted_shingles(Words(part - part[0], data[part[0] : part[-1]]), shingle_words)
-                    cell = doc * CELLS + (element % np.uint64(CELLS)).astype(np.int64)
-                    counts = [np.bincount(cell, w, (stop - start) * CELLS).reshape(-1, CELLS) for w in (None, weight)]
-                    packed += [zlib.compress(x.tobytes(), 1) for x in np.stack(counts, axis=1).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(packed, pa.binary())], names=["node", "outline"])
-
-    return texts.select("node", "text").mapInArrow(draw, "node long, outline binary")
-
-
-def _left_by_bound(node: np.ndarray, label: np.ndarray, side: np.ndarray, outlines: list[bytes], similarity: float) -> tuple:
-    """(a, b, bound) of the pairs of different classes, across the sides if there are two, that the bound doesn't exclude.
-
-    Sets have at most as many elements in common as their cells' smaller counts; equal
-    samples of two distributions are at most as probable as their overlap, which merging
-    elements to cells only raises.
-    """
-    counts = np.stack([np.frombuffer(zlib.decompress(x), np.int32).reshape(2, CELLS) for x in outlines])
-    total, across, places, found = counts[:, 1].sum(axis=1, keepdims=True), side.min() != side.max(), np.arange(len(node)), []
-    size, highest = counts[:, 0].sum(axis=1), counts[:, 1].max(axis=1) / total[:, 0]
-    # the cheap bounds first: of sizes and highest shares, of cells merged by eights, of cells
-    folded = [counts.reshape(len(node), 2, -1, CELLS // 8).sum(axis=2), counts]
-    levels = [(x[:, 0].astype(np.int32), (x[:, 1] / total).astype(np.float32)) for x in folded]
-    least = similarity - ROUNDING
-    for x in range(len(node)):
-        bound = np.maximum(np.minimum(size, size[x]) / np.maximum(size, size[x]), np.minimum(size * highest[x], size[x] * highest))
-        y = np.flatnonzero((label != label[x]) & (places > x) & ((side != side[x]) | (not across)) & (bound >= least))
-        for distinct, share in levels:
-            if len(y):
-                common = np.minimum(distinct[y], distinct[x]).sum(axis=1)
-                bound = np.maximum(common / (size[y] + size[x] - common), np.minimum(share[y], share[x]).sum(axis=1))
-                y, bound = y[bound >= least], bound[bound >= least]
-        if len(y):
-            found.append((np.minimum(node[y], node[x]), np.maximum(node[y], node[x]), bound))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (node[:0], node[:0], np.zeros(0))
-
-
-def _rest_pairs(large: DataFrame, outlines: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, bound): all pairs of different classes in the buckets (node, key, label) that their outlines don't exclude.
-
-    A bucket is dealt in blocks and each two blocks of it meet in one task.
-    """
-    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("l"), F.max("label").alias("h"))
-    members = large.join(sizes.filter("l <> h").select("key", "blocks"), "key")
-    members = members.withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.join(outlines, "node").select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "label", "side", "outline")
-    shape = ["key", "i", "j"]
+def _buckets(members: DataFrame, block: int) -> DataFrame:
+    """(key, node, size, blocks): the members of buckets of more than one, each set of members once, and the blocks it needs."""
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    found = cut(members.join(shared, "key"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    kept = found.groupBy("key").agg(*marks, F.count("*").alias("n"), F.sum("size").alias("all")).groupBy("m1", "m2", "n", "all").agg(F.min("key").alias("key"))
+    return cut(found.join(kept.select("key", _blocks("n", "all", block).alias("blocks")), "key"))
 
-    def meet(rows: list[tuple]) -> pa.RecordBatch:
-        node, label, side = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        if rows[0][1] != rows[0][2] and side.min() == side.max():
-            node, label, side, rows = node[:0], label[:0], side[:0], []
-        left = _left_by_bound(node, label, side, [r[6] for r in rows], similarity) if rows else (node, node, np.zeros(0))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in left], names=["a", "b", "bound"])
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if held and held[-1][:3] != row[:3]:
-                    yield meet(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield meet(held)
+def _blocks(n: str, shingles: str, block: int) -> Column:
+    return F.ceil(F.greatest(F.col(n) / block, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
-    # few bytes make much work here, so the number of partitions is not left to their size
-    partitions = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.repartition(partitions, *shape).sortWithinPartitions(*shape)
-    return dealt.mapInArrow(stream, "a long, b long, bound double").groupBy("a", "b").agg(F.max("bound").alias("bound"))
 
+def _block_of(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(7)), F.col(blocks)).cast("int")
 
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after further links join classes: components of the classes, then of their members."""
-    ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
-    classes = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    merged = components(classes).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-    every = labels.select("node", "label").union(merged.select(F.col("label").alias("node"), "label")).distinct()
-    return _settled(every.join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label")), "node long, label long")
 
+def _first_meeting(buckets: DataFrame) -> DataFrame:
+    """(key, i, j, node): each member in one block of its bucket, and the pivots of a crowded bucket in all of its blocks."""
+    once = buckets.select("key", _block_of("blocks").alias("i"), _block_of("blocks").alias("j"), "node")
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(100 + p)).alias("h"), "node")).alias(f"p{p}") for p in range(PIVOTS)]
+    heads = buckets.filter("blocks > 1").groupBy("key", "blocks").agg(*least)
+    pivots = heads.select("key", "blocks", F.explode(F.array(*[F.col(f"p{p}.node") for p in range(PIVOTS)])).alias("node"))
+    spread = pivots.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "node")
+    return once.union(spread.select("key", "i", F.col("i").alias("j"), "node"))
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one, with their number n."""
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(members.join(shared, "key").select(*members.columns, "n"))
 
+def _second_meeting(buckets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, node): in crowded buckets of several classes, the blocks of all but the largest class with every block.
 
-def _small_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs within the small buckets of (node, key, n)."""
-    small = buckets.filter(F.col("n") <= SMALL_BUCKET)
-    left, right = (small.select("key", F.col("node").alias(x)) for x in "ab")
-    return left.join(right, "key").filter("a < b").select("a", "b")
+    Members of the largest class are never dealt to meet each other: they are linked.
+    """
+    crowded = buckets.filter("blocks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = crowded.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    split = classes.groupBy("key").agg(F.max(F.struct("n", "all", "label")).alias("major"), F.sum("n").alias("n"), F.sum("all").alias("all"), F.count("*").alias("classes"))
+    split = split.filter("classes > 1").select("key", F.col("major.label").alias("major"), (F.col("n") - F.col("major.n")).alias("n0"), (F.col("all") - F.col("major.all")).alias("all0"), F.col("major.n").alias("n1"), F.col("major.all").alias("all1"))
+    split = split.select("key", "major", _blocks("n0", "all0", block).alias("minors"), _blocks("n1", "all1", block).alias("majors"))
+    placed = crowded.join(split, "key").withColumn("minor", F.col("label") != F.col("major"))
+    placed = placed.withColumn("mine", F.when(F.col("minor"), _block_of("minors")).otherwise(F.col("minors") + _block_of("majors")))
+    last = F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return placed.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node")
 
 
 def _node(doc_id: str, digest: str) -> Column:
@@ -320,57 +331,33 @@ def near_duplicate_classes(
     shingle_words: int = SHINGLE_WORDS,
     bands: int = BANDS,
     rows: int = ROWS_PER_BAND,
+    block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, class_id, copies: the class of every row of `documents` and how many rows share its exact text.
 
     documents: doc_id, text; other columns are ignored.  class_id is the least doc_id of
-    the class.  Equal texts (a null text is an empty one) are always one class; texts
-    whose five-word shingle sets reach `similarity` are linked and classes are the
-    connected components.  A text of one to four words is one shingle; a text without a
-    word is only like its exact copies.  Texts given under one doc_id share a class; a
-    null doc_id takes part and comes back null.  An empty table gives an empty result.
+    the class.  Equal texts (a null text is an empty one) are always one class; texts that
+    share a band and whose five-word shingle sets reach `similarity`, by plain or by
+    probability Jaccard, are linked and classes are the connected components.  A text of
+    one to four words is one shingle; a text without a word is only like its exact copies.
+    Texts given under one doc_id share a class; a null doc_id takes part and comes back
+    null.  Order and `block` don't change the result.  An empty table gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     docs = docs.withColumn("digest", F.md5("text"))
     signed = signatures(docs, bands, rows, shingle_words)
     groups = cut(
         signed.groupBy("digest")
-        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-        .select("digest", _node("least", "digest").alias("node"), "copies", "bands")
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .select("digest", _node("least", "digest").alias("node"), "copies", "size", "bands")
     )
-    single = _buckets(groups.select("node", F.explode("bands").alias("key")))
-    candidates = groups.join(single.select("node").distinct(), "node", "left_semi").select("node", "digest")
-    # of each class of copies one text is fetched: that of the least doc_id
-    texts = docs.select(_node("doc_id", "digest").alias("node"), "digest", "text")
-    texts = cut(texts.join(candidates, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "text"))
-    large = single.filter(F.col("n") > SMALL_BUCKET).select("node", "key")
-    first = _pivot_pairs(large.withColumn("label", F.col("node")), 0, 1)
-    tried = cut(_small_pairs(single).union(first).distinct())
-    labels = components(cut(verified(tried, texts, similarity, shingle_words)))
-    labelled = lambda: large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    pairs = cut(_pivot_pairs(labelled(), 1).join(tried, ["a", "b"], "left_anti"))
-    tried = tried.union(pairs)
-    labels = _relabelled(labels, cut(verified(pairs, texts, similarity, shingle_words)))
-    # of the large buckets that still hold several classes every other pair is verified or excluded
-    mixed = cut(labelled())
-    several = mixed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
-    mixed = cut(mixed.join(several, "key", "left_semi"))
-    texts = cut(texts.join(mixed.select("node").distinct(), "node", "left_semi"))
-    rest = cut(_rest_pairs(mixed, cut(_outlines(texts, shingle_words)), similarity).join(tried, ["a", "b"], "left_anti"))
-    for most in FIRST_LEFT:
-        ends = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
-        pairs = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)")
-        rest = pairs = _settled(pairs.select("a", "b", "bound"), "a long, b long, bound double")
-        if most:
-            slot = F.pmod(F.xxhash64("a", "b"), F.lit(most))
-            best = [rest.groupBy(x, slot).agg(F.max(F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b") for x in "ab"]
-            pairs = cut(best[0].union(best[1]).distinct())
-            rest = rest.join(pairs, ["a", "b"], "left_anti")
-        if not pairs.limit(1).count():
-            break
-        links = cut(verified(pairs.select("a", "b"), texts, similarity, shingle_words))
-        if links.limit(1).count():
-            labels = _relabelled(labels, links)
+    buckets = _buckets(groups.select("node", "size", F.explode("bands").alias("key")), block)
+    sets = shingle_sets(docs.select(_node("doc_id", "digest").alias("node"), "text"), shingle_words)
+    links = cut(_met(_first_meeting(buckets), sets, similarity))
+    labels = components(links)
+    if buckets.filter("blocks > 1").limit(1).count():
+        more = cut(_met(_second_meeting(buckets, labels, block), sets, similarity))
+        labels = components(links.union(more).distinct())
     found = groups.join(labels, "node", "left").select("digest", "copies", F.coalesce("label", "node").alias("class_id"))
     return docs.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "copies")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at once; a longer document forms a slice of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -39,14 +39,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
+    """The first n powers of the hash base and of its inverse, modulo 2**64; only those of a usual slice are kept."""
+    kept = _powers if n <= SLICE_BYTES + 1 else {}
+    if len(kept.get("up", ())) < n:
         for name, base in (("up", _P), ("down", _P_INV)):
-            step = np.full(size, base, np.uint64)
+            step = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
             step[0] = 1
-            _powers[name] = np.cumprod(step, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+            kept[name] = np.cumprod(step, dtype=np.uint64)
+    return kept["up"][:n], kept["down"][:n]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

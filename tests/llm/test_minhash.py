@@ -107,11 +107,45 @@ def test_every_pair_of_a_crowded_bucket_is_compared(spark):
         if k % 8 == 0:  # a near copy of this text among hundreds that share the passage only
             rows.append((len(rows) + 1, " ".join(passage + own[:-1] + ["other"])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    # two bands of one slot each put all texts in a few crowded buckets
-    found = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, bands=2, rows=1).collect()}
     want = brute_classes(rows)
     assert sum(i != c for i, c in want.items()) == 33
-    assert found == want
+    # two bands of one slot each put all texts in a few crowded buckets, dealt in one or many blocks
+    for block in (1024, 16):
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, bands=2, rows=1, block=block).collect()} == want
+
+
+def test_a_large_group_of_near_copies_and_its_outliers_in_blocks(spark):
+    rng = random.Random(6)
+    base, rows = words(rng, 60), []
+    for _ in range(150):  # a chain of copies, some too far from all others
+        edited = list(base)
+        for _ in range(rng.choice((1, 1, 2, 4))):
+            edited[rng.randrange(60)] = "changed" + str(rng.randrange(999))
+        rows.append((len(rows) + 1, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert 1 < len(set(want.values())) < 150
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(df, bands=2, rows=1, block=16).collect()} == want
+
+
+def test_groups_of_sets_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n, sets, weights = int(rng.integers(2, 12)), [], []
+        core = rng.choice(4000, 60, replace=False)
+        for _ in range(n):
+            sets.append(np.unique(np.concatenate([core[rng.random(60) < 0.93], rng.choice(4000, int(rng.integers(1, 8)))])).astype(np.uint32))
+            weights.append(rng.choice([1.0, 1.0, 5.0, 30.0], len(sets[-1])) if rng.random() < 0.5 else None)
+        ones = [np.ones(len(s)) if w is None else w for s, w in zip(sets, weights, strict=True)]
+        label = list(range(n))
+        for x in range(n):
+            for y in range(x):
+                if max(minhash.jaccards((sets[x], ones[x]), (sets[y], ones[y]))) >= 0.8:
+                    low, high = sorted((label[x], label[y]))
+                    label = [low if v == high else v for v in label]
+        assert minhash.groups_of(sets, weights, 0.8).tolist() == label
 
 
 def test_texts_that_differ_in_repeats_share_a_band(spark):

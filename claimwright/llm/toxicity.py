@@ -2,10 +2,10 @@
 
 Document labels are brought down to tokens: a word, or a prefix of one, that occurs in
 significantly more toxic documents than clean ones marks its tokens in toxic documents.
-Documents are counted; those with the same least hash over all their five-word shingles
-count once, as near copies mostly have it in common.  A two-state chain over the tokens is trained on these by maximum likelihood.  Forward-
-backward marginals give the toxic spans; their sum, calibrated on document labels, gives
-the score.
+Documents are counted; of those with the same least hash over all their five-word shingles
+one counts, as near copies mostly have it in common.  A two-state chain over the tokens is
+trained on these by maximum likelihood.  Forward-backward marginals give the toxic spans;
+their sum, calibrated on document labels, gives the score.
 
 A token without any learned feature has the same potentials everywhere, so a run of them
 is a power of one 2x2 matrix: the exact recursion steps from one marked token to the next
@@ -48,33 +48,57 @@ def token_features(words: Words) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def _occurrences(sample: DataFrame) -> DataFrame:
+def _copies(sample: DataFrame) -> DataFrame:
+    """(copy, doc_id, toxic): the least hash over a document's shingles, which near copies mostly have in common."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffer(batch.column("text"))
+            least = np.full(len(batch), np.iinfo(np.uint64).max, np.uint64)
+            for start, stop in slices(offsets):
+                part = offsets[start : stop + 1]
+                doc, value = shingles(Words(part - part[0], data[part[0] : part[-1]]), 5)
+                np.minimum.at(least, start + doc, mix(value))
+            yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), batch.column("doc_id"), batch.column("label")], names=["copy", "doc_id", "toxic"])
+
+    return sample.mapInArrow(emit, "copy long, doc_id long, toxic int")
+
+
+def _feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, a, b): the toxic and the clean documents of each task that have a feature, combined in the task."""
+
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        feature, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        counts = np.concatenate([x[1] for x in held])
+        return feature, np.stack([np.bincount(at, counts[:, k], len(feature)) for k in (0, 1)], axis=1)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [(np.zeros(0, np.uint64), np.zeros((0, 2)))], 0
         for batch in batches:
             offsets, data = text_buffer(batch.column("text"))
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for start, stop in slices(offsets):
                 part = offsets[start : stop + 1]
                 words = Words(part - part[0], data[part[0] : part[-1]])
-                if not len(words.hash):
-                    continue
-                least = np.full(stop - start, np.iinfo(np.uint64).max, np.uint64)
-                of, value = shingles(words, 5)
-                np.minimum.at(least, of, mix(value))
                 feature = token_features(words).reshape(-1)
-                doc = np.repeat(words.doc, 1 + len(PREFIXES))
-                some = feature != 0
-                feature, doc = feature[some], doc[some]
-                order = np.unique(mix(feature + mix(doc.astype(np.uint64))), return_index=True)[1]
-                toxic = labels[start:stop][doc[order]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(feature[order].view(np.int64)), pa.array(least[doc[order]].view(np.int64)), pa.array(toxic)], names=["feature", "copy", "toxic"])
+                doc = np.repeat(words.doc, 1 + len(PREFIXES))[feature != 0]
+                feature = feature[feature != 0]
+                once = np.unique(mix(feature + mix(doc.astype(np.uint64))), return_index=True)[1]
+                toxic = labels[start:stop][doc[once]] == 1
+                held.append((feature[once], np.stack([toxic, ~toxic], axis=1).astype(np.float64)))
+                waiting += len(once)
+                if waiting > len(held[0][0]) + 200_000:
+                    held, waiting = [merged(held)], 0
+        feature, counts = merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), *(pa.array(counts[:, k].astype(np.int64)) for k in (0, 1))], names=["feature", "a", "b"])
 
-    return sample.mapInArrow(emit, "feature long, copy long, toxic long")
+    return sample.mapInArrow(emit, "feature long, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 def learn_features(sample: DataFrame) -> np.ndarray:
     """Sorted hashes of the features that mark toxic documents, the MOST_FEATURES most significant at most."""
-    counts = cut(_occurrences(sample).distinct().groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a > 0 OR b > 0"))
+    once = _copies(sample).groupBy("copy", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    counts = cut(_feature_counts(sample.join(F.broadcast(once.distinct()), "doc_id", "left_semi")))
     total = counts.agg(F.sum("a"), F.sum("b")).first()
     if not total[0] or not total[1]:
         return np.zeros(0, np.uint64)
@@ -234,7 +258,7 @@ def _evidence(sample: DataFrame, model: dict) -> list:
                     z[start + d] = sum(p)
             yield pa.RecordBatch.from_arrays([pa.array(z), batch.column("label")], names=["z", "label"])
 
-    return sample.mapInArrow(emit, "z double, label int").groupBy(F.round(F.least("z", F.lit(5.0)), 2).alias("z"), "label").count().collect()
+    return sample.mapInArrow(emit, "z double, label int").groupBy(F.round("z", 2).alias("z"), "label").count().collect()
 
 
 def _calibrate(rows: list, counts: dict) -> tuple[float, float]:
@@ -309,7 +333,7 @@ def _judged(texts: pa.Array, model: dict, chain: Chain) -> tuple[np.ndarray, lis
                 if chance >= SPAN_FROM:
                     a, b = int(words.start[t]) - head, int(words.end[t]) - head
                     spans[start + d].append({"start": int(points[a]) - 1, "end": int(points[b - 1]), "p": chance})
-    return 1 / (1 + np.exp(-(model["intercept"] + model["slope"] * np.minimum(z, 5.0)))), spans
+    return 1 / (1 + np.exp(-(model["intercept"] + model["slope"] * z))), spans
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

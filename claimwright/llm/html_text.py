@@ -5,14 +5,14 @@ article, chrome (menus, footers, adverts, forms, comments) or neither.  Pages of
 stand in order of path; each is paired with the neighbour whose path shares the longer
 prefix with its own, the lines of both are aligned by longest common subsequence and the
 shared lines are deleted.  An article's own lines survive sharing, since copies of an
-article on one host are articles still; chrome goes even where it is not shared.
+article on one host are articles still; chrome goes even where it is not shared.  So the
+alignment decides the lines that markup doesn't settle, beside an article or without one.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -122,38 +122,70 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
+#: Cells of the alignment's table held at once; larger alignments are halved first.
+_TABLE = 1 << 28
+
+
 def shared_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Places in `mine` that a longest common subsequence with `other` takes (the leftmost choice by its matches)."""
-    head = 0
-    while head < min(len(mine), len(other)) and mine[head] == other[head]:
+    """Places in `mine` that a longest common subsequence with `other` takes, in bounded memory.
+
+    A row of the table is one whole number of a bit per line of `mine`, so that a row
+    costs a few operations on it however often lines repeat.
+    """
+    head, end = 0, min(len(mine), len(other))
+    while head < end and mine[head] == other[head]:
         head += 1
     tail = 0
-    while tail < min(len(mine), len(other)) - head and mine[-1 - tail] == other[-1 - tail]:
+    while tail < end - head and mine[-1 - tail] == other[-1 - tail]:
         tail += 1
-    found = [*range(head), *range(len(mine) - tail, len(mine))]
-    places = defaultdict(list)
-    for j in range(len(other) - tail - 1, head - 1, -1):
-        places[other[j]].append(j)
-    ends: list[int] = []
-    nodes: list[tuple] = []
-    for i in range(head, len(mine) - tail):
-        for j in places.get(mine[i], ()):
-            at = bisect_left(ends, j)
-            node = (i, nodes[at - 1] if at else None)
-            ends[at : at + 1] = [j]
-            nodes[at : at + 1] = [node]
-    node = nodes[-1] if nodes else None
-    while node:
-        found.append(node[0])
-        node = node[1]
-    return sorted(found)
+    inner = _common(mine[head : len(mine) - tail], other[head : len(other) - tail])
+    return [*range(head), *(head + k for k in inner), *range(len(mine) - tail, len(mine))]
+
+
+def _rows(mine: list[int], other: list[int]) -> Iterator[int]:
+    """After each line of `other`: a number whose bit k is 0 where line k of `mine` makes the common subsequence longer."""
+    every, places = (1 << len(mine)) - 1, defaultdict(int)
+    for k, line in enumerate(mine):
+        places[line] |= 1 << k
+    row = every
+    for line in other:
+        hits = row & places.get(line, 0)
+        row = ((row + hits) | (row - hits)) & every
+        yield row
+
+
+def _lengths(mine: list[int], other: list[int]) -> np.ndarray:
+    """The longest common subsequence of each beginning of `mine` with all of `other`."""
+    row = (1 << len(mine)) - 1
+    for row in _rows(mine, other):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(mine) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(mine)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _common(mine: list[int], other: list[int]) -> list[int]:
+    if not mine or not other:
+        return []
+    if len(mine) * len(other) > _TABLE and len(other) > 1:
+        half = len(other) // 2
+        first, second = _lengths(mine, other[:half]), _lengths(mine[::-1], other[half:][::-1])[::-1]
+        at = int(np.argmax(first + second))
+        return [*_common(mine[:at], other[:half]), *(at + k for k in _common(mine[at:], other[half:]))]
+    rows, found, k, j = list(_rows(mine, other)), [], len(mine) - 1, len(other) - 1
+    while k >= 0 and j >= 0:
+        if rows[j] >> k & 1:  # line k makes nothing longer
+            k -= 1
+        elif j and not rows[j - 1] >> k & 1:  # nor does line j of the other need it
+            j -= 1
+        else:
+            found.append(k)
+            k, j = k - 1, j - 1
+    return found[::-1]
 
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """The lines that stay, joined: the article's if the page marks one, else the neutral ones that are not shared."""
-    article = any(zone == ARTICLE for _, zone in lines)
-    keep = (text for k, (text, zone) in enumerate(lines) if (zone == ARTICLE if article else zone == NEUTRAL and k not in shared))
-    return "\n".join(keep)
+    """The lines that stay, joined: all of an article, none of chrome, and of others those that are not shared."""
+    return "\n".join(text for k, (text, zone) in enumerate(lines) if zone == ARTICLE or zone == NEUTRAL and k not in shared)
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -166,24 +198,18 @@ def _line_hash(text: str) -> int:
     return (zlib.crc32(data) << 31) ^ zlib.adler32(data) ^ len(data)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, len(batch), 128):
-            part = batch.slice(first, 128)
-            hashes = [[_line_hash(text) for text, _ in lines_of(h)] if h else [] for h in part.column("html").to_pylist()]
-            names = ["row", "page_id", "host", "path"]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(hashes, pa.list_(pa.int64()))], names=[*names, "lines"])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each page, compressed for their way to its alignment."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's lines, hashed for the alignment and compressed for their way to it."""
     for batch in batches:
         for first in range(0, len(batch), 128):
             part = batch.slice(first, 128)
-            parsed = [lines_of(h) if h else [] for h in part.column("html").to_pylist()]
-            packed = [zlib.compress("\n".join(f"{zone}{text}" for text, zone in lines).encode("utf-8", "surrogatepass"), 6) for lines in parsed]
-            names = ["row", "page_id", "url"]
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(packed, pa.binary())], names=[*names, "packed"])
+            pages = [lines_of(h) if h else [] for h in part.column("html").to_pylist()]
+            hashes = [[_line_hash(text) for text, _ in lines] for lines in pages]
+            packed = [zlib.compress("\n".join(f"{zone}{text}" for text, zone in lines).encode("utf-8", "surrogatepass"), 6) for lines in pages]
+            names = ["row", "page_id", "url", "host", "path"]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(x) for x in names), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=[*names, "lines", "packed"]
+            )
 
 
 def _shared_with_nearest(page: dict, before: dict | None, after: dict | None) -> list[int]:
@@ -236,15 +262,17 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages`; html is read whole.
 
     pages: page_id, url, html; other columns are ignored.  Null or empty html gives an
-    empty text.  A page without a host, or alone on it, has no partner and loses only
+    empty text and is no partner of another page.  Of the pages before and after in order
+    of path that one is the partner whose path shares the longer prefix, the one before
+    if both do.  A page without a host, or alone on it, has no partner and loses only
     chrome.  Rows that share page_id are never partners of each other; equal rows are
     each answered alike.  An empty table gives an empty result.
     """
     named = pages.select("page_id", "url", host_of().alias("host"), path_of().alias("path"), "html")
     named = named.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    hashed = named.mapInArrow(_hashed, "row long, page_id long, host string, path string, lines array<long>")
-    shared = _aligned(hashed.dropDuplicates(["row"]))
-    packed = named.mapInArrow(_packed, "row long, page_id long, url string, packed binary")
+    parsed = cut(named.mapInArrow(_parsed, "row long, page_id long, url string, host string, path string, lines array<long>, packed binary"))
+    shared = _aligned(parsed.select("row", "page_id", "host", "path", "lines").filter(F.size("lines") > 0).dropDuplicates(["row"]))
+    packed = parsed.select("row", "page_id", "url", "packed")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.llm.textbytes import Words, slices, text_buffer
@@ -22,16 +22,18 @@ WINDOW_WORDS = 13
 #: A document is contaminated when at least one word in so many is hit.
 HIT_ONE_IN = 20
 #: Bytes of text in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Test words searched for at once; a larger benchmark is searched in blocks of so many.
 TEST_WORDS_PER_BLOCK = 2_000_000
 
-RESULT = (
-    "doc_id long, n_words long, n_hit long, items array<long>, longest long, "
-    "hits array<struct<start: long, end: long>>, places array<struct<item_id: long, start: long, words: long>>"
-)
+_FIELDS = {
+    "doc_id": "long", "n_words": "long", "n_hit": "long", "items": "array<long>", "longest": "long",
+    "hits": "array<struct<start: long, end: long>>", "places": "array<struct<item_id: long, start: long, words: long>>",
+}
+RESULT = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
 _SCHEMA = pa.schema(
-    [(x, pa.int64()) for x in ("doc_id", "n_words", "n_hit")]
+    [("digest", pa.string())]
+    + [(x, pa.int64()) for x in ("doc_id", "n_words", "n_hit")]
     + [("items", pa.list_(pa.int64())), ("longest", pa.int64())]
     + [("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     + [("places", pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "start", "words")])))]
@@ -188,6 +190,7 @@ def _gathered(items: DataFrame, window: int) -> TestSuffixes:
 
 
 def _searched(docs: DataFrame, tests: TestSuffixes, window: int) -> DataFrame:
+    """digest and RESULT of every row of docs (digest, doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(tests)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +200,11 @@ def _searched(docs: DataFrame, tests: TestSuffixes, window: int) -> DataFrame:
             for start, stop in slices(offsets, SHARD_BYTES):
                 part = offsets[start : stop + 1]
                 words = Words(part - part[0], data[part[0] : part[-1]])
-                yield pa.RecordBatch.from_pylist(_judged(words, tests, window, batch.column("doc_id").slice(start, stop - start).to_pylist()), schema=_SCHEMA)
+                keys = [batch.column(x).slice(start, stop - start).to_pylist() for x in ("digest", "doc_id")]
+                rows = _judged(words, tests, window, keys[1])
+                yield pa.RecordBatch.from_pylist([{"digest": d} | r for d, r in zip(keys[0], rows, strict=True)], schema=_SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, RESULT)
+    return docs.select("digest", "doc_id", "text").mapInArrow(scan, f"digest string, {RESULT}")
 
 
 def _judged(words: Words, tests: TestSuffixes, window: int, ids: list) -> list[dict]:
@@ -245,57 +250,73 @@ def contamination(
     no windows; repeated rows are each answered.
 
     The benchmark is gathered as 64-bit words.  Up to `test_words_per_block` words one
-    search does; a larger benchmark is searched block by block, so that no task holds
-    more, and the blocks' runs are merged per document.
+    search does.  A larger benchmark is searched in blocks of about so many (or of one
+    item, if that has more); what is found depends on the text alone, so the blocks'
+    findings are merged by digest of the text and every row gets those of its text.
+    Either way gives the same rows.
     """
-    items = _benchmark_words(benchmark)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.md5("text"))
+    blocks = _blocks(benchmark, test_words_per_block)
+    if len(blocks) == 1:
+        return _searched(docs, _gathered(blocks[0], window), window).drop("digest")
+    none = TestSuffixes(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), window)
+    every = _searched(docs, none, window).select("digest", "doc_id", "n_words")
+    merged = every.join(_merged(docs, blocks, window), "digest", "left")
+    empty = {name: (F.lit(0) if kind == "long" else F.array()).cast(kind) for name, kind in _FIELDS.items()}
+    return merged.select("doc_id", "n_words", *[F.coalesce(x, empty[x]).alias(x) for x in _FIELDS if x not in every.columns])
+
+
+def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
+    """The benchmark's items (item_id, words, n), equal ones once, in blocks of about `most` words."""
+    items = _benchmark_words(benchmark).distinct()
     total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // test_words_per_block))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = []
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        found.append(_searched(docs, _gathered(part, window), window))
-    if blocks == 1:
-        return found[0]
-    keyed = [f.withColumn("block", F.lit(i)) for i, f in enumerate(found)]
-    every = keyed[0]
-    for more in keyed[1:]:
-        every = every.union(more)
-    # documents that share doc_id are told apart by their place among equal ids of one block
-    at = Window.partitionBy("block", "doc_id").orderBy("n_words", "n_hit", "longest")
-    joined = every.withColumn("copy", F.row_number().over(at)).groupBy("doc_id", "copy")
-    merged = joined.agg(
-        F.max("n_words").alias("n_words"),
+    blocks = max(1, -(-total // most))
+    return [items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def _merged(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """digest, n_hit, items, longest, hits, places of every text that any block hits."""
+    found = None
+    for block in blocks:
+        # equal texts count once in each block, so a digest has a row a block at most
+        part = _searched(docs, _gathered(block, window), window).filter("n_hit > 0").drop("doc_id").dropDuplicates(["digest"])
+        found = part if found is None else found.union(part)
+    merged = found.groupBy("digest").agg(
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.max("longest").alias("longest"),
-        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.flatten(F.collect_list("places")).alias("places"),
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("runs"),
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
     )
-    joined_runs = F.aggregate(
-        "hits",
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
-        lambda s, x: F.struct(F.greatest(s.end, x.end).alias("end"), (s.n + F.greatest(F.lit(0).cast("long"), x.end - F.greatest(s.end, x.start))).alias("n")),
+    # runs in order of their start; one that begins within or at the end of the last grows it
+    grown = lambda last, x: F.struct(last.start.alias("start"), F.greatest(last.end, x.end).alias("end"))
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    hits = F.aggregate(
+        "runs", none,
+        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1).end >= x.start), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown(F.element_at(done, -1), x)))).otherwise(F.concat(done, F.array(x))),
     )
-    return merged.withColumn("n_hit", joined_runs["n"]).select(*found[0].columns)
+    merged = merged.withColumn("hits", hits).withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start))
+    return merged.select("digest", "n_hit", "items", "longest", "hits", "places")
 
 
 def is_contaminated(n_words: str = "n_words", n_hit: str = "n_hit", one_in: int = HIT_ONE_IN) -> Column:
     return (F.col(n_hit) > 0) & (F.col(n_hit) * one_in >= F.col(n_words))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, test_words_per_block: int = TEST_WORDS_PER_BLOCK) -> DataFrame:
     """`documents` without the rows that are contaminated, all columns kept; a document without words stays.
 
-    With a benchmark of one block rows are judged where they stand.  With more blocks
-    they are judged by doc_id: all rows that share one go together, and rows without
-    doc_id stay.
+    Rows are judged by their texts alone, so doc_ids may repeat or be null.  With a
+    benchmark of one block they are judged where they stand, with more by digest of the
+    text; either way gives the same rows.
     """
-    items = _benchmark_words(benchmark)
-    if (items.agg(F.sum("n")).first()[0] or 0) > TEST_WORDS_PER_BLOCK:
-        bad = contamination(documents, benchmark, window).filter(is_contaminated()).select("doc_id").filter("doc_id IS NOT NULL").distinct()
-        return documents.join(bad, "doc_id", "left_anti").select(*documents.columns)
-    held = documents.sparkSession.sparkContext.broadcast(_gathered(items, window))
+    blocks = _blocks(benchmark, test_words_per_block)
+    if len(blocks) > 1:
+        docs = documents.select(F.lit(None).cast("long").alias("doc_id"), "text").withColumn("digest", F.md5("text"))
+        none = TestSuffixes(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), window)
+        words = _searched(docs, none, window).select("digest", "n_words").distinct()
+        bad = words.join(_merged(docs, blocks, window), "digest").filter(is_contaminated()).select(F.col("digest").alias("_bad_digest"))
+        return documents.join(bad, F.md5(documents["text"]) == F.col("_bad_digest"), "left_anti").select(*documents.columns)
+    held = documents.sparkSession.sparkContext.broadcast(_gathered(blocks[0], window))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -85,3 +85,19 @@ def test_decontaminate_keeps_all_columns_and_clean_rows(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, empty).count() == 4
     assert decontam.contamination(spark.createDataFrame([], "doc_id long, text string"), empty).count() == 0
+
+
+def test_block_size_changes_nothing_for_repeated_and_null_ids(spark):
+    t, u = (" ".join(f"{x}{i}" for i in range(20)) for x in "tu")
+    rows = [(1, t), (1, u), (None, t), (None, "clean words only"), (2, f"{t} {u}"), (2, f"{t} {u}"), (None, None), (3, u + " clean" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, t), (1, u), (1, u), (None, u)], "item_id long, text string")
+    shown = lambda most: sorted(
+        (str(r.doc_id), r.n_words, r.n_hit, sorted(r["items"]), r.longest, [tuple(h) for h in r.hits], sorted(tuple(p) for p in r.places))
+        for r in decontam.contamination(docs, items, test_words_per_block=most).collect()
+    )
+    kept = lambda most: sorted(map(str, decontam.decontaminate(docs, items, test_words_per_block=most).collect()))
+    assert ("1", 20, 20, [0], 20, [(0, 20)], [(0, 0, 20)]) in shown(1000) and ("2", 40, 40, [0, 1], 20, [(0, 40)], [(0, 0, 20), (1, 20, 20)]) in shown(1000)
+    assert len(kept(1000)) == 3
+    for most in (25, 7):
+        assert shown(most) == shown(1000) and kept(most) == kept(1000)

@@ -39,6 +39,11 @@ def open_items(log: DataFrame, status: str = "status", value: str = "pending", o
     return log.filter(F.col(status) == value).orderBy(F.desc(order))
 
 
+def staging_list(staging: DataFrame, documents: DataFrame, status: str = "pending") -> DataFrame:
+    """Staged rows of a status with their document's slug; rows of no known document are left out."""
+    return staging.filter(F.col("status") == status).join(documents.select(F.col("id").alias("document_id"), F.col("slug").alias("doc_slug")), "document_id")
+
+
 def conflict_members(groups: DataFrame, claims: DataFrame) -> DataFrame:
     """Open conflict groups with all their claims, whatever their kind: the log is keyed by the group."""
     return groups.filter("resolved_at IS NULL").join(claims, "conflict_group").orderBy("conflict_group", "document_id")

@@ -120,22 +120,22 @@ def variant_direction(edges: DataFrame) -> DataFrame:
     return hard.union(easy)
 
 
-def closure(edges: DataFrame, child: str = "child_id", parent: str = "parent_id", limit: int = 64) -> DataFrame:
-    """(node, ancestor, depth): all ancestors in a single-parent hierarchy, by doubling; a cycle stops at `limit`.
+def closure(edges: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
+    """(node, ancestor, depth): all ancestors with their least depth, of any depth; nodes of a cycle are their own ancestors.
 
-    Each round joins the paths so far with themselves, so depth d takes log2(d) joins.
+    Each round joins the paths so far with themselves, so depth d takes log2(d) joins; it
+    ends when a round finds no new pair.
     """
-    paths = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    reach = 1
-    while reach < limit:
+    paths = cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    known = paths.count()
+    while True:
         further = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.node"))
         longer = further.select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        merged = paths.union(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-        merged = cut(merged)
-        if merged.count() == paths.count():
-            return merged
-        paths, reach = merged, reach * 2
-    return paths
+        paths = cut(paths.union(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        now = paths.count()
+        if now == known:
+            return paths
+        known = now
 
 
 def relation_view(edges: dict[str, DataFrame], entities: DataFrame) -> DataFrame:

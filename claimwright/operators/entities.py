@@ -11,41 +11,48 @@ from claimwright.plans.registry import CANDIDATE_COSINE, CANDIDATE_TOP, CANDIDAT
 
 
 def upsert_entities(names: DataFrame, entities: DataFrame | None = None, aliases: DataFrame | None = None, key: Column | None = None) -> DataFrame:
-    """Each arriving name with norm_key, the entity's first name, first_seq and how: exact, alias, new or invalid.
+    """Each arriving name with norm_key, the entity's first name, first_seq, how (exact, alias, new or invalid) and entity_id.
 
     names: entity_table, name, seq.  entities: entity_table, name, norm_key; aliases:
-    entity_table, norm_key, name (the entity's).  A key that is stored already is exact;
-    one that is an alias' is alias; a first arrival is new and later ones exact.  An
-    empty key is invalid.  The first name per key is a map-side minimum.
+    entity_table, norm_key, name (the entity's); both may have entity_id, which is else a
+    hash of the type and the key of the entity's name.  A key that is stored already is
+    exact; one that is an alias' is alias, and has the id of its entity; a first arrival
+    is new and later ones exact.  An empty key is invalid.  The first name per key is a
+    map-side minimum.
     """
+    at = ["entity_table", "norm_key"]
     rows = names.withColumn("norm_key", norm_key("name") if key is None else key)
-    first = rows.groupBy("entity_table", "norm_key").agg(F.min("seq").alias("first_seq"), F.min_by("name", "seq").alias("first_name"))
-    rows = rows.join(first, ["entity_table", "norm_key"])
-    stored = F.lit(None).cast("string")
-    by_alias = F.lit(None).cast("string")
+    first = rows.groupBy(*at).agg(F.min("seq").alias("first_seq"), F.min_by("name", "seq").alias("first_name"))
+    rows = rows.join(first, at)
+    none = F.lit(None).cast("string")
+    stored = by_alias = none
+    ids = [F.lit(None).cast("long")] * 2
     if entities is not None:
-        rows = rows.join(entities.select("entity_table", "norm_key", F.col("name").alias("_stored")), ["entity_table", "norm_key"], "left")
-        stored = F.col("_stored")
+        own = F.col("entity_id").cast("long") if "entity_id" in entities.columns else F.xxhash64(*at)
+        rows = rows.join(entities.select(*at, F.col("name").alias("_stored"), own.alias("_stored_id")), at, "left")
+        stored, ids[0] = F.col("_stored"), F.col("_stored_id")
     if aliases is not None:
-        known = aliases.groupBy("entity_table", "norm_key").agg(F.min("name").alias("_alias"))
-        rows = rows.join(known, ["entity_table", "norm_key"], "left")
-        by_alias = F.col("_alias")
+        own = F.col("entity_id").cast("long") if "entity_id" in aliases.columns else F.xxhash64("entity_table", norm_key("name"))
+        known = aliases.select(*at, F.struct("name", own.alias("id")).alias("a")).groupBy(*at).agg(F.min("a").alias("_alias"))
+        rows = rows.join(known, at, "left")
+        by_alias, ids[1] = F.col("_alias.name"), F.col("_alias.id")
     how = F.when(F.col("norm_key") == "", "invalid").when(stored.isNotNull(), "exact").when(by_alias.isNotNull(), "alias")
     how = how.when(F.col("seq") == F.col("first_seq"), "new").otherwise("exact")
     canonical = F.coalesce(stored, by_alias, F.col("first_name"))
-    return rows.select("entity_table", "name", "seq", "norm_key", "first_seq", canonical.alias("canonical_name"), how.alias("how"))
+    entity_id = F.when(F.col("norm_key") != "", F.coalesce(*ids, F.xxhash64(*at)))
+    return rows.select("entity_table", "name", "seq", "norm_key", "first_seq", canonical.alias("canonical_name"), how.alias("how"), entity_id.alias("entity_id"))
 
 
 def entity_table_of(upserted: DataFrame) -> DataFrame:
     """The new entities in order of first arrival: id, entity_table, canonical_name, norm_key."""
     fresh = upserted.filter("how = 'new'")
-    return fresh.select(F.xxhash64("entity_table", "norm_key").alias("id"), "entity_table", "canonical_name", "norm_key")
+    return fresh.select(F.col("entity_id").alias("id"), "entity_table", "canonical_name", "norm_key")
 
 
 def aliases_of(upserted: DataFrame) -> DataFrame:
     """Every distinct name of an entity with its key; the first name is an alias too."""
     valid = upserted.filter("how <> 'invalid'")
-    return valid.select(F.xxhash64("entity_table", "norm_key").alias("entity_id"), F.col("name").alias("alias"), "norm_key").dropDuplicates(["entity_id", "alias"])
+    return valid.select("entity_id", F.col("name").alias("alias"), "norm_key").dropDuplicates(["entity_id", "alias"])
 
 
 def similarity_join(left: DataFrame, right: DataFrame, least: float = CANDIDATE_TRIGRAM) -> DataFrame:

@@ -11,7 +11,7 @@ from claimwright.functions.names import norm_key
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
-    """precision, recall and f1 to four places; precision is null without predictions, recall without gold, all null if empty."""
+    """precision, recall and f1 to four places: all null if both sides are empty, 0.0 for a side that has nothing."""
     precision = F.when(tp + fp + fn == 0, None).otherwise(F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0))
     recall = F.when(tp + fp + fn == 0, None).otherwise(F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0))
     f1 = F.when(precision.isNull(), None).otherwise(F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0))
@@ -114,6 +114,31 @@ def answer_scores(cases: DataFrame) -> DataFrame:
     return cases.agg(mean(F.col("sql_ok").cast("double")).alias("sql_ok"), mean("contains").alias("contains"), mean("slugs").alias("slugs"), F.count("*").alias("cases"))
 
 
+def proposal_metrics(proposals: DataFrame, staging: DataFrame, claims: DataFrame, weak: DataFrame, gold_proposals: DataFrame, gold_staging: DataFrame, gold_promoted: DataFrame, most_flips: int = 0) -> DataFrame:
+    """One row a metric: what a store proposes, stages, promotes and flips against what was expected.
+
+    proposals: kind, target_table (null is left out); staging: proposed_table,
+    match_summary (JSON; a row that is none is left out, one without reason has reason '');
+    claims: entity_table, entity_id, column_name, value; weak: predicate, promoted_to.
+    Gold sides: kind, target_table; reason, proposed_table; predicate.  Of
+    canonical_stability tp is the worst number of flips of a cell and passed whether
+    `most_flips` allows it.
+    """
+    told = staging.filter(F.expr("try_parse_json(coalesce(match_summary, '{}'))").isNotNull())
+    told = told.select(F.coalesce(F.get_json_object("match_summary", "$.reason"), F.lit("")).alias("reason"), F.coalesce("proposed_table", F.lit("")).alias("proposed_table"))
+    wanted = gold_staging.select("reason", F.coalesce("proposed_table", F.lit("")).alias("proposed_table"))
+    sides = {
+        "schema_proposal_precision": (gold_proposals, proposals.filter("target_table IS NOT NULL"), ["kind", "target_table"]),
+        "staging_replay_correctness": (wanted, told, ["reason", "proposed_table"]),
+        "weak_relation_promotion_recall": (gold_promoted, weak.filter("promoted_to IS NOT NULL"), ["predicate"]),
+    }
+    rows = [set_prf(gold, seen, key).select(F.lit(name).alias("metric"), "tp", "fp", "fn", "precision", "recall", "f1", F.lit(None).cast("boolean").alias("passed")) for name, (gold, seen, key) in sides.items()]
+    cells = claims.groupBy("entity_table", "entity_id", "column_name").agg(F.greatest(F.count_distinct("value") - 1, F.lit(0)).alias("flips"))
+    worst = cells.agg(F.coalesce(F.max("flips"), F.lit(0)).alias("tp"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("fp", "bigint"), ("fn", "bigint"), ("precision", "double"), ("recall", "double"), ("f1", "double"))]
+    return union_all([*rows, worst.select(F.lit("canonical_stability").alias("metric"), "tp", *none, (F.col("tp") <= most_flips).alias("passed"))])
+
+
 def dedup_pairs(pairs: DataFrame) -> DataFrame:
     """Gold name pairs judged by key equality: predicted, correct and level_ok.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.functions.names import ground_norm, norm_key, suffix_stripped
+from claimwright.operators.search import against_queries
 
 
 def _inside(body: Column, norm: Column) -> Column:
@@ -25,6 +26,17 @@ def grounded(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return met.filter(kept).drop("_body")
 
 
+def grounded_anywhere(names: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, name_id) of every name that stands in a document's text: a stated set of names against all documents.
+
+    names: name_id, name; documents: document_id, body.  The texts stay where they are and
+    the names come to them, in blocks of a checked size.
+    """
+    asked = names.select("name_id", ground_norm("name").alias("_name")).filter("_name <> ''")
+    bodies = documents.select("document_id", ground_norm("body").alias("_body"))
+    return against_queries(asked, "name_id", bodies, lambda met: met.filter(_inside(F.col("_body"), F.col("_name"))).select("document_id", "name_id"))
+
+
 def grounded_relations(relations: DataFrame, documents: DataFrame) -> DataFrame:
     """Relations whose ends both stand in the text; of compliance only the from end must."""
     bodies = documents.select("document_id", ground_norm("body").alias("_body"))

@@ -97,6 +97,20 @@ def weak_matrix(weak: DataFrame) -> DataFrame:
     return weak.groupBy("subject_table", "predicate", F.coalesce("object_table", F.lit("(text)")).alias("object_table")).agg(F.count("*").alias("n"))
 
 
+def weak_summary(weak: DataFrame) -> DataFrame:
+    """(predicate, n) of the relations not yet promoted."""
+    return weak.filter("promoted_to IS NULL").groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+def promotion(predicate: Column) -> list[Column]:
+    """The proposal that promotes a predicate by hand to a table of its own, which asks for a manual dry run."""
+    ddl = F.concat(F.lit("CREATE TABLE "), predicate, F.lit(" (id INTEGER PRIMARY KEY, created_at TEXT NOT NULL)"))
+    return [
+        F.lit("new_table").alias("kind"), predicate.alias("target_table"), ddl.alias("proposed_ddl"),
+        F.concat(F.lit("manual promotion from weak relations: "), predicate).alias("rationale"), F.lit(True).alias("requires_manual_dry_run"), F.lit("pending").alias("status"),
+    ]
+
+
 def promotable(weak: DataFrame, proposals: DataFrame | None = None, least: int = WEAK_PROMOTION_N) -> DataFrame:
     """Unpromoted predicates seen `least` times or more that no pending or approved proposal names."""
     counted = weak.filter("promoted_to IS NULL").groupBy("predicate").agg(F.count("*").alias("n")).filter(F.col("n") >= least)

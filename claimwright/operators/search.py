@@ -13,8 +13,9 @@ from claimwright.functions.text import snippet, terms
 from claimwright.plans.registry import FTS_TOP, HINT_CHARS, HINT_COSINE, HINT_TOP, HINT_TRIGRAM, PROVENANCE_STRINGS, PROVENANCE_TOP
 
 
-#: Query rows broadcast at once; more are scored block by block.
+#: Query rows, and bytes of them, broadcast at once; more are scored block by block.
 QUERIES_PER_BLOCK = 4096
+QUERY_BYTES_PER_BLOCK = 16 << 20
 
 
 def against_queries(queries: DataFrame, key: str, items: DataFrame, score: Callable[[DataFrame], DataFrame], most: int = QUERIES_PER_BLOCK) -> DataFrame:
@@ -23,7 +24,9 @@ def against_queries(queries: DataFrame, key: str, items: DataFrame, score: Calla
     The queries are a stated set held against all items; `score` filters or reduces the
     met rows.  Items are scanned once per block and never multiplied through a shuffle.
     """
-    blocks = max(1, -(-queries.count() // most))
+    size = F.length(F.to_json(F.struct("*"))).cast("long")
+    rows, weight = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-rows // most), -(-weight // QUERY_BYTES_PER_BLOCK))
     parts = []
     for block in range(blocks):
         mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
@@ -54,7 +57,8 @@ def bm25(index: DataFrame, question: DataFrame, top: int = FTS_TOP, id_column: s
     weight = F.log((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
     scored = hits.join(df, "term").join(lengths, id_column).groupBy("question_id", id_column).agg(F.sum(gain).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), id_column))
+    # equal documents have equal scores but for the order of their sums
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), id_column))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
@@ -106,16 +110,16 @@ def hint_text(hints: DataFrame, chars: int = HINT_CHARS) -> DataFrame:
     return lines.groupBy("question_id").agg(F.substring(text, 1, chars).alias("hints"))
 
 
-def candidate_strings(rows: DataFrame, most: int = PROVENANCE_STRINGS) -> DataFrame:
-    """(value): the distinct string cells of a result, trimmed, of two characters or more and not numbers; `most` by name.
+def candidate_strings(rows: DataFrame, most: int | None = PROVENANCE_STRINGS) -> DataFrame:
+    """(value): the distinct string cells of a result, trimmed, of two characters or more and not numbers; `most` by name, or all.
 
-    The result is one that the SQL gate has cut to its limit already.
+    An answer's result is one that the SQL gate has cut to its limit already.
     """
     cells = F.array(*[F.col(n) for n, kind in rows.dtypes if kind == "string"])
     strings = rows.select(F.explode(cells).alias("value")).select(F.trim("value").alias("value"))
     bare = F.regexp_replace("value", r"[.\-]", "")
     usable = strings.filter((F.length("value") >= 2) & ~bare.rlike(r"^\d+$"))
-    return usable.distinct().orderBy("value").limit(most)
+    return usable.distinct() if most is None else usable.distinct().orderBy("value").limit(most)
 
 
 def provenance(strings: DataFrame, entities: DataFrame, claims: DataFrame, documents: DataFrame, top: int = PROVENANCE_TOP) -> DataFrame:

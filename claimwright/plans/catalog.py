@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimwright.operators.search import top_or_head
 from claimwright.plans.registry import CORE_TABLES, EXTRA_TABLES_TOP, Registry
@@ -80,7 +81,7 @@ def _tokens(ddl: str) -> set[str]:
 def _plan(spark: SparkSession, ddl: str) -> list[dict]:
     """The parsed DDL by Spark's parser; type names of other dialects are translated first."""
     text = re.sub(r"\b(text|real)\b(?=\s*(?:,|\)|$|not\b|unique\b|check\b|default\b|primary\b|references\b))", lambda m: DDL_TYPES[m[1].lower()], ddl, flags=re.IGNORECASE)
-    text = re.sub(r"\b(primary\s+key|unique|references\s+\w+\s*\([^)]*\)(\s+on\s+delete\s+\w+)?|if\s+not\s+exists)\b", " ", text, flags=re.IGNORECASE)
+    text = re.sub(r"\b(primary\s+key|unique|references\s+\w+\s*\([^)]*\)(\s+on\s+delete\s+\w+)?)\b", " ", text, flags=re.IGNORECASE)
     text = re.sub(r"\bcheck\s*\((?:[^()]|\([^()]*\))*\)|\bdefault\s+(?:'[^']*'|\S+)|\bautoincrement\b", " ", text, flags=re.IGNORECASE)
     text = re.sub(r",\s*(?:foreign\s+key\s*\([^)]*\)|\([^)]*\))\s*(?=[,)])", "", text, flags=re.IGNORECASE)
     text = re.sub(r"(alter\s+table\s+\S+\s+)add\s+column\s+(?!\()(.+)$", r"\1ADD COLUMNS (\2)", text.strip(), flags=re.IGNORECASE | re.DOTALL)
@@ -96,24 +97,42 @@ def validate(spark: SparkSession, proposal: Proposal) -> Outcome:
     found = sorted(_tokens(proposal.ddl) & set(FORBIDDEN))
     if found:
         return Outcome(False, f"forbidden word: {found[0]}")
+    statement, *indexes = _statements(proposal.ddl)
+    if re.search(r"\bif\s+not\s+exists\b", proposal.ddl, re.IGNORECASE):
+        return Outcome(False, "IF NOT EXISTS is not allowed")
+    about = _target(statement)
+    for index in indexes:
+        m = _INDEX.fullmatch(index)
+        if proposal.kind == "rename" or not m:
+            return Outcome(False, "only indexes may follow the first statement")
+        if m[1].lower() != about:
+            return Outcome(False, f"the index is on {m[1].lower()}, not {about}")
     try:
-        plan = _plan(spark, proposal.ddl.strip().rstrip(";"))
+        plan = _plan(spark, statement)
     except Exception as error:
         return Outcome(False, f"parse error: {str(error).splitlines()[0][:120]}")
     kind = plan[0]["class"].rpartition(".")[2]
-    allowed = {"new_table": ("CreateTable",), "new_column": ("AddColumns",), "rename": ("RenameColumn", "RenameTable")}.get(proposal.kind)
+    allowed = {"new_table": ("CreateTable",), "new_column": ("AddColumns",), "rename": ("RenameColumn",)}.get(proposal.kind)
     if not allowed:
         return Outcome(False, f"unknown kind: {proposal.kind}")
     if kind not in allowed:
         return Outcome(False, f"{proposal.kind} may not be {kind}")
-    target = _target(proposal.ddl)
-    if proposal.table and target != proposal.table.lower():
-        return Outcome(False, f"the DDL is about {target}, not {proposal.table}")
+    if proposal.table and about != proposal.table.lower():
+        return Outcome(False, f"the DDL is about {about}, not {proposal.table}")
     return Outcome(True)
 
 
+#: A plain index on columns of one table.
+_INDEX = re.compile(r"create\s+(?:unique\s+)?index\s+\w+\s+on\s+[`\"]?(\w+)[`\"]?\s*\(\s*\w+(?:\s+(?:asc|desc))?(?:\s*,\s*\w+(?:\s+(?:asc|desc))?)*\s*\)", re.IGNORECASE)
+
+
+def _statements(ddl: str) -> list[str]:
+    """The statements of a text, cut at semicolons outside quotes."""
+    return [s.strip() for s in re.findall(r"(?:'[^']*'|\"[^\"]*\"|[^;'\"])+", ddl) if s.strip()] or [""]
+
+
 def _target(ddl: str) -> str:
-    m = re.match(r"\s*(?:create\s+table|alter\s+table)\s+(?:if\s+not\s+exists\s+)?[`\"]?(\w+)", ddl, re.IGNORECASE)
+    m = re.match(r"\s*(?:create\s+table|alter\s+table)\s+[`\"]?(\w+)", ddl, re.IGNORECASE)
     return m[1].lower() if m else ""
 
 
@@ -131,7 +150,8 @@ def dry_run(spark: SparkSession, registry: Registry, proposal: Proposal) -> Outc
     checked = validate(spark, proposal)
     if not checked.ok:
         return checked
-    table, ddl = _target(proposal.ddl), proposal.ddl.strip().rstrip(";")
+    ddl = _statements(proposal.ddl)[0]
+    table = _target(ddl)
     tables = registry.tables()
     if proposal.kind == "new_table":
         if table in tables:
@@ -165,6 +185,13 @@ def schema_diff(before: Registry, after: Registry) -> list[dict]:
     return out
 
 
+def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(table, column, change) of two catalogs of rows (table, column, type): added, removed, retyped or kept."""
+    sides = before.withColumnRenamed("type", "was").join(after.withColumnRenamed("type", "now"), ["table", "column"], "full")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "retyped").otherwise("kept")
+    return sides.select("table", "column", change.alias("change"))
+
+
 def column_diff(before: dict[str, str], after: dict[str, str]) -> dict[str, list[str]]:
     return {
         "added": [c for c in after if c not in before],
@@ -191,8 +218,6 @@ def table_ddl(name: str, columns: dict[str, str]) -> str:
 
 def apply_to_table(df: DataFrame, before: dict[str, str], after: dict[str, str]) -> DataFrame:
     """A table's rows under a later column list: new columns are null, removed ones go."""
-    from pyspark.sql import functions as F
-
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in after.items()])
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimwright.functions.names import norm_key
 from claimwright.functions.text import chunks, loads_loose, parse_payload
 from claimwright.operators import edges, entities, grounding, routing
 from claimwright.plans.registry import CHUNK_CHARS, JUNCTIONS, LOW_CONFIDENCE, Registry
@@ -27,31 +28,35 @@ _SPAN = 1 << 20
 
 
 def extract(documents: DataFrame, model: Callable[[str, list[str]], str], limit: int = CHUNK_CHARS) -> DataFrame:
-    """(document_id, raw): one payload per document of rows (document_id, body).
+    """(document_id, raw, failed): one payload per document of rows (document_id, body).
 
-    `model(chunk, known names)` gives JSON text; a chunk that fails is left out.  Later
-    chunks are told the names found so far.
+    `model(chunk, known names)` gives JSON text; a chunk that fails is left out and stands
+    in `failed` with its number and the error.  Later chunks are told the names found so
+    far.
     """
 
-    def one(body: str) -> str:
+    def one(body: str) -> tuple[str, list[dict]]:
         whole: dict[str, list] = {k: [] for k in _SECTIONS}
         known: list[str] = []
-        for chunk in chunks(body, limit):
+        failed: list[dict] = []
+        for number, chunk in enumerate(chunks(body, limit)):
             try:
                 found = loads_loose(model(chunk, known))
-            except Exception:
+            except Exception as error:
+                failed.append({"chunk_no": number, "error": f"{type(error).__name__}: {error}"})
                 continue
             found = {"entities": found} if isinstance(found, list) else found if isinstance(found, dict) else {}
             for section in _SECTIONS:
                 whole[section] += found.get(section) or []
             known += [e["canonical_name"] for e in found.get("entities") or [] if isinstance(e, dict) and e.get("canonical_name") and e["canonical_name"] not in known]
-        return json.dumps(whole, ensure_ascii=False)
+        return json.dumps(whole, ensure_ascii=False), failed
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"document_id": batch["document_id"], "raw": [one(b) for b in batch["body"]]})
+            done = [one(b) for b in batch["body"]]
+            yield pd.DataFrame({"document_id": batch["document_id"], "raw": [x[0] for x in done], "failed": [x[1] for x in done]})
 
-    return documents.select("document_id", "body").mapInPandas(work, "document_id long, raw string")
+    return documents.select("document_id", "body").mapInPandas(work, "document_id long, raw string, failed array<struct<chunk_no: int, error: string>>")
 
 
 def ingest(extractions: DataFrame, documents: DataFrame, known: DataFrame | None = None, aliases: DataFrame | None = None, registry: Registry | None = None) -> dict[str, DataFrame]:
@@ -72,7 +77,7 @@ def ingest(extractions: DataFrame, documents: DataFrame, known: DataFrame | None
 
     starters = list((registry or Registry()).entities)
     upserts = entities.upsert_entities(kept.filter(F.col("proposed_type").isin(starters)).select(F.col("proposed_type").alias("entity_table"), F.col("canonical_name").alias("name"), "seq"), known, aliases)
-    upserts = cut(upserts.withColumn("entity_id", F.xxhash64("entity_table", "norm_key")))
+    upserts = cut(upserts)
     ids = cut(kept.join(upserts.filter("how <> 'invalid'").select("seq", "entity_table", "entity_id"), "seq"))
     mentions = ids.select("document_id", "entity_table", "entity_id", F.coalesce("mention_surface", "canonical_name").alias("surface_form"))
 
@@ -82,7 +87,8 @@ def ingest(extractions: DataFrame, documents: DataFrame, known: DataFrame | None
     routed = routing.route_attributes(cells.filter("column_name IS NOT NULL").unionByName(name_cells), registry)
     claims = routed.filter("route = 'claim'").select(F.col("proposed_type").alias("entity_table"), "entity_id", "column_name", "value", "document_id", "evidence", "confidence", "seq")
     staged = routed.filter("route = 'staging'")
-    staging = staged.select("document_id", F.lit("entity").alias("kind"), "reason", F.to_json(F.struct("proposed_type", "canonical_name", "column_name", "value", "confidence")).alias("payload"))
+    staged = _with_candidates(staged, upserts, known, aliases)
+    staging = staged.select("document_id", F.lit("entity").alias("kind"), "reason", F.to_json(F.struct("proposed_type", "canonical_name", "column_name", "value", "confidence", "candidates")).alias("payload"))
 
     relations = parsed.select("document_id", "arrival", F.posexplode("g.relations").alias("idx", "r")).select("document_id", "arrival", "idx", "r.*")
     relations = grounding.grounded_relations(relations, documents).withColumn("rel", F.col("arrival") * _SPAN + F.col("idx"))
@@ -126,6 +132,26 @@ def ingest(extractions: DataFrame, documents: DataFrame, known: DataFrame | None
     }
 
 
+def _with_candidates(staged: DataFrame, upserts: DataFrame, known: DataFrame | None, aliases: DataFrame | None) -> DataFrame:
+    """Staged rows with the entities that their name resembles: of any type where theirs is unknown, of their own where confidence was low.
+
+    Entities are those of this batch, the stored ones and their aliases.
+    """
+    here = upserts.filter("how <> 'invalid'").select("entity_table", "entity_id", "norm_key")
+    for more in (known, aliases):
+        if more is not None:
+            own = F.col("entity_id").cast("long") if "entity_id" in more.columns else F.xxhash64("entity_table", norm_key("name"))
+            here = here.union(more.select("entity_table", own.alias("entity_id"), "norm_key"))
+    asked = staged.filter(F.col("reason").isin("non_starter_type", "low_confidence")).select(
+        F.xxhash64("proposed_type", "canonical_name").alias("query_id"), "proposed_type", "reason", norm_key("canonical_name").alias("norm_key")
+    ).distinct()
+    found = entities.candidates(asked.select("query_id", "norm_key").distinct(), here.distinct())
+    fits = asked.join(found, "query_id").filter((F.col("reason") != "low_confidence") | (F.col("entity_table") == F.col("proposed_type")))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "entity_table", "entity_id", "score")))
+    listed = fits.groupBy("query_id", "reason").agg(F.transform(ranked, lambda x: F.struct(x.entity_table.alias("entity_table"), x.entity_id.alias("entity_id"), x.score.alias("score"))).alias("candidates"))
+    return staged.withColumn("query_id", F.xxhash64("proposed_type", "canonical_name")).join(listed, ["query_id", "reason"], "left").drop("query_id")
+
+
 def _named(names: DataFrame, ids: DataFrame, hint: str | None = None) -> DataFrame:
     """(name_id, entity_table, entity_id) of (document_id, name_id, name[, hint]) among the same document's entities."""
     here = ids.select(F.concat_ws("|", "document_id", "canonical_name").alias("canonical_name"), "entity_table", "entity_id")

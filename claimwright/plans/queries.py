@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimwright.functions.confidence import mean_confidence
 from claimwright.functions.names import strip_name
 from claimwright.functions.text import chunk_documents, parse_payload, terms
 from claimwright.operators import audit, claims, edges, entities, evaluation, grounding, routing, search
@@ -167,7 +166,24 @@ def norm_key_ascii(t):
 f AS (SELECT *, min(seq) OVER (PARTITION BY entity_table, norm_key) AS first_seq, first_value(name) OVER (PARTITION BY entity_table, norm_key ORDER BY seq) AS canonical_name FROM k)
 SELECT entity_table, name, seq, norm_key, first_seq, canonical_name, CASE WHEN norm_key = '' THEN 'invalid' WHEN seq = first_seq THEN 'new' ELSE 'exact' END AS how FROM f""")
 def entity_upsert(t):
-    return entities.upsert_entities(_names(t))
+    return entities.upsert_entities(_names(t)).drop("entity_id")
+
+
+@_query(f"""WITH n AS (SELECT s_name AS name, s_suppkey AS seq FROM supplier UNION ALL SELECT 'Vendor ' || s_suppkey || ' Ltd.', 10000000 + s_suppkey FROM supplier UNION ALL SELECT c_name, 20000000 + c_custkey FROM customer),
+k AS (SELECT *, {_KEY_SQL.format('name')} AS norm_key FROM n), s AS (SELECT s_suppkey AS id, s_name, {_KEY_SQL.format('s_name')} AS key FROM supplier), a AS (SELECT s_suppkey AS id, s_name, 'vendor' || s_suppkey AS key FROM supplier)
+SELECT k.name, k.norm_key, coalesce(s.s_name, a.s_name, k.name) AS canonical_name, CASE WHEN s.id IS NOT NULL THEN 'exact' WHEN a.id IS NOT NULL THEN 'alias' ELSE 'new' END AS how, coalesce(s.id, a.id) AS stored_id
+FROM k LEFT JOIN s ON k.norm_key = s.key LEFT JOIN a ON k.norm_key = a.key""")
+def entity_upsert_aliases(t):
+    """Names that are stored, names that are an alias' and have its entity's id, and new ones."""
+    s = t("supplier")
+    table = F.lit("supplier").alias("entity_table")
+    arriving = s.select(table, F.col("s_name").alias("name"), F.col("s_suppkey").alias("seq"))
+    arriving = arriving.union(s.select(table, F.concat(F.lit("Vendor "), F.col("s_suppkey").cast("string"), F.lit(" Ltd.")), F.col("s_suppkey") + 10000000))
+    arriving = arriving.union(t("customer").select(table, "c_name", F.col("c_custkey") + 20000000))
+    stored = s.select(table, F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), strip_name("s_name").alias("norm_key"))
+    aliases = s.select(table, F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"), F.concat(F.lit("vendor"), F.col("s_suppkey").cast("string")).alias("norm_key"))
+    met = entities.upsert_entities(arriving, stored, aliases)
+    return met.select("name", "norm_key", "canonical_name", "how", F.when(F.col("how").isin("exact", "alias"), F.col("entity_id")).alias("stored_id"))
 
 
 _TRIGRAM_SQL = "list_distinct(list_transform(range(1, len({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
@@ -310,7 +326,7 @@ def hierarchy_closure(t):
 UNION ALL SELECT 'customer', c_custkey, 'nation', 'out', c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT 'supplier', s_suppkey, 'nation', 'out', s_nationkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT DISTINCT 'supplier', l_suppkey, 'part', 'in', l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT * FROM r WHERE entity_id < 20""")
+SELECT * FROM r""")
 def entity_360(t):
     shape = ["entity_table", "entity_id", "relation", "direction", "other_id", "other_name"]
     nation = t("nation").select(F.col("n_nationkey").cast("bigint").alias("other_id"), F.col("n_name").alias("other_name"))
@@ -318,9 +334,9 @@ def entity_360(t):
     home = t("customer").select(F.lit("customer").alias("entity_table"), F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").cast("bigint").alias("other_id"))
     home = home.union(t("supplier").select(F.lit("supplier"), "s_suppkey", F.col("s_nationkey").cast("bigint"))).join(nation, "other_id")
     home = home.withColumn("relation", F.lit("nation")).withColumn("direction", F.lit("out"))
-    made = t("lineitem").filter("l_suppkey < 20").select("l_suppkey", "l_partkey").distinct().join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    made = t("lineitem").select("l_suppkey", "l_partkey").distinct().join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     made = made.select(F.lit("supplier").alias("entity_table"), F.col("l_suppkey").alias("entity_id"), F.lit("part").alias("relation"), F.lit("in").alias("direction"), F.col("l_partkey").alias("other_id"), F.col("p_name").alias("other_name"))
-    return evaluation.union_all([order.select(*shape), home.select(*shape), made.select(*shape)]).filter("entity_id < 20")
+    return evaluation.union_all([order.select(*shape), home.select(*shape), made.select(*shape)])
 
 
 # Weak relations, audits, lists --------------------------------------------------------
@@ -351,6 +367,58 @@ def weak_promotion(t):
     return routing.promotable(_weak(t), named)
 
 
+@_query(f"WITH {_WEAK_SQL} SELECT predicate, count(*) AS n FROM w WHERE promoted_to IS NULL GROUP BY predicate")
+def weak_summary(t):
+    return routing.weak_summary(_weak(t))
+
+
+@_query(f"""WITH {_WEAK_SQL} SELECT DISTINCT 'new_table' AS kind, predicate AS target_table, 'CREATE TABLE ' || predicate || ' (id INTEGER PRIMARY KEY, created_at TEXT NOT NULL)' AS proposed_ddl,
+'manual promotion from weak relations: ' || predicate AS rationale, true AS requires_manual_dry_run, 'pending' AS status FROM w WHERE promoted_to IS NULL""")
+def weak_manual_promotion(t):
+    return routing.weak_summary(_weak(t)).select(*routing.promotion(F.col("predicate")))
+
+
+@_query("""SELECT event_id, user_id AS document_id, status, c_name AS doc_slug FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS status FROM events) JOIN customer ON c_custkey = user_id WHERE status = 'pending'""")
+def staging_documents(t):
+    status = F.element_at(F.array(*map(F.lit, ("pending", "accepted", "rejected"))), (F.col("event_id") % 3 + 1).cast("int"))
+    staged = t("events").select("event_id", F.col("user_id").alias("document_id"), status.alias("status"))
+    return audit.staging_list(staged, t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("slug"))).select("event_id", "document_id", "status", "doc_slug")
+
+
+@_query("""WITH e AS (SELECT 'customer' AS et, c_custkey AS ei, c_name AS n FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier),
+w AS (SELECT event_id, event_type AS predicate, user_id AS subject_id, value AS confidence, CASE WHEN event_id % 2 = 0 THEN user_id END AS object_id, CASE WHEN event_id % 2 = 1 THEN 'text ' || event_id END AS object_text, event_id % 30 AS document_id FROM events)
+SELECT event_id, predicate, s.n AS subject_name, coalesce(o.n, object_text) AS object_name, n_name AS slug FROM w LEFT JOIN e s ON s.et = 'customer' AND s.ei = subject_id LEFT JOIN e o ON o.et = 'supplier' AND o.ei = object_id
+LEFT JOIN nation ON n_nationkey = document_id ORDER BY confidence DESC, predicate, subject_id LIMIT 500""")
+def weak_list(t):
+    rows = t("events").select(
+        "event_id", F.col("event_type").alias("predicate"), F.lit("customer").alias("subject_table"), F.col("user_id").alias("subject_id"), F.col("value").alias("confidence"), F.lit("supplier").alias("object_table"),
+        F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("object_id"), F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("text "), F.col("event_id").cast("string"))).alias("object_text"), (F.col("event_id") % 30).alias("document_id"),
+    )
+    known = t("customer").select(F.lit("customer").alias("entity_table"), F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("canonical_name")).union(t("supplier").select(F.lit("supplier"), "s_suppkey", "s_name"))
+    found = audit.weak_list(rows, known, t("nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("slug")))
+    return found.select("event_id", "predicate", "subject_name", "object_name", "slug")
+
+
+@_query(_RESOLVE_SQL + """SELECT entity_id, column_name, r.document_id, r.value, r.confidence FROM resolved r SEMI JOIN (SELECT DISTINCT entity_id AS e, column_name AS c FROM resolved WHERE status = 'conflicted' AND entity_id % 3 <> 0) o ON entity_id = e AND column_name = c""")
+def conflict_members(t):
+    """Open conflict groups with all claims of their cell; every third entity's are resolved."""
+    found = _resolved(t)
+    keyed = found.select("entity_id", "column_name", "document_id", "value", "confidence", F.xxhash64("entity_table", "entity_id", "column_name").alias("conflict_group"))
+    groups = claims.conflict_groups(found).select("conflict_group", F.when(F.col("entity_id") % 3 == 0, "done").alias("resolved_at")).distinct()
+    return audit.conflict_members(groups, keyed).select("entity_id", "column_name", "document_id", "value", "confidence")
+
+
+@_query("""WITH a AS (SELECT c_name AS slug, c_custkey AS id, 1 AS ingested_at, c_mktsegment AS title FROM customer UNION ALL SELECT c_name, c_custkey + 1000000, 2, upper(c_mktsegment) || '!' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_name, s_suppkey + 2000000, 2, 'supplier' FROM supplier)
+SELECT slug, min(id) AS id, max(ingested_at) AS ingested_at, arg_max(title, ingested_at) AS title FROM a GROUP BY slug""")
+def documents_upsert(t):
+    """Documents that arrive again keep their first id and take the latest fields."""
+    c = t("customer")
+    stored = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("slug"), F.lit(1).alias("ingested_at"), F.col("c_mktsegment").alias("title"))
+    arriving = c.filter("c_custkey % 2 = 0").select((F.col("c_custkey") + 1000000).alias("id"), F.col("c_name").alias("slug"), F.lit(2).alias("ingested_at"), F.concat(F.upper("c_mktsegment"), F.lit("!")).alias("title"))
+    arriving = arriving.union(t("supplier").select(F.col("s_suppkey") + 2000000, "s_name", F.lit(2), F.lit("supplier")))
+    return audit.upsert_documents(stored, arriving)
+
+
 @_query("""WITH e AS (SELECT 'customer' AS entity_table, c_custkey AS entity_id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part)
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' ELSE 'part' END AS subject_table, user_id AS subject_id, name AS subject_name
 FROM events LEFT JOIN e ON entity_table = CASE event_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'supplier' ELSE 'part' END AND entity_id = user_id""")
@@ -385,7 +453,7 @@ c AS (SELECT DISTINCT l_partkey AS entity_id, l_orderkey AS document_id FROM lin
 SELECT DISTINCT 'order-' || document_id AS slug, canonical_name AS matched_value, entity_table FROM e JOIN s ON canonical_name = v JOIN c USING (entity_id) ORDER BY 1, 2, 3 LIMIT 8""")
 def union_provenance(t):
     p, li, o = t("part"), t("lineitem"), t("orders")
-    strings = search.candidate_strings(p.filter("p_size > 40").select("p_name"), 10_000)
+    strings = search.candidate_strings(p.filter("p_size > 40").select("p_name"), None)
     known = p.select(F.lit("part").alias("entity_table"), F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name"))
     backed = li.select(F.lit("part").alias("entity_table"), F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", "active").otherwise("superseded").alias("status"))
     slugs = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("slug"))
@@ -407,20 +475,25 @@ def fts_snippet(t):
     return search.fts(t("documents"), _QUESTION)
 
 
-@_query()
+_TERMS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+
+
+@_query(f"""WITH i AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents), l AS (SELECT doc_id, count(*) AS len FROM i GROUP BY doc_id), s AS (SELECT count(*) AS docs, avg(len) AS al FROM l),
+q AS (SELECT DISTINCT question_id, term FROM (SELECT item_id AS question_id, unnest({_TERMS_SQL}) AS term FROM benchmark)), tf AS (SELECT doc_id, term, count(*) AS tf FROM i GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+g AS (SELECT question_id, doc_id, sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM tf JOIN q USING (term) JOIN df USING (term) JOIN l USING (doc_id), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM g)
+SELECT question_id, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {FTS_TOP}""")
 def fts_bm25(t):
-    asked = t("benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.slice(terms("text"), 1, 6)).alias("term"))
+    asked = t("benchmark").select(F.col("item_id").alias("question_id"), F.explode(terms("text")).alias("term"))
     return search.bm25(search.inverted_index(t("documents")), asked).select("question_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
-@_query("""SELECT doc_id, item_id FROM (SELECT doc_id, text, unnest([doc_id % 40, (doc_id * 7 + 3) % 40]) AS item_id FROM documents) d JOIN benchmark b USING (item_id)
-WHERE contains(lower(d.text), lower(split_part(b.text, '.', 1)))""")
+@_query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def grounding_contains(t):
-    d, b = t("documents"), t("benchmark")
-    named = d.select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.col("doc_id") % 40, (F.col("doc_id") * 7 + 3) % 40)).alias("item_id"))
-    named = named.join(b.select("item_id", F.substring_index("text", ".", 1).alias("canonical_name")), "item_id").withColumn("mention_surface", F.lit(None).cast("string"))
-    found = grounding.grounded(named, d.select(F.col("doc_id").alias("document_id"), F.col("text").alias("body")))
-    return found.select(F.col("document_id").alias("doc_id"), "item_id").distinct()
+    """Every benchmark text in every document, both whole."""
+    names = t("benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name"))
+    found = grounding.grounded_anywhere(names, t("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body")))
+    return found.select(F.col("document_id").alias("doc_id"), F.col("name_id").alias("item_id"))
 
 
 @_query()
@@ -441,8 +514,8 @@ def payload_parse(t):
 
 @_query("""SELECT user_id, event_type, round(exp(avg(-value / 100)), 6) AS confidence, count(*) AS tokens FROM events GROUP BY ALL""")
 def confidence_exp_mean(t):
-    grouped = t("events").groupBy("user_id", "event_type").agg(F.collect_list(-F.col("value") / 100).alias("lp"), F.count("*").alias("tokens"))
-    return grouped.select("user_id", "event_type", F.round(mean_confidence(F.col("lp")), 6).alias("confidence"), "tokens")
+    grouped = t("events").groupBy("user_id", "event_type").agg(F.avg(-F.col("value") / 100).alias("lp"), F.count("*").alias("tokens"))
+    return grouped.select("user_id", "event_type", F.round(F.exp("lp"), 6).alias("confidence"), "tokens")
 
 
 # Routing ----------------------------------------------------------------------------
@@ -534,6 +607,86 @@ def entity_match_failures(t):
     return evaluation.set_differences(p, p.filter("p_size > 10").select(names.alias("p_name"), "p_type"), ["p_name", "p_type"])
 
 
+_PRF_SQL = """SELECT tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall,
+round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1"""
+_SETS_SQL = "m AS (SELECT (SELECT count(*) FROM (SELECT * FROM g INTERSECT SELECT * FROM p)) AS tp, (SELECT count(*) FROM (SELECT * FROM p EXCEPT SELECT * FROM g)) AS fp, (SELECT count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM p)) AS fn)"
+
+
+@_query(f"""WITH n AS (SELECT p_partkey AS id, unnest([p_name, p_name || ' mark ' || p_partkey % 7]) AS n FROM part), k AS (SELECT {_KEY_SQL.format('n')} AS k, min(id) AS id FROM n GROUP BY 1),
+p AS (SELECT DISTINCT CASE p_size % 3 WHEN 0 THEN upper(p_name) || ' Inc.' WHEN 1 THEN p_name || '-Mark-' || p_partkey % 7 ELSE p_name || ' zz' END AS n FROM part), f AS (SELECT DISTINCT {_KEY_SQL.format('n')} AS k FROM p),
+m AS (SELECT count(DISTINCT id) AS tp, CAST(sum(CASE WHEN id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp, (SELECT count(*) FROM part) - count(DISTINCT id) AS fn FROM f LEFT JOIN k USING (k)) {_PRF_SQL} FROM m""")
+def entity_match_groups(t):
+    """Predicted names against gold groups of a name and an alias."""
+    p = t("part")
+    mark = (F.col("p_partkey") % 7).cast("string")
+    gold = p.select(F.col("p_partkey").alias("group_id"), F.lit("part").alias("proposed_type"), F.array("p_name", F.concat("p_name", F.lit(" mark "), mark)).alias("names"))
+    name = F.when(F.col("p_size") % 3 == 0, F.concat(F.upper("p_name"), F.lit(" Inc."))).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit("-Mark-"), mark)).otherwise(F.concat("p_name", F.lit(" zz")))
+    return evaluation.match_entities(gold, p.select(F.lit("part").alias("proposed_type"), name.alias("canonical_name")))
+
+
+@_query(f"""WITH b AS (SELECT 'placed_' || o_orderstatus AS j, c_name AS f, o_orderpriority AS t, o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT DISTINCT j, {_KEY_SQL.format('f')} AS f, {_KEY_SQL.format('t')} AS t FROM b WHERE o % 5 <> 0), p AS (SELECT DISTINCT j, {_KEY_SQL.format("upper(f) || ' Ltd.'")} AS f, {_KEY_SQL.format('t')} AS t FROM b WHERE o % 3 <> 0), {_SETS_SQL} {_PRF_SQL} FROM m""")
+def relation_match_prf(t):
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    side = lambda keep, name: rows.filter(keep).select(F.concat(F.lit("placed_"), "o_orderstatus").alias("proposed_junction"), name.alias("from"), F.col("o_orderpriority").alias("to"))
+    return evaluation.match_relations(side(F.col("o_orderkey") % 5 != 0, F.col("c_name")), side(F.col("o_orderkey") % 3 != 0, F.concat(F.upper("c_name"), F.lit(" Ltd."))))
+
+
+@_query(f"""WITH b AS (SELECT s_name, n_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+g AS (SELECT DISTINCT {_KEY_SQL.format('s_name')} AS s, 'based in' AS predicate, {_KEY_SQL.format('n_name')} AS o FROM b), p AS (SELECT DISTINCT {_KEY_SQL.format("upper(s_name) || ', Inc.'")}, CASE WHEN s_suppkey % 4 = 0 THEN 'located in' ELSE 'based in' END, {_KEY_SQL.format('n_name')} FROM b WHERE s_suppkey % 7 <> 0), {_SETS_SQL} {_PRF_SQL} FROM m""")
+def weak_match_prf(t):
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    gold = rows.select(F.col("s_name").alias("subject"), F.lit("based in").alias("predicate"), F.col("n_name").alias("object"))
+    said = F.when(F.col("s_suppkey") % 4 == 0, "located in").otherwise("based in")
+    return evaluation.match_weak(gold, rows.filter("s_suppkey % 7 <> 0").select(F.concat(F.upper("s_name"), F.lit(", Inc.")).alias("subject"), said.alias("predicate"), F.col("n_name").alias("object")))
+
+
+@_query(f"""WITH s AS (SELECT {_KEY_SQL.format('s_name')} AS k, s_suppkey, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier),
+g AS (SELECT k, 'nation' AS c, nation AS v FROM s WHERE s_suppkey % 10 <> 0), r AS (SELECT k, 'nation' AS c, CASE WHEN s_suppkey % 6 = 0 THEN 'x' ELSE nation END AS v FROM s UNION ALL SELECT k, 'colour', 'red' FROM s),
+p AS (SELECT DISTINCT * FROM r WHERE (k, c) IN (SELECT k, c FROM g)), {_SETS_SQL} {_PRF_SQL} FROM m""")
+def cell_match_prf(t):
+    """Cells of entities named by an alias where the key is even; a column that gold doesn't have is no mistake."""
+    s = t("supplier").select(strip_name("s_name").alias("k"), "s_suppkey", F.col("s_nationkey").cast("string").alias("nation"))
+    kind = F.lit("supplier").alias("proposed_type")
+    gold = s.filter("s_suppkey % 10 <> 0").select(kind, "k", F.lit("nation").alias("column"), F.col("nation").alias("value"))
+    alias = F.concat(F.lit("vendor"), F.col("s_suppkey").cast("string"))
+    named = F.when(F.col("s_suppkey") % 2 == 0, alias).otherwise(F.col("k")).alias("k")
+    said = s.select(kind, named, F.lit("nation").alias("column"), F.when(F.col("s_suppkey") % 6 == 0, "x").otherwise(F.col("nation")).alias("value"))
+    said = said.union(s.select(kind, named, F.lit("colour"), F.lit("red")))
+    return evaluation.match_cells(gold, said, s.select(kind, alias.alias("alias_key"), F.col("k").alias("canonical_key")))
+
+
+@_query(f"""WITH p AS (SELECT c_name AS a, CASE c_custkey % 3 WHEN 0 THEN upper(c_name) || ' Co.' WHEN 1 THEN c_name || ' Group' ELSE replace(c_name, '#', ' ') END AS b, CASE WHEN c_custkey % 4 = 0 THEN 'different' ELSE 'same' END AS expected, CASE WHEN c_custkey % 5 = 0 THEN 'alias-or-llm' ELSE 'exact' END AS level FROM customer),
+j AS (SELECT *, CASE WHEN {_KEY_SQL.format('a')} = {_KEY_SQL.format('b')} THEN 'same' ELSE 'different' END AS predicted FROM p)
+SELECT round(avg(CAST(predicted = expected AS INT)), 4) AS accuracy, round(avg(CASE WHEN expected = 'same' THEN CAST(predicted = expected AND level = 'exact' AS INT) END), 4) AS level_match, count(*) AS n FROM j""")
+def dedup_accuracy(t):
+    k = F.col("c_custkey")
+    other = F.when(k % 3 == 0, F.concat(F.upper("c_name"), F.lit(" Co."))).when(k % 3 == 1, F.concat("c_name", F.lit(" Group"))).otherwise(F.replace("c_name", F.lit("#"), F.lit(" ")))
+    pairs = t("customer").select(k.alias("pair_id"), F.col("c_name").alias("a"), other.alias("b"), F.when(k % 4 == 0, "different").otherwise("same").alias("expected"), F.when(k % 5 == 0, "alias-or-llm").otherwise("exact").alias("level"))
+    return evaluation.accuracy(evaluation.dedup_pairs(pairs))
+
+
+@_query(f"""WITH e AS (SELECT event_id, event_type, user_id, user_id % 9 AS u, event_id % 7 AS m, json_extract_string(props, '$.k') AS v FROM events),
+s1 AS (SELECT 'schema_proposal_precision' AS metric, * FROM (WITH p AS (SELECT DISTINCT CASE WHEN u < 4 THEN 'new_table' ELSE 'new_column' END AS kind, event_type || u AS target FROM e WHERE u <> 8), g AS (SELECT DISTINCT 'new_table' AS kind, event_type || u AS target FROM e WHERE u < 6), {_SETS_SQL} {_PRF_SQL} FROM m)),
+s2 AS (SELECT 'staging_replay_correctness' AS metric, * FROM (WITH p AS (SELECT DISTINCT CASE WHEN m = 1 THEN '' ELSE 'low_' || m END AS reason, CASE WHEN u = 0 THEN '' ELSE event_type END AS tab FROM e WHERE m <> 0), g AS (SELECT DISTINCT 'low_' || m AS reason, event_type AS tab FROM e WHERE m < 4), {_SETS_SQL} {_PRF_SQL} FROM m)),
+s3 AS (SELECT 'weak_relation_promotion_recall' AS metric, * FROM (WITH p AS (SELECT DISTINCT event_type || m FROM e WHERE u = 3), g AS (SELECT DISTINCT event_type || m FROM e WHERE m < 3), {_SETS_SQL} {_PRF_SQL} FROM m)),
+w AS (SELECT max(f) AS tp FROM (SELECT count(DISTINCT v) - 1 AS f FROM e GROUP BY user_id, event_type))
+SELECT *, CAST(NULL AS BOOLEAN) AS passed FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) UNION ALL SELECT 'canonical_stability', tp, NULL, NULL, NULL, NULL, NULL, tp <= 0 FROM w""")
+def proposal_metrics(t):
+    """Proposals, staged reasons (some of them no JSON) and promotions of a store against what was expected, and its flips."""
+    e = t("events").select("event_type", "user_id", (F.col("user_id") % 9).alias("u"), (F.col("event_id") % 7).alias("m"), F.get_json_object("props", "$.k").alias("value"))
+    tagged = F.concat("event_type", F.col("u").cast("string"))
+    reason = F.concat(F.lit("low_"), F.col("m").cast("string"))
+    proposals = e.select(F.when(F.col("u") < 4, "new_table").otherwise("new_column").alias("kind"), F.when(F.col("u") != 8, tagged).alias("target_table"))
+    summary = F.when(F.col("m") == 0, "{broken").when(F.col("m") == 1, "{}").otherwise(F.to_json(F.struct(reason.alias("reason"))))
+    staging = e.select(F.when(F.col("u") != 0, F.col("event_type")).alias("proposed_table"), summary.alias("match_summary"))
+    claimed = e.select(F.lit("user").alias("entity_table"), F.col("user_id").alias("entity_id"), F.col("event_type").alias("column_name"), "value")
+    predicate = F.concat("event_type", F.col("m").cast("string")).alias("predicate")
+    weak = e.select(predicate, F.when(F.col("u") == 3, "edge").alias("promoted_to"))
+    gold = e.filter("u < 6").select(F.lit("new_table").alias("kind"), tagged.alias("target_table")), e.filter("m < 4").select(reason.alias("reason"), F.col("event_type").alias("proposed_table")), e.filter("m < 3").select(predicate)
+    return evaluation.proposal_metrics(proposals, staging, claimed, weak, *gold)
+
+
 @_query("""SELECT CAST(count(*) AS BIGINT) AS cases, round(avg(CAST(o_orderstatus <> 'P' AS INT)), 6) AS sql_ok, round(coalesce(avg(CASE WHEN o_orderstatus = 'F' THEN CAST(contains(lower(o_orderpriority), 'high') AS INT) END), 0), 6) AS contains FROM orders""")
 def answer_scores(t):
     cell = evaluation.row_contains(F.array("o_orderpriority", "o_orderstatus"), F.lit("HIGH"))
@@ -568,21 +721,13 @@ def interval_overlap(t):
     return rows.filter("started_at <= '1998-06-30' AND (ended_at IS NULL OR ended_at >= '1998-06-01')")
 
 
-@_query()
+@_query("""WITH a AS (SELECT substr(column_name, 3) AS c FROM information_schema.columns WHERE table_name = 'customer'), b AS (SELECT substr(column_name, 3) AS c FROM information_schema.columns WHERE table_name = 'supplier')
+SELECT 'party' AS "table", coalesce(a.c, b.c) AS "column", CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.c = b.c""")
 def catalog_diff(t):
+    """Customers' columns turned to suppliers', prefixes left off: what a migration would add, remove and keep."""
     spark = t("region").sparkSession
-    proposals = [
-        catalog.Proposal("new_table", "startup", catalog.table_ddl("startup", {"stage": "TEXT"})),
-        catalog.Proposal("new_column", "product", "ALTER TABLE product ADD COLUMN color TEXT"),
-        catalog.Proposal("rename", "project", "ALTER TABLE project RENAME COLUMN started_at TO began_at"),
-        catalog.Proposal("new_table", "bad", "DROP TABLE person"),
-    ]
-    registry, rows = Registry(), []
-    for p in proposals:
-        done = catalog.approve(spark, registry, p)
-        registry = done.registry or registry
-        rows += [(p.kind, p.table, done.ok, done.reason, d["table"], d["change"], ",".join(d["added"]), ",".join(d["removed"])) for d in done.diff or [{"table": None, "change": None, "added": [], "removed": []}]]
-    return spark.createDataFrame(rows, "kind string, target string, ok boolean, reason string, `table` string, change string, added string, removed string")
+    sides = [spark.createDataFrame([("party", c[2:], kind) for c, kind in t(name).dtypes], "`table` string, `column` string, type string") for name in ("customer", "supplier")]
+    return catalog.column_changes(*sides)
 
 
 @_query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -603,9 +748,11 @@ def rollup_counts(t):
     return met.rollup("n_regionkey", "c_mktsegment").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@_query()
+@_query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY l_returnflag")
 def approx_distinct(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """Distinct parts, and whether the sketch of 2 % deviation comes within four deviations."""
+    both = t("lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.approx_count_distinct("l_partkey", 0.02).alias("sketch"))
+    return both.select("l_returnflag", "parts", (F.abs(F.col("sketch") - F.col("parts")) <= 0.08 * F.col("parts")).alias("near"))
 
 
 @_query("SELECT conv_id, turn, role, lag(role) OVER w AS previous_role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS role_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")

@@ -87,15 +87,18 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A table written aside and swapped in by name, so that readers see the old or the new one.
+    """A table written aside and swapped in by name; the new rows are complete before the old go.
 
-    Safe against a reader of the same table: the new rows are complete before the old go.
+    Between the two renames there is no table of that name: a writer that is lost there
+    leaves the old one aside, and the next write puts it back first.
     """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.__new"), jvm.org.apache.hadoop.fs.Path(f"{path}.__old")
     here = jvm.org.apache.hadoop.fs.Path(path)
     fs = here.getFileSystem(conf)
+    if not fs.exists(here) and fs.exists(old):
+        fs.rename(old, here)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}.__new")
     fs.delete(old, True)

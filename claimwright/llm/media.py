@@ -8,10 +8,12 @@ is refused, a wrong declared type is corrected and media inside media can be cut
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -47,7 +49,41 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
-def _wav(data: bytes, at: int) -> int | None:
+class Bytes:
+    """Some bytes and what validators share about them: each terminator is looked for once, each block walked once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.gif_ends: dict[int, int | None] = {}
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int, int]]:
+        """(place, offset of the cross references, end) of every end of a PDF."""
+        return [(m.start(), int(m[1]), m.end()) for m in _PDF_END.finditer(self.data)]
+
+    @cached_property
+    def pdf_heads(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-\d", self.data)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """start -> end of the archives: an end record tells where its archive begins."""
+        found: dict[int, int] = {}
+        for m in re.finditer(rb"PK\x05\x06", self.data):
+            end = m.start()
+            if end + 22 <= len(self.data):
+                size, start, note = struct.unpack_from("<IIH", self.data, end + 12)
+                head = end - size
+                if head >= start and self.data[head : head + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(self.data):
+                    found.setdefault(head - start, end + 22 + note)
+        return found
+
+
+_PDF_END = re.compile(rb"startxref\s{1,4}(\d{1,12})\s{1,4}%%EOF")
+
+
+def _wav(b: Bytes, at: int) -> int | None:
+    data = b.data
     if data[at + 8 : at + 16] != b"WAVEfmt ":
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -59,8 +95,8 @@ def _wav(data: bytes, at: int) -> int | None:
     return end - at if seen and place == end <= len(data) else None
 
 
-def _png(data: bytes, at: int) -> int | None:
-    place, first = at + 8, True
+def _png(b: Bytes, at: int) -> int | None:
+    data, place, first = memoryview(b.data), at + 8, True
     while place + 12 <= len(data):
         size, name = struct.unpack_from(">I4s", data, place)
         body = place + 8 + size
@@ -72,32 +108,39 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(b: Bytes, at: int) -> int | None:
+    data = b.data
     if at + 13 > len(data):
         return None
     width, height, flags = struct.unpack_from("<HHB", data, at + 6)
-    place = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+    place, walked, end = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), [], None
     if not width or not height:
         return None
     while place < len(data):
+        if place in b.gif_ends:
+            end = b.gif_ends[place]
+            break
+        walked.append(place)
         kind = data[place]
         if kind == 0x3B:
-            return place + 1 - at
+            end = place + 1
+            break
         if kind == 0x21:
             place += 2
         elif kind == 0x2C and place + 10 <= len(data):
             own = data[place + 9]
             place += 11 + (3 << (own & 7) + 1 if own & 0x80 else 0)
         else:
-            return None
+            break
         while place < len(data) and data[place]:
             place += 1 + data[place]
         place += 1
-    return None
+    b.gif_ends.update(dict.fromkeys(walked, end))
+    return end - at if end else None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
-    place = at + 2
+def _jpeg(b: Bytes, at: int) -> int | None:
+    data, place = b.data, at + 2
     while place + 4 <= len(data) and data[place] == 0xFF:
         marker, size = data[place + 1], struct.unpack_from(">H", data, place + 2)[0]
         if not 0xC0 <= marker <= 0xFE or size < 2:
@@ -117,42 +160,45 @@ def _jpeg(data: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
-    if at + 30 > len(data):
+def _bmp(b: Bytes, at: int) -> int | None:
+    if at + 34 > len(b.data):
         return None
-    size, spare, start, header, _, _, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
-    known = header in (40, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and not spare
-    return size if known and 14 + header <= start <= size <= len(data) - at else None
+    size, spare, start, header, width, height, planes, bits, packing = struct.unpack_from("<IIIIiiHHI", b.data, at + 2)
+    if header not in (40, 108, 124) or planes != 1 or bits not in (1, 4, 8, 16, 24, 32) or spare or width <= 0 or not height:
+        return None
+    pixels = (bits * width + 31) // 32 * 4 * abs(height) if packing in (0, 3) else 1
+    return size if 14 + header <= start and start + pixels <= size <= len(b.data) - at else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
-    reader = zlib.decompressobj(wbits=31)
+def _gzip(b: Bytes, at: int) -> int | None:
+    if at + 18 > len(b.data) or b.data[at + 3] & 0xE0:
+        return None
+    reader, piece = zlib.decompressobj(wbits=31), memoryview(b.data)[at:]
     try:
-        piece = data[at:]
         while piece and not reader.eof:
-            reader.decompress(piece, 1 << 20)
-            piece = reader.unconsumed_tail
+            reader.decompress(piece[: 1 << 16], 1 << 20)
+            piece = piece[len(piece[: 1 << 16]) - len(reader.unconsumed_tail) - len(reader.unused_data) :]
     except zlib.error:
         return None
-    return len(data) - at - len(reader.unused_data) if reader.eof else None
+    return len(b.data) - at - len(piece) if reader.eof else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        size, start, note = struct.unpack_from("<IIH", data, end + 12)
-        if at + start + size == end and data[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(data):
-            return end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 4)
-    return None
+def _zip(b: Bytes, at: int) -> int | None:
+    end = b.zip_ends.get(at)
+    return end - at if end else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    if not data[at + 5 : at + 6].isdigit():
+def _pdf(b: Bytes, at: int) -> int | None:
+    """To the last end, before the next head, whose cross references are where it says; else to the first such end."""
+    if not b.data[at + 5 : at + 6].isdigit():
         return None
-    start, end = data.find(b"startxref", at), data.find(b"%%EOF", at)
-    return end + 5 - at if 0 <= start < end else None
+    first, head = bisect_left(b.pdf_ends, (at,)), bisect_right(b.pdf_heads, at)
+    stop = bisect_left(b.pdf_ends, (b.pdf_heads[head],)) if head < len(b.pdf_heads) else len(b.pdf_ends)
+    good = [end for place, offset, end in b.pdf_ends[first : max(stop, first + 1)] if at + offset < place and _XREF.match(b.data, at + offset)]
+    return good[-1] - at if good else None
+
 
+_XREF = re.compile(rb"xref\b|\d+ \d+ obj\b")
 
 VALIDATORS = {
     "audio/wav": _wav,
@@ -171,20 +217,20 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
 
     Each magic hit is judged by its format's validator alone; a hit that fails is none.
     """
-    found = []
+    found, shared = [], Bytes(data)
     for last, (size, kind) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - size
-        length = VALIDATORS[kind](data, at)
+        length = VALIDATORS[kind](shared, at)
         if length:
             found.append((kind, at, length))
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
 
-def carve(data: bytes) -> list[tuple[str, int, bytes]]:
-    """(type, offset, bytes) of the confirmed media that stand in no other one."""
+def carve(data: bytes, inside: bool = False) -> list[tuple[str, int, bytes]]:
+    """(type, offset, bytes) of the confirmed media that stand in no other one; `inside`: of those within the one at the start."""
     out, end = [], 0
     for kind, at, length in sniff(data):
-        if at >= end:
+        if at >= end and (at or not inside):
             out.append((kind, at, data[at : at + length]))
             end = at + length
     return out
@@ -192,9 +238,10 @@ def carve(data: bytes) -> list[tuple[str, int, bytes]]:
 
 def true_type(data: bytes, declared: str | None) -> str:
     """The type that the bytes confirm at their start; else the declared one if nothing is known of it, else unknown."""
-    at_start = [kind for kind, at, _ in sniff(data) if at == 0]
-    if at_start:
-        return at_start[0]
+    shared = Bytes(data)
+    for magic, kind in MAGIC.items():
+        if data.startswith(magic) and VALIDATORS[kind](shared, 0):
+            return kind
     return declared if declared and declared not in VALIDATORS else "application/octet-stream"
 
 
@@ -248,34 +295,37 @@ def read_media(media: DataFrame) -> DataFrame:
     """Every stored medium sniffed, corrected, carved and read back.
 
     media: doc_id, n_bytes, declared_type, media.  Adds media_type (by the bytes),
-    corrected (it differs from the declared one), embedded (type, offset, length of the
-    media confirmed inside), the payload's and the media's digests and sample features.
-    A null or unrecognised medium has its declared or the unknown type and null payload
-    columns.
+    corrected (it differs from the declared one), embedded (type, offset, length and
+    sha256 of the media carved out of the payload; those within others aren't listed
+    again), the payload's and the media's digests and sample features.  A null or
+    unrecognised medium has its declared or the unknown type and null payload columns.
+    Repeated rows are each answered.
     """
     out = (
-        "doc_id long, n_bytes long, media_type string, corrected boolean, embedded array<struct<type: string, offset: long, length: long>>, "
+        "doc_id long, n_bytes long, media_type string, corrected boolean, embedded array<struct<type: string, offset: long, length: long, sha256: string>>, "
         "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_type", pa.string()), ("corrected", pa.bool_())]
-        + [("embedded", pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])))]
+        + [("embedded", pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())])))]
         + [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
         + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     )
 
     def one(doc_id: int | None, n_bytes: int | None, declared: str | None, data: bytes | None) -> dict:
         data = data or b""
-        found = sniff(data)
-        kind = next((k for k, at, _ in found if at == 0), None) or true_type(b"", declared)
-        inside = [{"type": k, "offset": at, "length": n} for k, at, n in found if at]
-        row = {"doc_id": doc_id, "n_bytes": n_bytes, "media_type": kind, "corrected": kind != declared, "embedded": inside}
+        kind = true_type(data, declared)
+        listed = lambda found: [{"type": k, "offset": at, "length": len(x), "sha256": hashlib.sha256(x).hexdigest()} for k, at, x in found]
+        row = {"doc_id": doc_id, "n_bytes": n_bytes, "media_type": kind, "corrected": kind != declared}
         row |= {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
         if kind == "audio/wav":
             payload = samples_of(data)
-            inner = ",".join(f"{x['type']}@{x['offset']}+{x['length']}" for x in inside)
+            row["embedded"] = listed(carve(payload))
+            inner = ",".join(f"{x['type']}@{x['offset']}+{x['length']}" for x in row["embedded"])
             row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-BLOCK:])}
             row |= {"feature": f"{kind};{features(payload)};embedded={inner}"}
+        else:
+            row["embedded"] = listed(carve(data, inside=True))
         return row
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

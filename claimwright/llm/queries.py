@@ -21,7 +21,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.read_media(media.store_texts(_table(spark, sf_dir, "documents")))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", "embedded")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +124,9 @@ FROM p
 def _op5_sql() -> str:
     host = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     path = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    last = lambda k: f"array_to_string(string_split(host, '.')[-{k}:], '.')"
+    listed = f"{last(2)} IN ({', '.join(repr(x) for x in url_filter.SUFFIXES)})"
+    domain, suffix = f"CASE WHEN {listed} THEN {last(3)} ELSE {last(2)} END", f"CASE WHEN {listed} THEN {last(2)} ELSE {last(1)} END"
     rules = " UNION ALL ".join(f"SELECT '{h}' AS rhost, '{p}' AS rpath, '{v}' AS v" for h, p, v in url_filter.RULES)
 
     def strength(groups: str, parent: str) -> str:
@@ -140,17 +143,19 @@ rules AS ({rules}),
 fit AS (SELECT r, max_by(rhost || rpath, len(rhost || rpath)) AS rule, max_by(v, len(rhost || rpath)) AS v
         FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r),
 j AS (SELECT p.*, rule, v FROM p LEFT JOIN fit USING (r)),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, 'all' AS every,
-                 CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN v = 'block' THEN 1 ELSE 0 END) AS DOUBLE) AS bad
-          FROM j WHERE rule IS NOT NULL AND host <> '' GROUP BY host),
+labelled AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN v = 'block' THEN 1 ELSE 0 END) AS DOUBLE) AS bad FROM j WHERE rule IS NOT NULL AND host <> '' GROUP BY host),
+hosts AS (SELECT *, {domain} AS domain, {suffix} AS suffix, 'all' AS every FROM labelled),
 domains AS (SELECT domain, suffix, every, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, every, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 top AS (SELECT sum(bad) / sum(n) AS rate, strength FROM suffixes JOIN ({strength("suffixes", "every")}) USING (every) GROUP BY strength),
-sr AS (SELECT suffix, (bad + rate * strength) / (n + strength) AS rate FROM suffixes, top),
-dr AS (SELECT domain, (d.bad + sr.rate * strength) / (d.n + strength) AS rate FROM domains d JOIN sr USING (suffix) JOIN ({strength("domains", "suffix")}) USING (suffix)),
-hr AS (SELECT host, (h.bad + dr.rate * strength) / (h.n + strength) AS mean, h.n + strength AS weight FROM hosts h JOIN dr USING (domain) JOIN ({strength("hosts", "domain")}) USING (domain))
+sr AS (SELECT suffix, (bad + rate * top.strength) / (n + top.strength) AS rate, k.strength FROM suffixes JOIN ({strength("domains", "suffix")}) k USING (suffix), top),
+dr AS (SELECT domain, (d.bad + sr.rate * sr.strength) / (d.n + sr.strength) AS rate, k.strength FROM domains d JOIN sr USING (suffix) JOIN ({strength("hosts", "domain")}) k USING (domain)),
+hr AS (SELECT host, (h.bad + dr.rate * dr.strength) / (h.n + dr.strength) AS rate, h.n + dr.strength AS strength FROM hosts h JOIN dr USING (domain)),
+u AS (SELECT host, {domain} AS domain, {suffix} AS suffix FROM (SELECT DISTINCT host FROM j WHERE host <> '')),
+ur AS (SELECT host, coalesce(hr.rate, dr.rate, sr.rate, top.rate) AS mean, coalesce(hr.strength, dr.strength, sr.strength, top.strength) AS weight
+       FROM u LEFT JOIN hr USING (host) LEFT JOIN dr USING (domain) LEFT JOIN sr USING (suffix) LEFT JOIN top ON true)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN hr USING (host)
+FROM j LEFT JOIN ur USING (host)
 """
 
 

@@ -4,7 +4,8 @@ Labelled pages give each host a count of bad ones.  A host's rate of bad pages h
 prior around the rate of its registered domain, that one around its suffix's, and that
 one around the rate of all; the priors' strengths are fitted to how much the groups
 differ (method of moments).  A page whose host's posterior rate is bad with confidence,
-i.e. whose lower bound exceeds the cut, is blocked.
+i.e. whose lower bound exceeds the cut, is blocked.  A host without labelled pages has its prior as its posterior: that of its
+domain, else of its suffix, else of all.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ RULES = [
     ("org", "/es/", "block"),
 ]
 
+#: Public suffixes of two labels, as far as the default goes; give a longer list where pages need it: fixed values.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "co.nz", "com.tr", "com.tw", "co.za")
+
 
 def host_of(url: str = "url") -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://`."""
@@ -39,13 +43,16 @@ def path_of(url: str = "url") -> Column:
     return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: str = "host") -> Column:
-    """The last two labels of a host: its registered domain where suffixes are single labels."""
-    return F.substring_index(F.col(host), ".", -2)
+def suffix_of(host: str = "host", suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """A host's public suffix: its last two labels where `suffixes` lists them, else the last."""
+    two = F.substring_index(F.col(host), ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(F.col(host), ".", -1))
 
 
-def suffix_of(host: str = "host") -> Column:
-    return F.substring_index(F.col(host), ".", -1)
+def domain_of(host: str = "host", suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """A host's registered domain: its suffix and the label before it."""
+    two = F.substring_index(F.col(host), ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(F.col(host), ".", -3)).otherwise(two)
 
 
 def apply_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -82,42 +89,52 @@ def _strength(groups: DataFrame, parent: str | None) -> DataFrame:
     return agg.select(*keys, F.least(F.greatest(F.coalesce(fitted, F.lit(STRENGTH[0])), F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
 
 
-def reputations(labelled: DataFrame) -> DataFrame:
-    """host, n, bad, prior, mean, deviation: the posterior rate of bad pages of each labelled host.
+def reputations(labelled: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> dict[str, DataFrame]:
+    """The posterior rates of bad pages: hosts, domains, suffixes and all, each with its key, mean and weight.
 
     labelled: host and outcome (1 bad, 0 good; null rows are no evidence).  A host's
     prior is its domain's posterior mean, whose prior is its suffix's, whose prior is the
-    rate of all labelled pages.
+    rate of all labelled pages.  weight is what a host's bound goes by: its pages and its
+    prior's strength; of the other levels the strength that a host without pages has.
     """
     hosts = labelled.filter("outcome IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum("outcome").cast("long").alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of()).withColumn("suffix", suffix_of())
+    hosts = hosts.withColumn("domain", domain_of("host", suffixes)).withColumn("suffix", suffix_of("host", suffixes))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # of one row: the rate of all labelled pages and the strength of the suffixes' prior
-    top = suffixes.agg((F.sum("bad") / F.sum("n")).alias("rate"), F.lit(1).alias("all"))
-    top = F.broadcast(top.join(F.broadcast(_strength(suffixes, None).withColumn("all", F.lit(1))), "all"))
-    mean = lambda rate: (F.col("bad") + F.col(rate) * F.col("strength")) / (F.col("n") + F.col("strength"))
-    suffix_rate = suffixes.withColumn("all", F.lit(1)).join(top, "all").select("suffix", mean("rate").alias("suffix_rate"))
-    domain_rate = domains.join(suffix_rate, "suffix").join(_strength(domains, "suffix"), "suffix").select("domain", mean("suffix_rate").alias("prior"))
-    rated = hosts.join(domain_rate, "domain").join(_strength(hosts, "domain"), "domain").withColumn("mean", mean("prior"))
-    weight = F.col("n") + F.col("strength")
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))
-    return rated.select("host", "n", "bad", "prior", "mean", deviation.alias("deviation"))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None) -> DataFrame:
+    every = tops.agg((F.sum("bad") / F.sum("n")).alias("mean"), F.lit(1).alias("all"))
+    every = every.join(F.broadcast(_strength(tops, None).withColumn("all", F.lit(1))), "all").filter("mean IS NOT NULL").withColumnRenamed("strength", "weight")
+    posterior = (F.col("bad") + F.col("prior") * F.col("strength")) / (F.col("n") + F.col("strength"))
+    above = lambda rates, key: rates.select(key, F.col("mean").alias("prior"), F.col("weight").alias("strength"))
+    top_rates = tops.withColumn("all", F.lit(1)).join(F.broadcast(above(every, "all")), "all").withColumn("mean", posterior)
+    top_rates = top_rates.join(_strength(domains, "suffix").withColumnRenamed("strength", "weight"), "suffix").select("suffix", "mean", "weight")
+    domain_rates = domains.join(above(top_rates, "suffix"), "suffix").withColumn("mean", posterior)
+    domain_rates = domain_rates.join(_strength(hosts, "domain").withColumnRenamed("strength", "weight"), "domain").select("domain", "mean", "weight")
+    host_rates = hosts.join(above(domain_rates, "domain"), "domain").withColumn("mean", posterior).withColumn("weight", F.col("n") + F.col("strength"))
+    return {"host": host_rates.select("host", "n", "bad", "prior", "mean", "weight"), "domain": domain_rates, "suffix": top_rates, "all": every.select("all", "mean", "weight")}
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, mean, bound for every row of `pages`.
 
     pages: page_id, url; other columns are ignored.  labelled: host, outcome; by default
     the pages that a rule decides, blocked ones bad.  A rule's verdict holds; any other
-    page is blocked if its host's lower bound exceeds the cut, a host without labelled
-    pages never.  A null url or one without `://` has an empty host and path, no rule and
-    no reputation, and is allowed.  Repeated rows are each answered.
+    page is blocked if its host's lower bound exceeds the cut.  A host without labelled
+    pages is judged by its domain's rate, else by its suffix's, else by that of all
+    labelled pages; without any, all such pages are allowed.  A null url or one without
+    `://` has an empty host and path, no rule and no reputation, and is allowed.
+    Repeated rows are each answered.
     """
     parsed = apply_rules(pages.select("page_id", host_of().alias("host"), path_of().alias("path")), rules)
     if labelled is None:
         labelled = parsed.filter("rule IS NOT NULL").select("host", (F.col("rule_verdict") == "block").cast("int").alias("outcome"))
-    known = reputations(labelled.filter("host <> ''")).select("host", "mean", (F.col("mean") - DEVIATIONS * F.col("deviation")).alias("bound"))
-    judged = parsed.join(known, "host", "left")
+    rates = reputations(labelled.filter("host <> ''"), suffixes)
+    # hosts are few against pages: each host's rate is found once and joined to its pages
+    found = parsed.select("host").filter("host <> ''").distinct().withColumn("domain", domain_of("host", suffixes)).withColumn("suffix", suffix_of("host", suffixes)).withColumn("all", F.lit(1))
+    for level, table in rates.items():
+        found = found.join(table.select(level, F.col("mean").alias(f"m_{level}"), F.col("weight").alias(f"w_{level}")), level, "left")
+    found = found.select("host", *[F.coalesce(*[f"{x}_{level}" for level in rates]).alias(name) for x, name in (("m", "mean"), ("w", "weight"))])
+    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    judged = parsed.join(found.select("host", "mean", (F.col("mean") - DEVIATIONS * deviation).alias("bound")), "host", "left")
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("bound") > CUT, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mean", "bound")

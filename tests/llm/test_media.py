@@ -38,6 +38,8 @@ def test_every_format_is_confirmed_alone_and_carved_from_noise():
 def test_truncated_and_false_magic_is_refused():
     for kind, data in ALL.items():
         assert all(k != kind or at for k, at, _ in media.sniff(data[: len(data) * 2 // 3])), kind
+    # cross references that aren't where the end says
+    assert media.sniff(PDF.replace(b"\n9\n", b"\n11\n")) == []
     assert media.sniff(b"BM RIFF GIF89a %PDF- PK\x03\x04 \x1f\x8b\x08 \x89PNG\r\n\x1a\n") == []
     assert media.true_type(b"nothing", "image/png") == "application/octet-stream" and media.true_type(b"nothing", "text/plain") == "text/plain"
 
@@ -64,3 +66,21 @@ def test_unrecognised_media_come_back_without_payload(spark):
     assert rows[1].media_type == "text/plain" and rows[1].payload_bytes is None and not rows[1].corrected
     assert rows[2].media_type == "application/octet-stream" and rows[2].media_bytes == 0
     assert rows[3].media_type == "application/octet-stream" and [(e.type, e.offset) for e in rows[3].embedded] == [("image/gif", 3)]
+
+
+def test_repeated_magic_takes_time_in_proportion():
+    import time
+
+    for magic in (b"%PDF-1 ", b"%PDF-1 startxref 9 ", b"GIF89a,,!,", b"PK\x03\x04PK\x05\x06", b"\x1f\x8b\x08\x00", b"RIFF\x00\x00\x00\x00WAVEfmt "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            media.sniff(magic * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.2, magic
+
+
+def test_embedded_media_are_carved_from_the_payload(spark):
+    inside = b"".join((PDF, b" and ", PDF))
+    rows = media.read_media(media.store_texts(spark.createDataFrame([(1, f"see {inside.decode()}!")], "doc_id long, text string"))).collect()
+    assert [(e.type, e.offset, e.length, e.sha256) for e in rows[0].embedded] == [("application/pdf", at, len(PDF), hashlib.sha256(PDF).hexdigest()) for at in (4, 9 + len(PDF))]

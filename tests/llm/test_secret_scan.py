@@ -68,3 +68,12 @@ def test_table_edge_cases(spark):
     assert all(secret_scan.scan(r.text or "") == [] for r in clean.collect())
     assert {(r.doc_id, len(r.spans)) for r in secret_scan.scan_secrets(df).collect()} == {(1, 0), (2, 0), (3, 1), (None, 1)}
     assert secret_scan.digests(df.limit(0)).count() == 0
+
+
+def test_runs_of_token_heads_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    assert [x for x in secret_scan.scan("eyJ" * 300_000) if x[0] == "jwt"] == []
+    assert [x for x in secret_scan.scan(("eyJ" * 1000 + "." + "eyJ" * 1000 + " ") * 100) if x[0] == "jwt"] == []
+    assert time.perf_counter() - began < 10

@@ -6,7 +6,8 @@ stand in order of path; each is paired with the neighbour whose path shares the
 prefix with its own, the lines of both are aligned by longest common subsequence and the
 shared lines are deleted.  An article's own lines survive sharing, since copies of an
 article on one host are articles still; chrome goes even where it is not shared.  So the
-alignment decides the lines that markup doesn't settle, beside an article or without one.
+alignment decides the lines that markup doesn't settle, beside an article or without one;
+a page without such lines goes its way without a partner.
 """
 
 from __future__ import annotations
@@ -199,21 +200,22 @@ def _line_hash(text: str) -> int:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's lines, hashed for the alignment and compressed for their way to it."""
+    """Each page's lines, hashed for the alignment and compressed; whether any is open, i.e. not settled by its markup."""
     for batch in batches:
         for first in range(0, len(batch), 128):
             part = batch.slice(first, 128)
             pages = [lines_of(h) if h else [] for h in part.column("html").to_pylist()]
             hashes = [[_line_hash(text) for text, _ in lines] for lines in pages]
             packed = [zlib.compress("\n".join(f"{zone}{text}" for text, zone in lines).encode("utf-8", "surrogatepass"), 6) for lines in pages]
+            open_ = [any(zone == NEUTRAL for _, zone in lines) for lines in pages]
             names = ["row", "page_id", "url", "host", "path"]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(x) for x in names), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())], names=[*names, "lines", "packed"]
+                [*(part.column(x) for x in names), pa.array(hashes, pa.list_(pa.int64())), pa.array(open_, pa.bool_()), pa.array(packed, pa.binary())], names=[*names, "lines", "open", "packed"]
             )
 
 
 def _shared_with_nearest(page: dict, before: dict | None, after: dict | None) -> list[int]:
-    fit = [x for x in (before, after) if x and page["host"] and x["host"] == page["host"] and x["page_id"] != page["page_id"]]
+    fit = [x for x in (before, after) if x and page["open"] and page["host"] and x["host"] == page["host"] and x["page_id"] != page["page_id"]]
     best = max(fit, key=lambda x: _common_prefix(x["path"], page["path"]), default=None)
     return shared_lines(page["lines"], best["lines"]) if best else []
 
@@ -254,7 +256,7 @@ def _aligned(pages: DataFrame) -> DataFrame:
             found = [_shared_with_nearest(r, r["before"], r["after"]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["row"] for r in rows], pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["row", "shared"])
 
-    at_ends = edges.select("row", "page_id", "host", "path", "lines", "before", "after").mapInArrow(meet, "row long, shared array<int>")
+    at_ends = edges.select("row", "page_id", "host", "path", "lines", "open", "before", "after").mapInArrow(meet, "row long, shared array<int>")
     return inside.union(at_ends)
 
 
@@ -270,9 +272,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     named = pages.select("page_id", "url", host_of().alias("host"), path_of().alias("path"), "html")
     named = named.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    parsed = cut(named.mapInArrow(_parsed, "row long, page_id long, url string, host string, path string, lines array<long>, packed binary"))
-    shared = _aligned(parsed.select("row", "page_id", "host", "path", "lines").filter(F.size("lines") > 0).dropDuplicates(["row"]))
-    packed = parsed.select("row", "page_id", "url", "packed")
+    parsed = cut(named.mapInArrow(_parsed, "row long, page_id long, url string, host string, path string, lines array<long>, open boolean, packed binary"))
+    shared = _aligned(parsed.select("row", "page_id", "host", "path", "lines", "open").filter(F.size("lines") > 0).dropDuplicates(["row"]))
+    settled = parsed.filter(~F.col("open")).select("page_id", "url", "packed", F.lit(None).cast("array<int>").alias("shared"))
+    opened = parsed.filter("open").select("row", "page_id", "url", "packed").join(shared, "row", "left").select("page_id", "url", "packed", "shared")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,4 +291,4 @@ def extract(pages: DataFrame) -> DataFrame:
                     names=["page_id", "url", "text", "n_chars"],
                 )
 
-    return packed.join(shared, "row", "left").mapInArrow(finish, "page_id long, url string, text string, n_chars long")
+    return settled.union(opened).mapInArrow(finish, "page_id long, url string, text string, n_chars long")

@@ -13,13 +13,18 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(modulus))
 
 
+#: Values of a label that are learned: the most frequent ones, by name among equals.
+MOST_VALUES = 256
+
+
 def chosen(rows: DataFrame, label: str, most: dict | int, seed: int) -> tuple[DataFrame, dict]:
     """(about `most` rows of each label by hash of doc_id, the count of each label).
 
     The share of a label's rows that is kept is fixed from its count, so that choosing
-    needs no sort and a hash range decides row by row.  Labels are few.
+    needs no sort and a hash range decides row by row.  A label column with more than
+    MOST_VALUES values, as a dirty one has, gives its most frequent ones.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_VALUES).collect()}
     limit = lambda k: most if isinstance(most, int) else most.get(k, 0)
     share = F.lit(0)
     for value, count in sorted(counts.items(), key=lambda x: str(x[0])):

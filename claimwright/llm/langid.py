@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.llm.labelled import chosen, remainder
-from claimwright.llm.textbytes import LOWER_BYTE, slices, text_buffer
+from claimwright.llm.textbytes import LOWER_BYTE, mix, slices, text_buffer
 
 #: Training texts of each language, about, and landmarks of each.
 MOST_LABELLED = 384
@@ -91,7 +91,8 @@ def fit(documents: DataFrame) -> dict:
                         names=["doc_id", "lang", "bits"],
                     )
 
-    rows = sorted(sample.mapInArrow(emit, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r.doc_id, r.bits))
+    # in the order of a hash, so that landmarks are no older or newer than the sample
+    rows = sorted(sample.mapInArrow(emit, "doc_id long, lang string, bits binary").collect(), key=lambda r: (int(mix(np.array([r.doc_id], np.int64).view(np.uint64))[0]), r.bits))
     languages = sorted({r.lang for r in rows})
     if not rows:
         return {"languages": ["und"], "matrix": np.zeros((SLOTS, 1), np.float32), "offset": np.zeros(1, np.float32)}

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with DataFrame operations only.
 
-Every document gets a random key (a digest of its id); each source is sorted by key in
+Every document gets a random key (a digest of its id and text); each source is sorted by key in
 ranges; word counts are summed by range, then within ranges, so that each document knows
 how many words of its source come before it; each source is cut at its exact budget.  A
 budget above the source's size takes whole epochs first.
@@ -50,8 +50,9 @@ def budgets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return final.select("of", "source", "source_size", target.cast("double").alias("target"))
 
 
-def key(doc_id: str = "doc_id", seed: str = "mix") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+def key(doc_id: str = "doc_id", text: str = "text", seed: str = "mix") -> Column:
+    """A digest of id and text, so that documents without an id, or with the same one, have keys of their own."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def mix(documents: DataFrame, seed: str = "mix", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -66,10 +67,10 @@ def mix(documents: DataFrame, seed: str = "mix", rows_per_range: int = ROWS_PER_
     source is a source, the last one; an empty table gives an empty result.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = documents.select("doc_id", "source", words.alias("size"), key("doc_id", seed).alias("key"))
+    rows = documents.select("doc_id", "source", words.alias("size"), key("doc_id", "text", seed).alias("key"))
     rows = cut(rows.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
-    levels = 1
-    while 256**levels * rows_per_range < rows.count():
+    levels, every = 1, rows.count()
+    while 256**levels * rows_per_range < every:
         levels += 1
     spans = [F.substring("key", 1, 2 * level).alias(f"span{level}") for level in range(levels + 1)]
     leaf = f"span{levels}"

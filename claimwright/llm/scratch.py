@@ -1,20 +1,24 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""The folder that driver and executors share: cutting lineage through it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a session that names none gets one of its own only where it is one local process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-shared-")
+
 
-    The folder is shared by all executors, so the rows outlive any of them.  Only a
-    session that names no such folder (a local test) gets one of its own.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder, so that its rows outlive any executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

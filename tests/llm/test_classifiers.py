@@ -86,7 +86,7 @@ def test_quality_on_held_out_documents_and_against_single_products(spark, tables
         assert abs(alone - scored[r.doc_id]) < 1e-4
     edges = quality.score(edge_table(spark), model).collect()
     assert len(edges) == len(EDGES) and all(0 <= r.score <= 1 for r in edges)
-    assert {round(r.score, 9) for r in edges if r.doc_id in (1, 2)} == {round(model["prior"], 9)}
+    assert {round(r.score, 9) for r in edges if r.doc_id in (1, 2)} == {round(model["blank"], 9)}
     none = quality.fit(documents, labels.limit(0))
     assert {r.score for r in quality.score(edge_table(spark), none).collect()} == {0.5}
 

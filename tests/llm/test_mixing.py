@@ -24,7 +24,8 @@ def brute(rows, seed="mix"):
         free -= over
     out = []
     for s in sources:
-        mine = sorted((hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), -1 if i is None else i, size(t)) for i, t, x in rows if x == s)
+        digest = lambda x: hashlib.md5((x or "").encode()).hexdigest()
+        mine = sorted((digest(f"{seed}:{'' if i is None else i}:{digest(t)}"), -1 if i is None else i, size(t)) for i, t, x in rows if x == s)
         budget, epochs = int(target[s] + 1e-9), int(target[s] // total[s]) if total[s] else 0
         rest = budget - epochs * total[s]
         for _, i, n in mine:

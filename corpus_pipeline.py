@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from claimwright.llm import decontam, minhash, mixing, secret_scan, toxicity
+from claimwright.llm.scratch import shared_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over `documents`; what lies between goes to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
-    work = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows over `documents`; what lies between goes to the shared checkpoint folder.
+
+    Every stage takes null texts, ids and sources, repeated rows, other columns and an
+    empty table: a null text is clean, near only to other empty ones and takes no words
+    of the mix.  The written stages stay until the folder is cleared, as rows are read
+    from the last.
+    """
+    work = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{work}/{k}_{name}")

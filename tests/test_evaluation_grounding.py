@@ -80,3 +80,18 @@ def test_grounding_and_merging(spark):
     df = spark.createDataFrame(rows, "document_id long, idx int, proposed_type string, canonical_name string, mention_surface string, attributes map<string,string>, confidence double, evidence string")
     got = grounding.merged(df).collect()
     assert len(got) == 1 and (got[0].canonical_name, got[0].mention_surface, got[0].attributes, got[0].confidence) == ("Acme", "acme!", {"a": "2", "b": "1"}, 0.9)
+
+
+def test_proposal_metrics_of_a_store(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    proposals = frame([("new_table", "startup"), ("new_table", "unrelated"), ("new_table", None)], "kind string, target_table string")
+    staging = frame([("person", '{"reason": "low_confidence"}'), ("person", "{bad json"), (None, None)], "proposed_table string, match_summary string")
+    claimed = frame([("person", 1, "birth_date", v) for v in ("a", "b", "a")], "entity_table string, entity_id long, column_name string, value string")
+    weak = frame([("knows", "edge"), ("owns", None)], "predicate string, promoted_to string")
+    gold = frame([("new_table", "startup"), ("new_column", "organization")], "kind string, target_table string"), frame([("low_confidence", "person"), ("", None)], "reason string, proposed_table string"), frame([("knows",)], "predicate string")
+    rows = {r.metric: r for r in evaluation.proposal_metrics(proposals, staging, claimed, weak, *gold).collect()}
+    got = {m: (r.tp, r.fp, r.fn) for m, r in rows.items()}
+    assert got == {"schema_proposal_precision": (1, 1, 1), "staging_replay_correctness": (2, 0, 0), "weak_relation_promotion_recall": (1, 0, 0), "canonical_stability": (1, None, None)}
+    assert rows["canonical_stability"].passed is False and evaluation.proposal_metrics(proposals, staging, claimed, weak, *gold, most_flips=1).filter("passed").count() == 1
+    none = evaluation.proposal_metrics(proposals.limit(0), staging.limit(0), claimed.limit(0), weak.limit(0), *[g.limit(0) for g in gold]).collect()
+    assert [r.precision for r in none] == [None] * 4 and [r.passed for r in none if r.metric == "canonical_stability"] == [True]

@@ -94,6 +94,10 @@ def proposal(kind, table, ddl):
     (proposal("new_column", "product", "ALTER TABLE person ADD COLUMN color TEXT"), False), (proposal("new_column", "product", "DROP TABLE product"), False),
     (proposal("rename", "project", "ALTER TABLE project RENAME COLUMN started_at TO began_at"), True), (proposal("rename", "project", "ALTER TABLE project ADD COLUMN b TEXT"), False),
     (proposal("split", "person", "CREATE TABLE a (x TEXT)"), False), (proposal("new_table", "t", ""), False), (proposal("new_table", "t", "CREATE TABLE t (a TEXT); DROP TABLE person"), False),
+    (proposal("new_table", "t", "CREATE TABLE IF NOT EXISTS t (a TEXT)"), False), (proposal("new_table", "t", "CREATE TABLE t (a TEXT); CREATE INDEX ix ON t(a);"), True),
+    (proposal("new_table", "t", "CREATE TABLE t (a TEXT, b TEXT); CREATE UNIQUE INDEX ix ON t (a, b DESC)"), True), (proposal("new_table", "t", "CREATE TABLE t (a TEXT); CREATE INDEX ix ON person(a)"), False),
+    (proposal("new_table", "t", "CREATE INDEX ix ON t(a)"), False), (proposal("new_table", "t", "CREATE TABLE t (a TEXT); CREATE TABLE t (b TEXT)"), False),
+    (proposal("new_column", "product", "ALTER TABLE product ADD COLUMN color TEXT; CREATE INDEX ix ON product(color)"), True), (proposal("rename", "project", "ALTER TABLE project RENAME TO venture"), False),
     (proposal("new_table", "t", "nonsense"), False), (proposal("new_table", "t", "CREATE TABLE t (id INTEGER PRIMARY KEY, updated_at TEXT NOT NULL, p INTEGER REFERENCES person(id))"), True),
 ])
 def test_validation(spark, p, ok):
@@ -109,6 +113,8 @@ def test_dry_run_leaves_the_registry_and_approval_moves_it_on(spark):
     assert not catalog.dry_run(spark, done.registry, p).ok
     assert not catalog.approve(spark, registry, catalog.Proposal(p.kind, p.table, p.ddl, status="approved")).ok
     manual = catalog.Proposal(p.kind, p.table, p.ddl, requires_manual_dry_run=True)
+    made = catalog.dry_run(spark, registry, proposal("new_table", "t", "CREATE TABLE t (id INTEGER, name TEXT); CREATE INDEX ix ON t(name);"))
+    assert made.ok and made.registry.tables()["t"] == {"id": "bigint", "name": "string"}
     assert not catalog.approve(spark, registry, manual).ok and catalog.approve(spark, registry, manual, manually_checked=True).ok
 
 

@@ -77,6 +77,8 @@ def test_closure(spark):
             want.add((node, up, depth))
     assert {(r.node, r.ancestor, r.depth) for r in edges.closure(tree).collect()} == want
     assert edges.closure(df(spark, [(1, 2), (2, 1)], "child_id long, parent_id long")).count() == 4
+    chain = edges.closure(df(spark, [(k, k + 1) for k in range(100)], "child_id long, parent_id long"))
+    assert chain.count() == 5050 and chain.filter("depth <> ancestor - node").count() == 0
 
 
 def test_relation_view_shows_both_ends(spark):

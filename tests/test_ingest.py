@@ -1,6 +1,8 @@
+import json
+
 import pytest
 
-from claimwright.operators import claims, routing
+from claimwright.operators import claims, entities, routing
 from claimwright.plans import ingest
 
 BODY = "Ann leads Acme Inc. as CEO. Acme Inc. makes Scan. Globex owns Acme Inc. Scan Pro extends Scan. Bob knows Ann. Acme Inc. was founded in 1990."
@@ -60,9 +62,35 @@ def test_weak_and_outcomes(out):
 def test_extraction_folds_over_chunks(spark):
     def model(chunk, known):
         if "fail" in chunk:
-            raise RuntimeError
+            raise RuntimeError("no model")
         return '```json\n{"entities": [{"proposed_type": "person", "canonical_name": "%s"}]}\n```' % (chunk.strip().split()[0] + f"-{len(known)}")
 
     docs = spark.createDataFrame([(1, "Ann here\n\nBob there\n\nfail now"), (2, "")], "document_id long, body string")
-    got = {r.document_id: r.raw for r in ingest.extract(docs.filter("document_id = 1"), model, 12).collect()}
-    assert '"Ann-0"' in got[1] and '"Bob-1"' in got[1] and "fail" not in got[1]
+    got = {r.document_id: r for r in ingest.extract(docs, model, 12).collect()}
+    assert '"Ann-0"' in got[1].raw and '"Bob-1"' in got[1].raw and "fail" not in got[1].raw
+    assert [tuple(x) for x in got[1].failed] == [(2, "RuntimeError: no model")] and len(got[2].failed) == 1
+
+
+def test_aliases_lead_to_the_stored_entity_and_staged_names_to_candidates(spark):
+    graph = {
+        "document_id": 9,
+        "entities": [
+            {"proposed_type": "organization", "canonical_name": "Big Blue", "attributes": {"founded_year": "1911"}}, {"proposed_type": "organization", "canonical_name": "IBM"},
+            {"proposed_type": "person", "canonical_name": "Ann"}, {"proposed_type": "startup", "canonical_name": "Ibmm"}, {"proposed_type": "organization", "canonical_name": "IBMM", "confidence": 0.1, "attributes": {"founded_year": "1912"}},
+        ],
+        "relations": [{"proposed_junction": "employment", "from": "Ann", "to": "Big Blue"}],
+    }
+    (document, raw), = ingest.gold_payload([graph])
+    raw = spark.createDataFrame([(document, json.dumps({**json.loads(raw), "entities": [e | {"confidence": e.get("confidence", 0.9)} for e in graph["entities"]]}))], "document_id long, raw string")
+    docs = spark.createDataFrame([(9, "Ann works at Big Blue, that is IBM. Ibmm is new, so is IBMM.", 1)], "document_id long, body string, arrival long")
+    known = spark.createDataFrame([("organization", 77, "IBM", "ibm")], "entity_table string, entity_id long, name string, norm_key string")
+    aliases = spark.createDataFrame([("organization", 77, "IBM", "bigblue")], "entity_table string, entity_id long, name string, norm_key string")
+    out = ingest.ingest(raw, docs, known, aliases)
+    assert {r.name: (r.how, r.canonical_name, r.entity_id) for r in out["upserts"].collect() if r.entity_id == 77} == {"Big Blue": ("alias", "IBM", 77), "IBM": ("exact", "IBM", 77)}
+    assert [r.entity_id for r in out["claims"].filter("column_name = 'founded_year'").collect()] == [77] and {r.to_id for r in out["edges"].collect()} == {77}
+    # an alias without an id has that of its entity's name
+    plain = entities.upsert_entities(spark.createDataFrame([("organization", "Big Blue", 1), ("organization", "IBM", 2)], "entity_table string, name string, seq long"), aliases=aliases.drop("entity_id"))
+    assert len({r.entity_id for r in plain.collect()}) == 1
+    staged = {(r.reason, json.loads(r.payload)["column_name"]): json.loads(r.payload) for r in out["staging"].collect()}
+    assert staged[("non_starter_type", "canonical_name")]["candidates"][0]["entity_table"] == "organization"
+    assert 77 in [c["entity_id"] for c in staged[("low_confidence", "founded_year")]["candidates"]]

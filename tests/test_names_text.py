@@ -40,7 +40,16 @@ def test_chunks():
     assert all(len(p) <= 50 for p in text.chunks("w " * 500 + "\n\n" + "# h\n" * 30, 50))
 
 
+def test_chunks_cut_deeper_only_where_needed():
+    doc = "## a\nshort\n## b\n" + "x" * 20 + "\n### c\n" + "y" * 20 + "\n\n" + "z" * 20 + "\n### d\nend"
+    head = "## a\nshort\n\n\n## b\n" + "x" * 20 + "\n"
+    assert text.chunks(doc, 60) == [head, "### c\n" + "y" * 20 + "\n\n" + "z" * 20 + "\n\n\n### d\nend"]
+    assert text.chunks(doc, 40) == [head, "### c\n" + "y" * 20, "z" * 20 + "\n\n\n### d\nend"]
+    assert text.chunks("a\n \n\nb" + " " * 10, 8) == ["a", "b" + " " * 7, " " * 3]
+
+
 def test_loose_json():
+    assert text.loads_loose("a [1] b [2]") == [] and text.loads_loose('x {"a": [1]} y') == [1] and text.loads_loose("```\n{}\n```") == {}
     assert text.loads_loose('```json\n[1, 2]\n```') == [1, 2]
     assert text.loads_loose("say [3] ok") == [3] and text.loads_loose('x {"a": 1} y') == {"a": 1}
     assert text.loads_loose("nothing") == [] and text.loads_loose(None) == [] and text.loads_loose("[broken") == []

@@ -7,7 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwright.plans.registry import FALLBACK_CONFIDENCE, HUMAN_DOCUMENT_ID, MACHINE_CONFIDENCE_CAP
@@ -40,6 +40,14 @@ def byte_spans(tokens: list[dict]) -> list[tuple[int, int]]:
     return spans
 
 
+def byte_offsets(tokens: DataFrame, key: str, place: str = "pos", token: str = "token") -> DataFrame:
+    """`tokens` with start and end: the bytes of a key's tokens laid end to end in order of place.  A key's tokens are one answer's, so few."""
+    size = F.octet_length(token).cast("long")
+    before = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return placed.withColumn("end", F.col("start") + size)
+
+
 def content_tokens(content: str, tokens: list[dict]) -> list[dict]:
     """The tokens that overlap the last occurrence of `content` in all tokens' bytes."""
     if not tokens or not content:

@@ -133,6 +133,11 @@ def provenance(strings: DataFrame, entities: DataFrame, claims: DataFrame, docum
     return backed.select("slug", F.col("canonical_name").alias("matched_value"), "entity_table").distinct().orderBy("slug", "matched_value", "entity_table").limit(top)
 
 
+def slugs_of(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """(slug): the documents that full text or provenance gave, each once."""
+    return found.select("slug").union(sources.select("slug")).distinct()
+
+
 def contains_any(column: Column, words: list[str]) -> Column:
     found = F.lit(False)
     for word in words:

@@ -185,6 +185,11 @@ def schema_diff(before: Registry, after: Registry) -> list[dict]:
     return out
 
 
+def next_version(applied: DataFrame, version: str = "version") -> DataFrame:
+    """(version): the number that the next applied change gets; 1 for an empty log."""
+    return applied.agg((F.coalesce(F.max(version), F.lit(0)) + 1).cast("bigint").alias("version"))
+
+
 def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(table, column, change) of two catalogs of rows (table, column, type): added, removed, retyped or kept."""
     sides = before.withColumnRenamed("type", "was").join(after.withColumnRenamed("type", "now"), ["table", "column"], "full")

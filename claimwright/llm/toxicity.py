@@ -7,9 +7,11 @@ one counts, as near copies mostly have it in common.  A two-state chain over the
 trained on these by maximum likelihood.  Forward-backward marginals give the toxic spans;
 their sum, calibrated on document labels, gives the score.
 
-A token without any learned feature has the same potentials everywhere, so a run of them
-is a power of one 2x2 matrix: the exact recursion steps from one marked token to the next
-whatever a document's length.
+A token near marked ones, which may stand within a toxic span without a learned feature of
+its own, has features of where those stand, and counts as toxic in training where it joins
+two marked ones.  All other tokens have the same potentials
+everywhere, so a run of them is a power of one 2x2 matrix: the exact recursion steps from
+one near token to the next whatever a document's length.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MOST_LABELLED = {1: 2048, 0: 8192}
 PREFIXES = (4, 5, 6)
 #: Deviance that a feature needs, its least share of toxic documents, and the most features.
 DEVIANCE, PRECISION, MOST_FEATURES = 12.0, 0.8, 8192
+#: Where a token's marked neighbours stand, as features of a token.
+BESIDE = (-2, -1, 1, 2)
 #: Tokens on each side of a marked one in a training window, and windows used.
 AROUND, MOST_WINDOWS = 4, 8192
 STEPS, RATE, RIDGE = 120, 0.15, 1e-3
@@ -111,16 +115,36 @@ def learn_features(sample: DataFrame) -> np.ndarray:
 
 
 def _columns_of(feature: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of features among the known ones; len(known) where unknown."""
+    """Places of features among the known ones; -1 where unknown."""
     if not len(known):
-        return np.zeros(feature.shape, np.int64)
+        return np.full(feature.shape, -1)
     at = np.minimum(np.searchsorted(known, feature), len(known) - 1)
-    return np.where(known[at] == feature, at, len(known))
+    return np.where(known[at] == feature, at, -1)
+
+
+def feature_places(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(near, marked, places): the tokens near marked ones, which of them are marked, and their features' places in the weights.
+
+    Weights are those of the known features, then of BESIDE; the last one is that of no
+    feature.
+    """
+    none = len(known) + len(BESIDE)
+    lexical = _columns_of(token_features(words), known) if len(words.hash) else np.zeros((0, 1 + len(PREFIXES)), np.int64)
+    marked = (lexical >= 0).any(axis=1)
+    at = np.flatnonzero(marked)
+    beside = np.zeros((len(marked), len(BESIDE)), bool)
+    for k, step in enumerate(BESIDE):
+        token = at - step
+        token = token[(token >= 0) & (token < len(marked))]
+        beside[token[words.doc[token] == words.doc[token + step]], k] = True
+    near = np.flatnonzero(marked | beside.any(axis=1))
+    columns = [np.where(lexical[near] >= 0, lexical[near], none), np.where(beside[near], len(known) + np.arange(len(BESIDE)), none)]
+    return near, marked[near], np.concatenate(columns, axis=1)
 
 
 def _windows(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """([windows, tokens, features] places, [windows, tokens] toxic or not): tokens around marked ones and some of clean text."""
-    wide, kinds = 2 * AROUND + 1, 1 + len(PREFIXES)
+    wide, kinds, none = 2 * AROUND + 1, 1 + len(PREFIXES) + len(BESIDE), len(known) + len(BESIDE)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,8 +153,12 @@ def _windows(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
             for start, stop in slices(offsets):
                 part = offsets[start : stop + 1]
                 words = Words(part - part[0], data[part[0] : part[-1]])
-                place = _columns_of(token_features(words), known)
-                marked = (place < len(known)).any(axis=1)
+                near, lit, features = feature_places(words, known)
+                place, marked = np.full((len(words.hash), kinds), none), np.zeros(len(words.hash), bool)
+                place[near], marked[near] = features, lit
+                joins = marked.copy()
+                if len(joins) > 2:
+                    joins[1:-1] |= marked[:-2] & marked[2:] & (words.doc[:-2] == words.doc[2:])
                 counts = words.per_doc()
                 heads = np.cumsum(counts) - counts
                 plain = heads[counts >= wide] + (mix(words.hash[heads[counts >= wide]]) % (counts[counts >= wide] - wide + 1).astype(np.uint64)).astype(np.int64) + AROUND
@@ -138,7 +166,7 @@ def _windows(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
                     d = words.doc[center]
                     fits = (center - heads[d] >= AROUND) & (heads[d] + counts[d] - center > AROUND)
                     at = center[fits][:, None] + np.arange(-AROUND, AROUND + 1)
-                    toxic = marked[at] & (labels[start:stop][d[fits]] == 1)[:, None]
+                    toxic = joins[at] & (labels[start:stop][d[fits]] == 1)[:, None]
                     draw = mix(words.hash[at[:, 0]] + words.hash[at[:, -1]]).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(draw), pa.array([x.tobytes() for x in place[at].astype(np.int32)], pa.binary()), pa.array([x.tobytes() for x in toxic.astype(np.int8)], pa.binary())],
@@ -229,15 +257,13 @@ class Chain:
 
 
 def mark(words: Words, model: dict, chain: Chain) -> Iterator[tuple[int, np.ndarray, list[float]]]:
-    """(document, its marked tokens, their marginals) for each document that has any."""
-    known = model["known"]
-    if not len(known) or not len(words.hash):
+    """(document, its tokens near marked ones, their marginals) for each document that has any."""
+    if not len(model["known"]) or not len(words.hash):
         return
-    place = _columns_of(token_features(words), known)
-    marked = np.flatnonzero((place < len(known)).any(axis=1))
+    marked, _, place = feature_places(words, model["known"])
     if not len(marked):
         return
-    emission = model["bias"] + model["weights"][place[marked]].sum(axis=1)
+    emission = model["bias"] + model["weights"][place].sum(axis=1)
     counts = words.per_doc()
     heads = np.cumsum(counts) - counts
     edges = np.flatnonzero(np.diff(words.doc[marked])) + 1
@@ -291,7 +317,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
     sample = cut(sample)
     known = learn_features(sample)
     places, toxic = _windows(sample, known)
-    model = train_chain(places, toxic, len(known)) | {"known": known}
+    model = train_chain(places, toxic, len(known) + len(BESIDE)) | {"known": known}
     model["intercept"], model["slope"] = _calibrate(_evidence(sample, model), counts)
     return model
 

@@ -62,12 +62,13 @@ def test_toxicity_scores_are_sums_of_full_forward_backward_marginals(spark, smal
     for r, (_, text) in zip(toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect(), rows, strict=True):
         data = text.encode()
         words = Words(np.array([0, len(data)]), np.frombuffer(data, np.uint8))
-        emission, lit = [], []
-        for features in toxicity.token_features(words).tolist() if len(words.hash) else []:
-            own = [model["weights"][known[f]] for f in features if f in known]
-            emission.append(model["bias"] + sum(own))
-            lit.append(bool(own))
-        n = len(emission)
+        lexical = [[known[f] for f in row if f in known] for row in (toxicity.token_features(words).tolist() if len(words.hash) else [])]
+        emission, lit, n = [], [], len(lexical)
+        for t, own in enumerate(lexical):
+            beside = [k for k, step in enumerate(toxicity.BESIDE) if 0 <= t + step < n and lexical[t + step]]
+            lit.append(bool(own or beside))
+            places = [*own, *(len(known) + k for k in beside)]
+            emission.append(model["bias"] + sum(model["weights"][k] for k in places))
         forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
         for t in range(n):
             before = np.logaddexp.reduce(forward[t - 1][:, None] + moves, axis=0) if t else np.zeros(2)
@@ -85,7 +86,7 @@ def test_toxicity_scores_are_sums_of_full_forward_backward_marginals(spark, smal
 def test_evidence_isn_t_capped():
     model = {"known": np.zeros(0, np.uint64), "weights": np.zeros(1), "bias": -2.0, "moves": np.zeros((2, 2)), "intercept": -3.0, "slope": 0.1}
     word = Words(np.array([0, 6]), np.frombuffer(b"insult", np.uint8))
-    model |= {"known": np.array([word.hash[0]], np.uint64), "weights": np.array([6.0, 0.0])}
+    model |= {"known": np.array([word.hash[0]], np.uint64), "weights": np.array([6.0, *[0.0] * (len(toxicity.BESIDE) + 1)])}
     import pyarrow as pa
 
     scores, _ = toxicity._judged(pa.array(["insult " * 6, "insult " * 60]), model, toxicity.Chain(model))

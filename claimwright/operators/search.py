@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +27,7 @@ def against_queries(queries: DataFrame, key: str, items: DataFrame, score: Calla
     The queries are a stated set held against all items; `score` filters or reduces the
     met rows.  Items are scanned once per block and never multiplied through a shuffle.
     """
-    size = F.length(F.to_json(F.struct("*"))).cast("long")
-    rows, weight = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    blocks = max(1, -(-rows // most), -(-weight // QUERY_BYTES_PER_BLOCK))
-    parts = []
-    for block in range(blocks):
-        mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
-        parts.append(score(items.join(F.broadcast(mine), how="cross")))
-    return reduce(DataFrame.union, parts)
+    return reduce(DataFrame.union, [score(items.join(F.broadcast(mine), how="cross")) for mine in _blocks(queries, key, most)])
 
 
 def inverted_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -62,16 +58,68 @@ def bm25(index: DataFrame, question: DataFrame, top: int = FTS_TOP, id_column: s
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def cosine_top(queries: DataFrame, items: DataFrame, top: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
-    """Per query the `top` items by cosine, equal scores by item id; exact, every item is scored."""
+def _blocks(queries: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """The queries in blocks of at most about `most` rows and QUERY_BYTES_PER_BLOCK bytes."""
+    size = F.length(F.to_json(F.struct("*"))).cast("long")
+    rows, weight = queries.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    blocks = max(1, -(-rows // most), -(-weight // QUERY_BYTES_PER_BLOCK))
+    return [queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == k) for k in range(blocks)]
 
-    def score(met: DataFrame) -> DataFrame:
-        found = met.withColumn("score", cosine(vector, "_q")).select(query_id, item_id, "score")
-        return found.filter(F.col("score") >= least) if least is not None else found
 
-    scored = against_queries(queries.select(query_id, F.col(vector).alias("_q")), query_id, items.select(item_id, vector), score)
+def _unit(vectors: list, wide: int) -> np.ndarray:
+    """Unit rows in doubles; a vector of another length, or without any, is all zeros."""
+    out = np.zeros((len(vectors), wide))
+    for k, v in enumerate(vectors):
+        if v is not None and len(v) == wide:
+            out[k] = v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _nearest(row: np.ndarray, place: np.ndarray, top: int) -> np.ndarray:
+    """The places of the `top` greatest scores of a row, the first in order among equal ones."""
+    if len(row) <= top:
+        return np.arange(len(row))
+    lowest = np.partition(row, -top)[-top]
+    over, level = np.flatnonzero(row > lowest), np.flatnonzero(row == lowest)
+    return np.concatenate([over, level[np.argsort(place[level])][: top - len(over)]])
+
+
+def cosine_top(queries: DataFrame, items: DataFrame, top: int, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", least: float | None = None) -> DataFrame:
+    """Per query the `top` items by cosine, equal scores by item id; exact, every item is scored.
+
+    The queries, a stated set, come to the items in blocks; a batch of items is scored by
+    one product per vector length and hands on each query's nearest ones, which are ranked
+    again over all batches.  Vectors of different lengths, empty or zero ones score 0.
+    """
+    kinds = {name: df.schema[name].dataType for name, df in ((query_id, queries), (item_id, items))}
+    schema = ", ".join([*(f"`{name}` {kind.simpleString()}" for name, kind in kinds.items()), "score double"])
+
+    def scored(block: pa.Table) -> DataFrame:
+        ids, own = block.column(0).combine_chunks(), [v or [] for v in block.column(1).to_pylist()]
+        asked = []
+        for wide in sorted({len(v) for v in own}):
+            mine = [k for k, v in enumerate(own) if len(v) == wide]
+            asked.append((mine, _unit([own[k] for k in mine], wide), wide))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors, place = batch.column(1).to_pylist(), np.empty(len(batch), np.int64)
+                place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(len(batch))
+                for mine, unit, wide in asked:
+                    scores = unit @ _unit(vectors, wide).T
+                    kept = [_nearest(row, place, top) for row in scores]
+                    if least is not None:
+                        kept = [at[row[at] >= least] for at, row in zip(kept, scores, strict=True)]
+                    query = np.repeat(mine, [len(at) for at in kept])
+                    values = np.concatenate([row[at] for at, row in zip(kept, scores, strict=True)])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(np.concatenate(kept))), pa.array(values)], names=[query_id, item_id, "score"])
+
+        return items.select(item_id, vector).mapInArrow(score, schema)
+
+    parts = [scored(mine.toArrow()) for mine in _blocks(queries.select(query_id, vector), query_id, QUERIES_PER_BLOCK)]
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
+    return reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
 def top_or_head(query_vector: list[float] | None, items: DataFrame, top: int, order: str, vector: str = "embedding") -> DataFrame:

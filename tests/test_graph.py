@@ -1,4 +1,6 @@
 import itertools
+import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -131,6 +133,23 @@ def test_search(spark):
     assert [r.item_id for r in search.top_or_head(None, items, 2, "pos").collect()] == ["a", "b"]
     q = df(spark, [(9, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [r.item_id for r in search.cosine_top(q, items, 2).orderBy("rank").collect()] == ["b", "c"]
+    rng = random.Random(3)
+    items = df(spark, [(f"i{k:03}", [float(rng.randrange(-2, 3)) for _ in range(3 if k % 9 else 2)] if k % 17 else None) for k in range(200)], "item_id string, embedding array<float>")
+    q = df(spark, [(k, v) for k, v in enumerate(([1.0, 0.0, 1.0], [0.0, 0.0, 0.0], [1.0, 2.0], None, [0.0, -1.0, 2.0]))], "query_id int, embedding array<double>")
+
+    def plain(a, b):
+        norm = math.sqrt(sum(x * x for x in a or ())) * math.sqrt(sum(x * x for x in b or ()))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm and len(a) == len(b) else 0.0
+
+    for least in (None, 0.5):
+        found = search.cosine_top(q, items.repartition(5), 7, least=least).collect()
+        for r in q.collect():
+            want = sorted((-round(plain(i.embedding, r.embedding), 12), i.item_id) for i in items.collect())[:7]
+            want = [(i, -s) for s, i in want if least is None or -s >= least]
+            got = sorted(((x.rank, x.item_id, round(x.score, 12)) for x in found if x.query_id == r.query_id))
+            assert [(i, s) for _, i, s in got] == want
+    assert search.cosine_top(q.limit(0), items, 7).count() == 0 and search.cosine_top(q, items.limit(0), 7).count() == 0
+    items = df(spark, [("a", 0, [0.0, 1.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [0.7, 0.7])], "item_id string, pos int, embedding array<float>")
     many = df(spark, [(k, [1.0, k / 10]) for k in range(20)], "query_id long, embedding array<float>")
     pairs = lambda met: met.select("query_id", "item_id")
     met = search.against_queries(many.select("query_id"), "query_id", items, pairs, most=3)

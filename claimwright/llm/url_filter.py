@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimwright.llm.scratch import cut
+
 #: Block where the posterior rate's lower bound, so many deviations below its mean, exceeds the cut.
 DEVIATIONS = 1.645
 CUT = 0.5
@@ -98,7 +100,8 @@ def reputations(labelled: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> di
     prior's strength; of the other levels the strength that a host without pages has.
     """
     hosts = labelled.filter("outcome IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum("outcome").cast("long").alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of("host", suffixes)).withColumn("suffix", suffix_of("host", suffixes))
+    # a row a host, which all levels are made of
+    hosts = cut(hosts.withColumn("domain", domain_of("host", suffixes)).withColumn("suffix", suffix_of("host", suffixes)))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # of one row: the rate of all labelled pages and the strength of the suffixes' prior

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from claimwright.plans.registry import CONTRACT_SUFFIXES, STRIP_TOKENS
 
+#: What a key leaves out: a fixed value.
 _PUNCTUATION = r"[\s　_,.\-・()（）]+"
 
 

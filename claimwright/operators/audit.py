@@ -49,6 +49,12 @@ def conflict_members(groups: DataFrame, claims: DataFrame) -> DataFrame:
     return groups.filter("resolved_at IS NULL").join(claims, "conflict_group").orderBy("conflict_group", "document_id")
 
 
+def claim_history(claims: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Claims about edges with the edge and the name of the entity at its end: edge_id, then (other_table, other_id)."""
+    named = entities.select(F.col("entity_table").alias("other_table"), F.col("entity_id").alias("other_id"), F.col("canonical_name").alias("other_name"))
+    return claims.join(edges, "edge_id").join(named, ["other_table", "other_id"])
+
+
 def orphans(entities: DataFrame, references: list[tuple[DataFrame, str]], key: str) -> DataFrame:
     """Entities that no reference names: one anti join each, so that `a or b` stays an equi-join."""
     return reduce(lambda left, r: left.join(r[0].select(F.col(r[1]).alias(key)), key, "left_anti"), references, entities)

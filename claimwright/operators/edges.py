@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,18 +70,18 @@ def variant_losers(edges: list[tuple[int, int, int, float]]) -> dict[int, int]:
     confidences, the parent side if equal.  Nodes go in order of id, and an edge dropped
     for one node counts no more for the next.
     """
-    live = {e[0]: e for e in edges}
+    touching: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for edge in edges:
+        touching[edge[1]][0].append(edge)
+        touching[edge[2]][1].append(edge)
     beaten: dict[int, int] = {}
-    for node in sorted({e[1] for e in edges} & {e[2] for e in edges}):
-        sides = [[e for e in live.values() if e[place] == node] for place in (1, 2)]
-        if not all(sides):
-            continue
-        totals = [sum(e[3] for e in side) for side in sides]
-        keep, drop = sides if totals[0] >= totals[1] else sides[::-1]
-        best = max(keep, key=lambda e: (e[3], -e[0]))[0]
-        for e in drop:
-            beaten[e[0]] = best
-            del live[e[0]]
+    for _, both in sorted((node, both) for node, both in touching.items() if all(both)):
+        as_parent, as_variant = ([e for e in side if e[0] not in beaten] for side in both)
+        if as_parent and as_variant:
+            stays_parent = sum(e[3] for e in as_parent) >= sum(e[3] for e in as_variant)
+            winners, losers = (as_parent, as_variant) if stays_parent else (as_variant, as_parent)
+            best = min(winners, key=lambda e: (-e[3], e[0]))[0]
+            beaten.update((e[0], best) for e in losers)
     return beaten
 
 

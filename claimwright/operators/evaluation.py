@@ -105,6 +105,17 @@ def row_contains(cells: Column, wanted: Column) -> Column:
     return F.exists(cells, lambda c: F.contains(tidy(c), tidy(wanted)))
 
 
+def question_scores(cases: DataFrame) -> DataFrame:
+    """question_id, sql_ok, contains, slugs: the shares of wanted values and documents that an answer has; null where none is wanted.
+
+    cases: question_id, sql_ok, cells (of all rows of the answer), wanted, found_slugs,
+    wanted_slugs, all arrays of strings.
+    """
+    share = lambda wanted, hit: F.when(F.size(wanted) > 0, F.size(F.filter(wanted, hit)) / F.size(wanted))
+    contains = share("wanted", lambda w: row_contains(F.col("cells"), w))
+    return cases.select("question_id", "sql_ok", contains.alias("contains"), share("wanted_slugs", lambda s: F.array_contains("found_slugs", s)).alias("slugs"))
+
+
 def answer_scores(cases: DataFrame) -> DataFrame:
     """sql success, contains and slug averages over the cases where each applies; 0.0 where none does.
 

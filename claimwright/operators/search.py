@@ -158,6 +158,20 @@ def hint_text(hints: DataFrame, chars: int = HINT_CHARS) -> DataFrame:
     return lines.groupBy("question_id").agg(F.substring(text, 1, chars).alias("hints"))
 
 
+def example_text(examples: DataFrame) -> DataFrame:
+    """(question_id, examples): a question's worked examples (rank, q, sql, note or null) as prompt text, the nearest first."""
+    block = F.concat(F.lit("Q: "), "q", F.lit("\nSQL: "), "sql", F.coalesce(F.concat(F.lit("\nNote: "), "note"), F.lit("")))
+    listed = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
+    return examples.groupBy("question_id").agg(F.array_join(F.transform(listed, lambda x: x["block"]), "\n\n").alias("examples"))
+
+
+def known_text(entities: DataFrame, key: str = "document_id") -> DataFrame:
+    """(key, known): the names found so far as prompt text, a line per type, names in order."""
+    lines = entities.groupBy(key, "proposed_type").agg(F.array_join(F.array_sort(F.collect_set("canonical_name")), ", ").alias("names"))
+    line = F.concat(F.lit("- "), "proposed_type", F.lit(": "), "names")
+    return lines.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("known"))
+
+
 def candidate_strings(rows: DataFrame, most: int | None = PROVENANCE_STRINGS) -> DataFrame:
     """(value): the distinct string cells of a result, trimmed, of two characters or more and not numbers; `most` by name, or all.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -226,6 +227,16 @@ def apply_to_table(df: DataFrame, before: dict[str, str], after: dict[str, str])
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in after.items()])
 
 
+def run_migrations(steps: dict[str, Callable[[], None]], applied: set[int], record: Callable[[int, str], None]) -> list[int]:
+    """Runs the steps of numbered files not yet applied, ascending; each is recorded once it has run, and a failure stops the rest."""
+    done = []
+    for number, name in migrations(list(steps), applied):
+        steps[name]()
+        record(number, name)
+        done.append(number)
+    return done
+
+
 def migrations(files: list[str], applied: set[int]) -> list[tuple[int, str]]:
     """Numbered files not yet applied, ascending; names without a number are passed over."""
     numbered = [(int(m[1]), f) for f in files if (m := re.match(r"(\d+)[^/]*$", f.rsplit("/", 1)[-1]))]

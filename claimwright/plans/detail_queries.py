@@ -252,3 +252,42 @@ def answer_slugs(t):
     backed = li.select(F.lit("part").alias("entity_table"), F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", "active").otherwise("superseded").alias("status"))
     slugs = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("slug"))
     return search.slugs_of(found, search.provenance(search.candidate_strings(p.filter("p_size > 40").select("p_name"), None), known, backed, slugs))
+
+
+@_query("""WITH e AS (SELECT n_regionkey AS question_id, n_nationkey AS rank, 'who is in ' || n_name AS q, 'SELECT ' || n_nationkey AS sql, CASE WHEN n_nationkey % 2 = 0 THEN 'even' END AS note FROM nation)
+SELECT question_id, string_agg('Q: ' || q || chr(10) || 'SQL: ' || sql || coalesce(chr(10) || 'Note: ' || note, ''), chr(10) || chr(10) ORDER BY rank) AS examples FROM e GROUP BY question_id""")
+def example_texts(t):
+    k = F.col("n_nationkey")
+    rows = t("nation").select(F.col("n_regionkey").alias("question_id"), k.alias("rank"), F.concat(F.lit("who is in "), "n_name").alias("q"), F.concat(F.lit("SELECT "), k.cast("string")).alias("sql"), F.when(k % 2 == 0, "even").alias("note"))
+    return search.example_text(rows)
+
+
+@_query("""WITH e AS (SELECT DISTINCT s_nationkey AS document_id, 'supplier' AS k, s_name AS n FROM supplier UNION SELECT c_nationkey, lower(c_mktsegment), c_name FROM customer), l AS (SELECT document_id, '- ' || k || ': ' || string_agg(n, ', ' ORDER BY n) AS line FROM e GROUP BY document_id, k)
+SELECT document_id, string_agg(line, chr(10) ORDER BY line) AS known FROM l GROUP BY document_id""")
+def known_texts(t):
+    rows = t("supplier").select(F.col("s_nationkey").alias("document_id"), F.lit("supplier").alias("proposed_type"), F.col("s_name").alias("canonical_name"))
+    return search.known_text(rows.union(t("customer").select("c_nationkey", F.lower("c_mktsegment"), "c_name")))
+
+
+@_query("""WITH c AS (SELECT o_orderkey, o_orderstatus <> 'P' AS sql_ok, lower(o_orderpriority) AS a, lower(o_orderstatus) AS b, o_custkey % 3 AS m FROM orders)
+SELECT o_orderkey AS question_id, sql_ok, CASE m WHEN 0 THEN NULL WHEN 1 THEN (CAST(contains(a, 'high') OR contains(b, 'high') AS INT) + CAST(contains(a, 'f') OR contains(b, 'f') AS INT)) / 2 ELSE CAST(contains(a, '1-') OR contains(b, '1-') AS INT) / 1 END AS contains,
+CASE m WHEN 2 THEN NULL ELSE (CAST(o_orderkey % 2 = 0 AS INT) + 1) / 2 END AS slugs FROM c""")
+def question_scores(t):
+    """Answers that hold all, some or none of what was wanted of them, and of the documents."""
+    m, even = F.col("o_custkey") % 3, F.col("o_orderkey") % 2 == 0
+    wanted = F.when(m == 0, F.array().cast("array<string>")).when(m == 1, F.array(F.lit("HIGH"), F.lit("f"))).otherwise(F.array(F.lit(" 1 -")))
+    slugs = F.when(m == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b")))
+    cases = t("orders").select(
+        F.col("o_orderkey").alias("question_id"), (F.col("o_orderstatus") != "P").alias("sql_ok"), F.array("o_orderpriority", "o_orderstatus").alias("cells"), wanted.alias("wanted"),
+        F.when(even, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("b"), F.lit("c"))).alias("found_slugs"), slugs.alias("wanted_slugs"),
+    )
+    return evaluation.question_scores(cases)
+
+
+@_query("""SELECT event_id AS seq, event_type AS column_name, user_id AS edge_id, o_orderstatus AS role, c_name AS other_name FROM events JOIN orders ON o_orderkey = user_id JOIN customer ON c_custkey = o_custkey""")
+def claims_of_edges(t):
+    """Claims about edges, with the edge and the entity at its end."""
+    said = t("events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("column_name"), F.col("user_id").alias("edge_id"))
+    made = t("orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderstatus").alias("role"), F.lit("customer").alias("other_table"), F.col("o_custkey").alias("other_id"))
+    known = t("customer").select(F.lit("customer").alias("entity_table"), F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("canonical_name"))
+    return audit.claim_history(said, made, known).select("seq", "column_name", "edge_id", "role", "other_name")

@@ -470,7 +470,9 @@ def fts_or_match(t):
     return search.fts(t("documents"), _QUESTION).select("doc_id")
 
 
-@_query()
+@_query(f"""WITH w AS (SELECT regexp_extract_all('{_QUESTION}', '[a-z]{{2,}}') AS w), k AS (SELECT doc_id, regexp_split_to_array(trim(text), '\\s+') AS t, w FROM documents, w WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), w) ORDER BY doc_id LIMIT {FTS_TOP}),
+h AS (SELECT doc_id, t, list_transform(t, lambda x: list_has_any(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]{{2,}}'), w)) AS h FROM k), s AS (SELECT *, greatest(1, least(greatest(coalesce(list_position(h, true), 0), 1) - 7, len(t) - 14)) AS s FROM h)
+SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(s, least(s + 15, len(t) + 1)), lambda i: CASE WHEN h[i] THEN '>>' || t[i] || '<<' ELSE t[i] END), ' ') || CASE WHEN s + 14 < len(t) THEN '…' ELSE '' END AS snippet FROM s""")
 def fts_snippet(t):
     return search.fts(t("documents"), _QUESTION)
 

@@ -126,5 +126,10 @@ def test_schema_text(spark):
     assert catalog.extra_tables(roles, [1.0, 0.0], ["a", "b"], 1) == ["b"] and catalog.extra_tables(roles, None, ["c", "a"], 1) == ["a"]
     assert catalog.visible_tables(["person", "doc_fts_data", "_x", "sqlite_master"]) == ["person"]
     assert catalog.migrations(["m/0002_b.sql", "0001_a.sql", "readme.md", "10_c.sql"], {1}) == [(2, "m/0002_b.sql"), (10, "10_c.sql")]
+    ran, log = [], []
+    steps = {"m/0002_b.sql": lambda: ran.append(2), "0001_a.sql": lambda: ran.append(1), "readme.md": lambda: ran.append(0), "10_c.sql": lambda: ran.append(10), "11_d.sql": lambda: 1 / 0, "12_e.sql": lambda: ran.append(12)}
+    with pytest.raises(ZeroDivisionError):
+        catalog.run_migrations(steps, {1}, lambda n, name: log.append((n, name)))
+    assert ran == [2, 10] and log == [(2, "m/0002_b.sql"), (10, "10_c.sql")] and catalog.run_migrations({}, set(), print) == []
     moved = catalog.apply_to_table(spark.createDataFrame([(1, "x")], "a long, b string"), {}, {"a": "bigint", "c": "string"})
     assert moved.columns == ["a", "c"] and tuple(moved.first()) == (1, None)

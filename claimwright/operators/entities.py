@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.functions.names import cosine, jaccard, norm_key, trigrams
+from claimwright.functions.names import cosine, norm_key
 from claimwright.operators.search import against_queries
+from claimwright.operators.similarity import similarity_join
 from claimwright.plans.registry import CANDIDATE_COSINE, CANDIDATE_TOP, CANDIDATE_TOP_ACROSS, CANDIDATE_TRIGRAM
 
 
@@ -55,28 +56,6 @@ def aliases_of(upserted: DataFrame) -> DataFrame:
     return valid.select("entity_id", F.col("name").alias("alias"), "norm_key").dropDuplicates(["entity_id", "alias"])
 
 
-def similarity_join(left: DataFrame, right: DataFrame, least: float = CANDIDATE_TRIGRAM) -> DataFrame:
-    """(l, r, score) of all distinct keys with trigram Jaccard of `least` or more; exact, without a cross join.
-
-    left has column l, right column r.  Two sets of such similarity share a trigram among
-    the first n - ceil(least * n) + 1 of each in a common order; in the order of rarity
-    these few are the rare ones, so frequent trigrams, which many keys share, seldom join.
-    """
-    sets_l = left.filter("l <> ''").select("l").distinct().withColumn("tl", trigrams("l"))
-    sets_r = right.filter("r <> ''").select("r").distinct().withColumn("tr", trigrams("r"))
-    grams = sets_l.select(F.explode("tl").alias("g")).union(sets_r.select(F.explode("tr").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
-
-    def prefixes(sets: DataFrame, key: str, grams_of: str) -> DataFrame:
-        ranked = sets.select(key, F.explode(grams_of).alias("g")).join(grams, "g")
-        ordered = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "g"))), lambda x: x["g"]).alias("o"))
-        keep = F.size("o") - F.ceil(F.lit(least) * F.size("o") - 1e-9).cast("int") + 1
-        return ordered.select(key, F.explode(F.slice("o", F.lit(1), keep)).alias("g"))
-
-    pairs = prefixes(sets_l, "l", "tl").join(prefixes(sets_r, "r", "tr"), "g").select("l", "r").distinct()
-    scored = pairs.join(sets_l, "l").join(sets_r, "r").withColumn("score", jaccard(F.col("tl"), F.col("tr")))
-    return scored.filter(F.col("score") >= least).select("l", "r", "score")
-
-
 def candidates(
     queries: DataFrame, entities: DataFrame, least: float = CANDIDATE_TRIGRAM, least_cosine: float = CANDIDATE_COSINE,
     top: int = CANDIDATE_TOP, vectors: bool = False,

@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.functions.names import cosine, jaccard, trigrams
+from claimwright.functions.names import cosine
 from claimwright.functions.text import snippet, terms
+from claimwright.operators.similarity import containment_join, similarity_join
 from claimwright.plans.registry import FTS_TOP, HINT_CHARS, HINT_COSINE, HINT_TOP, HINT_TRIGRAM, PROVENANCE_STRINGS, PROVENANCE_TOP
 
 
@@ -137,14 +138,13 @@ def column_hints(questions: DataFrame, values: DataFrame, top: int = HINT_TOP, v
     (and v_vec).  Score is the greatest of containment (1.0), trigram Jaccard and cosine;
     a value is kept if contained or if a measure reaches its threshold.
     """
-
-    def score(met: DataFrame) -> DataFrame:
-        vec = cosine("q_vec", "v_vec") if vectors else F.lit(0.0)
-        met = met.withColumn("_c", F.contains("q_key", "v_key")).withColumn("_t", jaccard(trigrams("q_key"), trigrams("v_key"))).withColumn("_v", vec)
-        kept = met.filter(F.col("_c") | (F.col("_t") >= HINT_TRIGRAM) | (F.col("_v") >= HINT_COSINE))
-        return kept.select("question_id", "source", "value", F.greatest(F.col("_c").cast("double"), "_t", "_v").alias("score"))
-
-    kept = against_queries(questions, "question_id", values.filter("v_key <> ''"), score)
+    named, asked = values.filter("v_key <> ''").withColumnRenamed("v_key", "r"), questions.withColumnRenamed("q_key", "l")
+    scored = similarity_join(asked.select("l"), named.select("r"), HINT_TRIGRAM).union(containment_join(asked.select("l"), named.select("r")).select("l", "r", F.lit(1.0)))
+    met = asked.join(scored, "l").join(named, "r")
+    kept = met.select("question_id", "source", "value", F.greatest("score", cosine("q_vec", "v_vec")).alias("score") if vectors else F.col("score"))
+    if vectors:
+        near = lambda both: both.withColumn("score", cosine("q_vec", "v_vec")).filter(F.col("score") >= HINT_COSINE).select("question_id", "source", "value", "score")
+        kept = kept.union(against_queries(questions.select("question_id", "q_vec"), "question_id", named.select("source", "value", "v_vec"), near))
     best = kept.groupBy("question_id", "source", "value").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("question_id", "source").orderBy(F.desc("score"), "value"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from claimwright.operators import audit, edges, entities, routing, search
+from claimwright.operators import audit, edges, entities, routing, search, similarity
 
 
 def df(spark, rows, schema):
@@ -181,3 +181,11 @@ def test_audit(spark):
     old, new = df(spark, [(1, "s", "t", "p", "old", "2020")], schema), df(spark, [(7, "s", "t", "p", "new", "2021"), (8, "z", "t", "p", "b", "2021")], schema)
     assert {(r.id, r.slug, r.body) for r in audit.upsert_documents(old, new).collect()} == {(1, "s", "new"), (8, "z", "b")}
     assert [r.who for r in audit.dangling(df(spark, [(1,), (9,), (None,)], "who long"), "who", a, "id").collect()] == [9]
+
+
+def test_containment_join_against_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randrange(n)))
+    l, r = {word(14) for _ in range(80)}, {word(6) for _ in range(60)} | {"a", "bc"}
+    found = similarity.containment_join(df(spark, [(x,) for x in l], "l string"), df(spark, [(x,) for x in r], "r string")).collect()
+    assert sorted((x.l, x.r) for x in found) == sorted((x, y) for x in l for y in r if x and y and y in x)

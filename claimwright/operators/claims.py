@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwright.plans.registry import CLAIM_CONFIDENCE_DELTA, ENTITY_COLUMNS, ENUMS, LOW_CONFIDENCE, RANGES, Registry
@@ -97,9 +97,11 @@ def canonical_table(resolved: DataFrame, table: str, columns: dict[str, str] | N
 
 
 def history(claims: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Claims with the value before them in their key's order of arrival and whether it changed."""
-    from pyspark.sql import Window
+    """Claims with the value before them in their key's order of arrival and whether it changed.
 
+    A key's claims are sorted in one task, which spills; a cell that a large part of the
+    log is about is as slow as its own sort.
+    """
     before = F.lag("value").over(Window.partitionBy(*key).orderBy("seq"))
     return claims.withColumn("previous_value", before).withColumn("changed", ~F.col("value").eqNullSafe(F.col("previous_value")))
 

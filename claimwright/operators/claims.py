@@ -8,12 +8,13 @@ order; `fold` replays them one by one, as an incremental store would.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimwright.operators.ordered import with_previous
 from claimwright.plans.registry import CLAIM_CONFIDENCE_DELTA, ENTITY_COLUMNS, ENUMS, LOW_CONFIDENCE, RANGES, Registry
 
 KEY = ("entity_table", "entity_id", "column_name")
@@ -99,11 +100,11 @@ def canonical_table(resolved: DataFrame, table: str, columns: dict[str, str] | N
 def history(claims: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Claims with the value before them in their key's order of arrival and whether it changed.
 
-    A key's claims are sorted in one task, which spills; a cell that a large part of the
-    log is about is as slow as its own sort.
+    Sorted in ranges of (key, arrival), so a cell that a large part of the log is about is
+    several tasks.
     """
-    before = F.lag("value").over(Window.partitionBy(*key).orderBy("seq"))
-    return claims.withColumn("previous_value", before).withColumn("changed", ~F.col("value").eqNullSafe(F.col("previous_value")))
+    before = with_previous(claims, key, "seq", "value", "previous_value")
+    return before.withColumn("changed", ~F.col("value").eqNullSafe(F.col("previous_value")))
 
 
 def existence_resolve(claims: DataFrame, delta: float = CLAIM_CONFIDENCE_DELTA, key: tuple[str, ...] = ("edge_id",)) -> DataFrame:
@@ -119,13 +120,21 @@ def existence_resolve(claims: DataFrame, delta: float = CLAIM_CONFIDENCE_DELTA,
 
 
 class Machine:
-    """The claims of one (entity, column) as they arrive: document -> [value, confidence, status, group]."""
+    """The claims of one (entity, column) as they arrive: document -> [value, confidence, status, group, arrival].
 
-    def __init__(self, delta: float = CLAIM_CONFIDENCE_DELTA, least: float = LOW_CONFIDENCE):
+    The active claims and how many have each value are kept beside, in mappings like
+    `rows` is one, so that a new document's claim is judged without walking the others;
+    only a document that speaks again has all of them judged anew.
+    """
+
+    def __init__(self, delta: float = CLAIM_CONFIDENCE_DELTA, least: float = LOW_CONFIDENCE, rows: MutableMapping | None = None, active: MutableMapping | None = None, values: MutableMapping | None = None):
         self.delta, self.least = delta, least
-        self.rows: dict[int, list] = {}
+        self.rows: MutableMapping[int, list] = {} if rows is None else rows
+        self.active: MutableMapping[int, int] = {} if active is None else active
+        self.values: MutableMapping[str, int] = {} if values is None else values
         self.value: str | None = None
-        self.groups = 0
+        self.groups = self.arrivals = 0
+        self.best = 0.0
 
     def add(self, document: int, value: str | None, confidence: float) -> str:
         """Takes a claim in and says what became of it.
@@ -135,47 +144,74 @@ class Machine:
         worse is superseded; else all of them conflict.  A document that repeats its own
         claim, or changes it, sets off a recomputation.
         """
-        if confidence is None or confidence < self.least:
+        if confidence is None or confidence != confidence or confidence < self.least:
             return "rejected"
-        if document in self.rows:
-            known = self.rows[document]
-            refreshed = known[0] == value
-            known[0], known[1] = value, confidence
+        known = self.rows.get(document)
+        if known is not None:
+            self.rows[document] = [value, confidence, *known[2:]]
             self.recompute()
-            return "refreshed" if refreshed else "revalued"
-        others = [r for r in self.rows.values() if r[2] == "active"]
-        mine = self.rows[document] = [value, confidence, "active", None]
-        if not others:
-            self.value = value
-            return "inserted_active"
-        if any(r[0] == value for r in others):
+            return "refreshed" if known[0] == value else "revalued"
+        self.arrivals += 1
+        alone = len(self.active) == 0
+        if alone or _slot(value) in self.values:
+            self.value = value if alone else self.value
+            self._put(document, value, confidence)
             return "inserted_active"
-        gap = confidence - max(r[1] for r in others)
+        gap = confidence - self.best
         if gap > self.delta:
-            for r in others:
-                r[2] = "superseded"
+            self._retire("superseded", None)
             self.value = value
+            self._put(document, value, confidence)
             return "inserted_active"
         if gap < -self.delta:
-            mine[2] = "superseded"
+            self.rows[document] = [value, confidence, "superseded", None, self.arrivals]
             return "inserted_superseded"
         self.groups += 1
-        for r in (*others, mine):
-            r[2], r[3] = "conflicted", self.groups
+        self._retire("conflicted", self.groups)
+        self.rows[document] = [value, confidence, "conflicted", self.groups, self.arrivals]
         return "inserted_conflicted"
 
+    def _put(self, document: int, value: str | None, confidence: float) -> None:
+        """A new document's claim becomes active."""
+        self.rows[document] = [value, confidence, "active", None, self.arrivals]
+        self._activate(document, value, confidence)
+
+    def _activate(self, document: int, value: str | None, confidence: float) -> None:
+        self.best = max(self.best, confidence) if len(self.active) else confidence
+        self.active[document] = 1
+        self.values[_slot(value)] = self.values.get(_slot(value), 0) + 1
+
+    def _retire(self, status: str, group: int | None) -> None:
+        """No claim is active any more."""
+        for document in list(self.active):
+            value, confidence, _, _, arrival = self.rows[document]
+            self.rows[document] = [value, confidence, status, group, arrival]
+        self.active.clear()
+        self.values.clear()
+
     def recompute(self) -> None:
-        """All claims judged anew around the most confident; in a conflict those beyond delta stay active."""
-        order = sorted(self.rows.values(), key=lambda r: -r[1])
-        pivot = order[0]
-        rivals = [r for r in order if r[0] != pivot[0] and pivot[1] - r[1] <= self.delta]
-        for r in order:
-            r[2], r[3] = ("active" if r[0] == pivot[0] or rivals else "superseded"), None
-        if rivals:
-            self.groups += 1
-            for r in (pivot, *rivals):
-                r[2], r[3] = "conflicted", self.groups
-        self.value = pivot[0]
+        """All claims judged anew around the most confident, the oldest among equals; in a conflict those beyond delta stay active."""
+        every = dict(self.rows.items())
+        pivot = min(every, key=lambda d: (-every[d][1], every[d][4]))
+        value, top = every[pivot][:2]
+        rivals = {d for d, r in every.items() if r[0] != value and top - r[1] <= self.delta}
+        self.groups += bool(rivals)
+        self.active.clear()
+        self.values.clear()
+        for document, row in every.items():
+            fought = bool(rivals) and (document == pivot or document in rivals)
+            status = "conflicted" if fought else "active" if row[0] == value or rivals else "superseded"
+            judged = [row[0], row[1], status, self.groups if fought else None, row[4]]
+            if judged != row:
+                self.rows[document] = judged
+            if status == "active":
+                self._activate(document, row[0], row[1])
+        self.value = value
+
+
+def _slot(value: str | None) -> str:
+    """A value as the name of a slot; null has one of its own."""
+    return "" if value is None else f"={value}"
 
 
 FOLDED = "entity_table string, entity_id bigint, column_name string, document_id bigint, value string, confidence double, status string, conflict_no int, canonical_value string"
@@ -201,7 +237,7 @@ def fold(claims: DataFrame, delta: float = CLAIM_CONFIDENCE_DELTA) -> DataFrame:
         yield frame(rows_of(held, machine))
 
     def rows_of(key: tuple | None, machine: Machine) -> list[tuple]:
-        return [(*key, document, *row, machine.value) for document, row in machine.rows.items()] if key else []
+        return [(*key, document, *row[:4], machine.value) for document, row in machine.rows.items()] if key else []
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[*KEY, "document_id", "value", "confidence", "status", "conflict_no", "canonical_value"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.functions.names import cosine, norm_key
-from claimwright.operators.search import against_queries
+from claimwright.functions.names import norm_key
+from claimwright.operators.search import cosine_groups
 from claimwright.operators.similarity import similarity_join
 from claimwright.plans.registry import CANDIDATE_COSINE, CANDIDATE_TOP, CANDIDATE_TOP_ACROSS, CANDIDATE_TRIGRAM
 
@@ -72,9 +72,8 @@ def candidates(
     near = similarity_join(q, e, least)
     met = q.join(near, "l").join(e.select("r", "entity_table", "entity_id"), "r").select("query_id", "entity_table", "entity_id", (F.col("l") == F.col("r")).alias("norm_match"), "score")
     if vectors:
-        near_by = lambda both: both.withColumn("score", cosine("embedding", "qv")).filter(F.col("score") >= least_cosine)
-        by_vector = against_queries(q.select("query_id", F.col("embedding").alias("qv")), "query_id", e.select("entity_table", "entity_id", "embedding"), near_by)
-        met = met.unionByName(by_vector.select("query_id", "entity_table", "entity_id", F.lit(False).alias("norm_match"), "score"))
+        by_vector = cosine_groups(q.select("query_id", "embedding"), e.select(F.col("entity_table").alias("group"), F.col("entity_id").alias("item_id"), "embedding"), top, least_cosine)
+        met = met.unionByName(by_vector.select("query_id", F.col("group").alias("entity_table"), F.col("item_id").alias("entity_id"), F.lit(False).alias("norm_match"), "score"))
     best = met.groupBy("query_id", "entity_table", "entity_id").agg(F.max("norm_match").alias("norm_match"), F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", "entity_table").orderBy(F.desc("norm_match"), F.desc("score"), "entity_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top).withColumn("score", F.round("score", 4))

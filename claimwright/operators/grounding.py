@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright.functions.names import ground_norm, norm_key, suffix_stripped
-from claimwright.operators.search import against_queries
+from claimwright.operators.search import _blocks
+
+#: Names of one automaton.
+NAMES_PER_BLOCK = 1 << 17
 
 
 def _inside(body: Column, norm: Column) -> Column:
@@ -26,15 +35,54 @@ def grounded(entities: DataFrame, documents: DataFrame) -> DataFrame:
     return met.filter(kept).drop("_body")
 
 
+def _automaton(names: pa.Table) -> ahocorasick.Automaton:
+    """All names of a block in one automaton; a name leads to the places of its ids."""
+    found = ahocorasick.Automaton()
+    places: dict[str, list[int]] = {}
+    for k, name in enumerate(names.column("_name").to_pylist()):
+        places.setdefault(name, []).append(k)
+    for name, at in places.items():
+        found.add_word(name, at)
+    found.make_automaton()
+    return found
+
+
 def grounded_anywhere(names: DataFrame, documents: DataFrame) -> DataFrame:
-    """(document_id, name_id) of every name that stands in a document's text: a stated set of names against all documents.
+    """(document_id, name_id) of every name that stands in a document's text: many names against all documents.
 
-    names: name_id, name; documents: document_id, body.  The texts stay where they are and
-    the names come to them, in blocks of a checked size.
+    names: name_id, name; documents: document_id, body.  The names of a block, which is
+    bounded in rows and bytes, form one automaton, and a text is read once a block
+    whatever the number of names.  Names and texts are compared as `ground_norm` has
+    them; empty ones are nowhere.  Repeated rows are each answered.
     """
     asked = names.select("name_id", ground_norm("name").alias("_name")).filter("_name <> ''")
-    bodies = documents.select("document_id", ground_norm("body").alias("_body"))
-    return against_queries(asked, "name_id", bodies, lambda met: met.filter(_inside(F.col("_body"), F.col("_name"))).select("document_id", "name_id"))
+    bodies = documents.select("document_id", ground_norm("body").alias("_body")).filter("_body <> ''")
+    schema = f"document_id {bodies.schema['document_id'].dataType.simpleString()}, name_id {asked.schema['name_id'].dataType.simpleString()}"
+
+    def met(block: pa.Table) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, ids = _automaton(block), block.column("name_id").combine_chunks()
+            for batch in batches:
+                for row in range(0, len(batch), 512):
+                    part = batch.slice(row, 512)
+                    hits = [sorted({k for _, at in automaton.iter(body) for k in at}) for body in part.column(1).to_pylist()]
+                    documents_hit = np.repeat(np.arange(len(part)), [len(h) for h in hits])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(documents_hit)), ids.take(pa.array([k for h in hits for k in h], pa.int64()))], names=["document_id", "name_id"])
+
+        return bodies.mapInArrow(work, schema)
+
+    blocks = [b for b in (names.toArrow() for names in _blocks(asked, "name_id", NAMES_PER_BLOCK)) if len(b)]
+    return reduce(DataFrame.union, [met(b) for b in blocks]) if blocks else documents.sparkSession.createDataFrame([], schema)
+
+
+def extracted(entities: DataFrame, relations: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of extractions as they go on: grounded in their text, merged by name, and relations whose ends stand in the text.
+
+    Relations are held against the text, not against the entities that are left, so that
+    a relation may name what no entity is.  Entities without a name or a type go.
+    """
+    named = entities.filter((F.coalesce("canonical_name", F.lit("")) != "") & (F.coalesce("proposed_type", F.lit("")) != ""))
+    return merged(grounded(named, documents)), grounded_relations(relations, documents)
 
 
 def grounded_relations(relations: DataFrame, documents: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,41 +22,16 @@ QUERIES_PER_BLOCK = 4096
 QUERY_BYTES_PER_BLOCK = 16 << 20
 
 
-def against_queries(queries: DataFrame, key: str, items: DataFrame, score: Callable[[DataFrame], DataFrame], most: int = QUERIES_PER_BLOCK) -> DataFrame:
-    """`score` of every (item, query) row, with the queries broadcast in blocks of a checked size.
-
-    The queries are a stated set held against all items; `score` filters or reduces the
-    met rows.  Items are scanned once per block and never multiplied through a shuffle.
-    """
-    return reduce(DataFrame.union, [score(items.join(F.broadcast(mine), how="cross")) for mine in _blocks(queries, key, most)])
-
-
-def inverted_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, term, pos): built from the texts anew rather than kept in step by triggers."""
-    return documents.select(id_column, F.posexplode(terms(text_column)).alias("pos", "term"))
+def fts(documents: DataFrame, question: str, top: int = FTS_TOP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The first `top` documents by id that hold any of the question's terms, with a snippet, by a scan where there is no index; only the first 200 characters of the question count."""
+    found = documents.filter(F.arrays_overlap(terms(text_column), terms(F.lit(question[:200])))).orderBy(id_column).limit(top)
+    return found.select(id_column, snippet(text_column, terms(F.lit(question[:200]))).alias("snippet"))
 
 
-def fts(documents: DataFrame, question: str, top: int = FTS_TOP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The first `top` documents by id that hold any of the question's terms, with a snippet; only the first 200 characters of the question count."""
-    wanted = terms(F.lit(question[:200]))
-    found = documents.filter(F.arrays_overlap(terms(text_column), wanted)).orderBy(id_column).limit(top)
-    return found.select(id_column, snippet(text_column, wanted).alias("snippet"))
-
-
-def bm25(index: DataFrame, question: DataFrame, top: int = FTS_TOP, id_column: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question_id, id, score): ranked retrieval over an inverted index for many questions (question_id, term)."""
-    lengths = index.groupBy(id_column).agg(F.count("*").alias("len"))
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len")).first()
-    docs, average = stats["docs"], stats["avg_len"] or 1.0
-    q = question.distinct()
-    hits = index.join(q, "term").groupBy("question_id", "term", id_column).agg(F.count("*").alias("tf"))
-    df = hits.select("term", id_column).distinct().groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    scored = hits.join(df, "term").join(lengths, id_column).groupBy("question_id", id_column).agg(F.sum(gain).alias("score"))
-    # equal documents have equal scores but for the order of their sums
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), id_column))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
+def snippets(found: DataFrame, documents: DataFrame, question: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, snippet) of documents that an index found, few as they are; their ids go down to the scan of the texts."""
+    ids = [r[0] for r in found.select(id_column).collect()]
+    return documents.filter(F.col(id_column).isin(ids)).select(id_column, snippet(text_column, terms(F.lit(question[:200]))).alias("snippet"))
 
 
 def _blocks(queries: DataFrame, key: str, most: int) -> list[DataFrame]:
@@ -123,6 +98,45 @@ def cosine_top(queries: DataFrame, items: DataFrame, top: int, query_id: str = "
     return reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def cosine_groups(queries: DataFrame, items: DataFrame, top: int, least: float) -> DataFrame:
+    """(query_id, group, item_id, score): per query and group every item that may be among the `top` of `least` or more; exact.
+
+    queries: query_id, embedding; items: group, item_id, embedding, where an item may have
+    several vectors and counts by its best.  A batch of items is scored by products, as
+    in `cosine_top`, and hands on each query's `top` different items of each group.
+    """
+    kinds = [queries.schema["query_id"].dataType, items.schema["group"].dataType, items.schema["item_id"].dataType]
+    schema = ", ".join([*(f"{n} {k.simpleString()}" for n, k in zip(("query_id", "group", "item_id"), kinds, strict=True)), "score double"])
+
+    def scored(block: pa.Table) -> DataFrame:
+        ids, own = block.column("query_id").combine_chunks(), [v or [] for v in block.column("embedding").to_pylist()]
+        asked = [(mine, _unit([own[k] for k in mine], wide), wide) for wide in sorted({len(v) for v in own}) for mine in [[k for k, v in enumerate(own) if len(v) == wide]]]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column("embedding").to_pylist()
+                group, item = (pc.rank(batch.column(n), tiebreaker="dense").to_numpy() for n in ("group", "item_id"))
+                for mine, unit, wide in asked:
+                    scores = unit @ _unit(vectors, wide).T
+                    query, at = np.nonzero(scores >= least)
+                    value = scores[query, at]
+                    order = np.lexsort((item[at], -value, group[at], query))
+                    query, at, value = query[order], at[order], value[order]
+                    # the best vector of each item, then the first `top` items of each query and group
+                    _, first = np.unique(np.stack([query, group[at], item[at]]), axis=1, return_index=True)
+                    first.sort()
+                    query, at, value = query[first], at[first], value[first]
+                    heads = np.flatnonzero(np.r_[True, (np.diff(query) != 0) | (np.diff(group[at]) != 0)]) if len(at) else np.zeros(0, int)
+                    place = np.arange(len(at)) - np.repeat(heads, np.diff(np.r_[heads, len(at)]))
+                    kept = place < top
+                    which = pa.array(at[kept])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(mine, np.int64)[query[kept]])), batch.column("group").take(which), batch.column("item_id").take(which), pa.array(value[kept])], names=["query_id", "group", "item_id", "score"])
+
+        return items.select("group", "item_id", "embedding").mapInArrow(score, schema)
+
+    return reduce(DataFrame.union, [scored(mine.toArrow()) for mine in _blocks(queries.select("query_id", "embedding"), "query_id", QUERIES_PER_BLOCK)])
+
+
 def top_or_head(query_vector: list[float] | None, items: DataFrame, top: int, order: str, vector: str = "embedding") -> DataFrame:
     """The `top` items by cosine with the query, in order of (-score, order); without a vector the first `top` by order."""
     if query_vector is None:
@@ -143,8 +157,8 @@ def column_hints(questions: DataFrame, values: DataFrame, top: int = HINT_TOP, v
     met = asked.join(scored, "l").join(named, "r")
     kept = met.select("question_id", "source", "value", F.greatest("score", cosine("q_vec", "v_vec")).alias("score") if vectors else F.col("score"))
     if vectors:
-        near = lambda both: both.withColumn("score", cosine("q_vec", "v_vec")).filter(F.col("score") >= HINT_COSINE).select("question_id", "source", "value", "score")
-        kept = kept.union(against_queries(questions.select("question_id", "q_vec"), "question_id", named.select("source", "value", "v_vec"), near))
+        near = cosine_groups(questions.select(F.col("question_id").alias("query_id"), F.col("q_vec").alias("embedding")), named.select(F.col("source").alias("group"), F.col("value").alias("item_id"), F.col("v_vec").alias("embedding")), top, HINT_COSINE)
+        kept = kept.union(near.select(F.col("query_id").alias("question_id"), F.col("group").alias("source"), F.col("item_id").alias("value"), "score"))
     best = kept.groupBy("question_id", "source", "value").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("question_id", "source").orderBy(F.desc("score"), "value"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= top)

@@ -9,7 +9,7 @@ from claimwright.functions.names import suffix_stripped
 from claimwright.functions.text import slug, title
 from claimwright.operators import audit, claims, edges, entities, evaluation, grounding, routing, search
 from claimwright.plans import catalog
-from claimwright.plans.queries import _KEY_SQL, _NAMES_SQL, _QUESTION, _RESOLVE_SQL, ORACLES, _claims, _names, _query
+from claimwright.plans.queries import _KEY_SQL, _NAMES_SQL, _QUESTION, _RESOLVE_SQL, ORACLES, _claims, _index, _names, _query
 from claimwright.plans.registry import CANDIDATE_COSINE, CONTRACT_SUFFIXES, FTS_TOP, HINT_CHARS, HUMAN_DOCUMENT_ID
 
 # Documents, grounding and merging -------------------------------------------------------
@@ -246,7 +246,7 @@ def hint_texts(t):
 @_query(f"""WITH f AS ({ORACLES["fts_or_match"]}), p AS ({ORACLES["union_provenance"]}) SELECT 'doc-' || doc_id AS slug FROM f UNION SELECT slug FROM p""")
 def answer_slugs(t):
     """The documents of an answer: those that full text finds and those that stand behind its strings."""
-    found = search.fts(t("documents"), _QUESTION, FTS_TOP).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"))
+    found = _index(t).match(_QUESTION, FTS_TOP).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("slug"))
     p, li, o = t("part"), t("lineitem"), t("orders")
     known = p.select(F.lit("part").alias("entity_table"), F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("canonical_name"))
     backed = li.select(F.lit("part").alias("entity_table"), F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", "active").otherwise("superseded").alias("status"))

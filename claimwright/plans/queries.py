@@ -7,6 +7,7 @@ relations, documents and benchmark the texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from claimwright.functions.names import strip_name
 from claimwright.functions.text import chunk_documents, parse_payload, terms
 from claimwright.operators import audit, claims, edges, entities, evaluation, grounding, routing, search
+from claimwright.operators.textindex import TextIndex
 from claimwright.plans import catalog, gate
 from claimwright.plans.registry import FTS_TOP, Registry
+from claimwright.sources.lineage import shared_folder
 from claimwright.streaming.claims import sessions, window_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,11 +116,6 @@ def claims_history_lag(t):
     return claims.history(_claims(t)).select("entity_id", "column_name", "seq", "value", "previous_value", "changed")
 
 
-@_query()
-def claims_incremental_fold(t):
-    return claims.fold(_claims(t)).drop("entity_table")
-
-
 @_query(_RESOLVE_SQL + "SELECT entity_id, column_name, document_id, 'user_' || column_name AS kind FROM resolved WHERE status = 'conflicted'")
 def claims_conflict_groups(t):
     return claims.conflict_groups(_resolved(t)).select("entity_id", "column_name", "document_id", "kind")
@@ -463,18 +461,31 @@ def union_provenance(t):
 # Text -------------------------------------------------------------------------------
 
 _QUESTION = "that the eraton thinorsh heention idiot"
+#: The index of each table of documents that this session has built one for.
+_INDEXES: dict[tuple[str, ...], TextIndex] = {}
+
+
+def _index(t: Callable[[str], DataFrame]) -> TextIndex:
+    """The stored index of the documents, built once a session."""
+    documents = t("documents")
+    spark = documents.sparkSession
+    key = (spark.sparkContext.applicationId, *sorted(documents.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex(spark, f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}").build(documents)
+    return _INDEXES[key]
 
 
 @_query(f"""SELECT doc_id FROM documents WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), regexp_extract_all('{_QUESTION}', '[a-z]{{2,}}')) ORDER BY doc_id LIMIT {FTS_TOP}""")
 def fts_or_match(t):
-    return search.fts(t("documents"), _QUESTION).select("doc_id")
+    return _index(t).match(_QUESTION)
 
 
 @_query(f"""WITH w AS (SELECT regexp_extract_all('{_QUESTION}', '[a-z]{{2,}}') AS w), k AS (SELECT doc_id, regexp_split_to_array(trim(text), '\\s+') AS t, w FROM documents, w WHERE list_has_any(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), w) ORDER BY doc_id LIMIT {FTS_TOP}),
 h AS (SELECT doc_id, t, list_transform(t, lambda x: list_has_any(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}_]{{2,}}'), w)) AS h FROM k), s AS (SELECT *, greatest(1, least(greatest(coalesce(list_position(h, true), 0), 1) - 7, len(t) - 14)) AS s FROM h)
 SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(s, least(s + 15, len(t) + 1)), lambda i: CASE WHEN h[i] THEN '>>' || t[i] || '<<' ELSE t[i] END), ' ') || CASE WHEN s + 14 < len(t) THEN '…' ELSE '' END AS snippet FROM s""")
 def fts_snippet(t):
-    return search.fts(t("documents"), _QUESTION)
+    """Of the documents that the index finds; only their texts are read."""
+    return search.snippets(_index(t).match(_QUESTION), t("documents"), _QUESTION)
 
 
 _TERMS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
@@ -487,7 +498,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score
 SELECT question_id, doc_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {FTS_TOP}""")
 def fts_bm25(t):
     asked = t("benchmark").select(F.col("item_id").alias("question_id"), F.explode(terms("text")).alias("term"))
-    return search.bm25(search.inverted_index(t("documents")), asked).select("question_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return _index(t).bm25(asked).select("question_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 @_query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")

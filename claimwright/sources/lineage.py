@@ -1,22 +1,23 @@
-"""Cutting long plans through the shared checkpoint folder."""
+"""The folder that driver and executors share: cutting long plans and keeping what is derived."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a session that names none gets one of its own only where driver and executors are one local process."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
 
-    All executors share that folder.  A session that names none gets one of its own only
-    where driver and executors are one local process.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,51 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from claimwright.operators.claims import KEY, Machine
 
-UPDATES = "entity_table string, entity_id long, column_name string, document_id long, outcome string, canonical_value string, canonical_changed boolean"
-_STATE = "documents array<long>, values array<string>, confidences array<double>, statuses array<string>, numbers array<int>, value string, conflicts int"
+UPDATES = "entity_table string, entity_id long, column_name string, document_id long, seq long, outcome string, canonical_value string, canonical_changed boolean"
+#: The store that keeps a key's maps entry by entry.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _load(state: GroupState, delta: float) -> Machine:
-    machine = Machine(delta)
-    if state.exists:
-        documents, values, confidences, statuses, numbers, machine.value, machine.groups = state.get
-        machine.rows = {d: [v, c, s, n] for d, v, c, s, n in zip(documents, values, confidences, statuses, numbers, strict=True)}
-    return machine
+class _Stored(MutableMapping):
+    """A map state as a mapping; an entry that is set is the only one written."""
 
+    def __init__(self, state):
+        self.state = state
 
-def _save(state: GroupState, machine: Machine) -> None:
-    rows = list(machine.rows.items())
-    state.update(([d for d, _ in rows], *[[r[k] for _, r in rows] for k in range(4)], machine.value, machine.groups))
+    def __getitem__(self, key):
+        if not self.state.containsKey((key,)):
+            raise KeyError(key)
+        found = self.state.getValue((key,))
+        return list(found) if len(found) > 1 else found[0]
 
+    def __setitem__(self, key, value):
+        self.state.updateValue((key,), tuple(value) if isinstance(value, list) else (value,))
 
-def fold_stream(claims: DataFrame, delta: float = 0.1) -> DataFrame:
-    """What becomes of each arriving claim, with the machine of each (entity, column) as keyed state.
+    def __delitem__(self, key):
+        self.state.removeKey((key,))
+
+    def __iter__(self):
+        return iter([k[0] for k in self.state.keys()])
+
+    def __len__(self):
+        # whether there is any is all that is asked
+        return 0 if next(iter(self.state.keys()), None) is None else 1
+
+    def items(self):
+        return [(k[0], list(v)) for k, v in self.state.iterator()]
+
+    def clear(self):
+        self.state.clear()
 
-    The same machine as the batch fold; within a micro-batch a key's claims go in order
-    of seq, over micro-batches in order of arrival, which is the semantic order.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = _load(state, delta)
-        rows = []
-        for claim in pd.concat(list(batches)).sort_values("seq").itertuples():
+class ClaimFold(StatefulProcessor):
+    """The machine of each (entity, column) over map states: a claim rewrites its own entry, and those that it changes."""
+
+    def __init__(self, delta: float):
+        self.delta = delta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getMapState("rows", "document long", "value string, confidence double, status string, conflict int, arrival long")
+        self.active = handle.getMapState("active", "document long", "n long")
+        self.values = handle.getMapState("values", "value string", "n long")
+        self.summary = handle.getValueState("summary", "value string, conflicts int, arrivals long, best double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        machine = Machine(self.delta, rows=_Stored(self.rows), active=_Stored(self.active), values=_Stored(self.values))
+        if self.summary.exists():
+            machine.value, machine.groups, machine.arrivals, machine.best = self.summary.get()
+        out = []
+        for claim in pd.concat(list(rows)).sort_values("seq").itertuples():
             before = machine.value
             outcome = machine.add(int(claim.document_id), claim.value, claim.confidence)
-            rows.append((*key, int(claim.document_id), outcome, machine.value, machine.value != before))
-        _save(state, machine)
-        yield pd.DataFrame(rows, columns=[*KEY, "document_id", "outcome", "canonical_value", "canonical_changed"])
+            out.append((*key, int(claim.document_id), int(claim.seq), outcome, machine.value, machine.value != before))
+        self.summary.update((machine.value, machine.groups, machine.arrivals, machine.best))
+        yield pd.DataFrame(out, columns=[*KEY, "document_id", "seq", "outcome", "canonical_value", "canonical_changed"])
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(claims: DataFrame, delta: float = 0.1) -> DataFrame:
+    """What becomes of each arriving claim, with the machine of each (entity, column) as keyed state.
 
-    return claims.groupBy(*KEY).applyInPandasWithState(step, UPDATES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    The same machine as the batch fold; within a micro-batch a key's claims go in order
+    of seq, over micro-batches in order of arrival, which is the semantic order.  The
+    state is a row a document in the RocksDB store, which `into_table` turns on.
+    """
+    return claims.groupBy(*KEY).transformWithStateInPandas(ClaimFold(delta), UPDATES, "Append", "None")
 
 
 def once_per_document(claims: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -55,7 +92,7 @@ def once_per_document(claims: DataFrame, time: str = "ts", delay: str = "1 hour"
 
 
 def landing(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
-    """Parquet files as they land in a folder."""
+    """Parquet files as they land in a folder, the oldest first."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
@@ -73,6 +110,48 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", t
     return found.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def into_table(updates: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """One writer per table: each micro-batch is handed over once, in order, with its number for idempotent writes."""
-    return updates.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+def into_table(updates: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+    """One writer per table: each micro-batch is handed over in order, with its number for idempotent writes.
+
+    Keyed maps go to the RocksDB store.  A new stream has a partition of state a core, or
+    the session's shuffle partitions where these are fewer.
+    """
+    session = updates.sparkSession
+    partitions = min(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    own = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: session.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            session.conf.set(k, v)
+        # a stream takes the session's settings as they are when it starts
+        return updates.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            session.conf.set(k, v) if v is not None else session.conf.unset(k)
+
+
+# A stream from folder to folder -----------------------------------------------------------
+
+
+def batch_folders(sink: str) -> Callable[[DataFrame, int], None]:
+    """A write that gives each micro-batch a folder of its number: one that is handed over again after a failure replaces itself."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+
+def run(updates: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what has landed by now, and gives all rows of its sink, with batch, the number of the micro-batch.
+
+    `folder` holds the stream's checkpoint and its sink; running again takes only what has
+    landed since, also where the last run died between writing a batch and committing it.
+    """
+    spark, sink = updates.sparkSession, f"{folder}/sink"
+    into_table(updates, f"{folder}/checkpoint", batch_folders(sink), mode).awaitTermination()
+    return spark.read.schema(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in updates.schema), "batch int"])).parquet(sink)
+
+
+def in_arrivals(rows: DataFrame, order: str, parts: int = 3) -> list[DataFrame]:
+    """`rows` in `parts` pieces by ranges of `order`, as they would arrive one after the other."""
+    place = F.col(order).cast("double")
+    cuts = sorted(set(rows.select(place.alias("o")).approxQuantile("o", [k / parts for k in range(1, parts)], 0.01))) if parts > 1 else []
+    number = F.coalesce(sum((F.when(place > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0))
+    return [rows.filter(number == k) for k in range(len(cuts) + 1)]

@@ -39,6 +39,55 @@ def test_queries_pass_repaired(views, sql, rows):
     assert gate.run(views, sql).count() == rows
 
 
+@pytest.mark.parametrize("sql, aliases", [
+    ("SELECT b.value FROM person_claims a JOIN person_claims b ON a.id = b.id WHERE a.status = 'active'", ["b"]),
+    ("SELECT a.value FROM person_claims a, person_claims b WHERE a.status = 'active' AND b.status IN ('active', 'superseded')", []),
+    ("SELECT value FROM person_claims x WHERE EXISTS (SELECT 1 FROM person_claims y WHERE y.status = 'active' AND y.id = x.id)", ["x"]),
+    ("SELECT value FROM person_claims x WHERE EXISTS (SELECT 1 FROM person p WHERE p.id = x.id AND x.status = 'active')", []),
+    ("SELECT value FROM person_claims x WHERE EXISTS (SELECT 1 FROM person_claims x WHERE x.status = 'active')", ["x"]),
+    ("SELECT t.value FROM (SELECT value, status FROM person_claims) t WHERE t.status = 'superseded'", []), ("SELECT t.value FROM (SELECT value FROM person_claims) t JOIN person_claims c ON c.id = 1 WHERE c.status = 'active'", ["person_claims"]),
+    ("WITH w AS (SELECT * FROM person_claims) SELECT * FROM w WHERE w.status <> 'active'", []), ("WITH w AS (SELECT * FROM person_claims) SELECT a.id FROM w a JOIN w b ON a.id = b.id WHERE a.status = 'active'", ["person_claims"]),
+    ("SELECT id FROM person_claims UNION ALL SELECT id FROM person_claims c WHERE c.status = 'active'", ["person_claims"]), ("SELECT c.status, count(*) FROM person_claims c GROUP BY c.status", []), ("SELECT count(*) FROM person_claims c GROUP BY c.status", ["c"]),
+    ("WITH person_claims AS (SELECT 1 AS id) SELECT id FROM person_claims", []),
+])
+def test_status_is_asked_of_each_alias(views, sql, aliases):
+    assert sorted(v.message.rpartition("(as ")[2].rstrip(")") for v in gate.lint(views, sql) if v.rule == "R2") == aliases
+
+
+@pytest.mark.parametrize("sql, values", [
+    ("SELECT b.value FROM person_claims a JOIN person_claims b ON a.value = b.value WHERE a.status = 'active'", ["7", "8"]),
+    ("SELECT value FROM person_claims x WHERE EXISTS (SELECT 1 FROM person_claims y WHERE y.status = 'active')", ["7", "8"]),
+    ("SELECT value FROM `person_claims` -- FROM person_claims\n WHERE id > 0", ["7", "8"]), ("SELECT person_claims.value FROM person_claims", ["7", "8"]), ("SELECT value AS `é` FROM person_claims /* é */ c", ["7", "8"]),
+    ("SELECT t.value FROM (SELECT value, status FROM person_claims) t WHERE t.status = 'superseded'", ["7"]),
+])
+def test_each_bare_alias_reads_active_rows(views, sql, values):
+    assert sorted(r[0] for r in gate.run(views, sql).collect()) == values
+
+
+def test_qualified_claims_tables_are_repaired(views, tmp_path):
+    views.sql("CREATE DATABASE IF NOT EXISTS kept")
+    views.sql(f"CREATE TABLE IF NOT EXISTS kept.user2_claims USING parquet LOCATION '{tmp_path}/u2' AS SELECT * FROM person_claims")
+    try:
+        assert gate.run(views, "SELECT value FROM kept.user2_claims").count() == 2 and gate.run(views, "SELECT c.value FROM kept.user2_claims c WHERE c.status = 'superseded'").count() == 1
+    finally:
+        views.sql("DROP DATABASE kept CASCADE")
+
+
+@pytest.mark.parametrize("sql", ["SELECT array_max(collect_set(value)) AS m FROM person_claims", "SELECT sort_array(collect_list(value)) AS s FROM person_claims", "SELECT max_by(id, value) AS m FROM person_claims", "SELECT value || 'x' > '7' AS b FROM person_claims", "SELECT percentile(value, 0.5) AS p FROM person_claims"])
+def test_order_is_refused_under_any_name(views, sql):
+    with pytest.raises(gate.GateError) as error:
+        gate.guarded(views, sql)
+    assert error.value.rule == "R1"
+
+
+@pytest.mark.parametrize("sql, rows", [
+    ("SELECT id % 3 AS k, id FROM person GROUP BY k", 3), ("SELECT p.id % 3 AS k,\n upper(p.id) AS u\nFROM\n person p GROUP BY 1", 3), ("SELECT status, value FROM person_claims GROUP BY status HAVING count(*) > 0", 2),
+    ("SELECT status, max(id) AS m, concat(value, ' FROM ') AS s FROM person_claims GROUP BY status", 2), ("SELECT x.k FROM (SELECT status AS k, id FROM person_claims GROUP BY status) x", 2),
+])
+def test_bare_columns_of_a_grouping(views, sql, rows):
+    assert gate.run(views, sql).count() == rows
+
+
 @pytest.mark.parametrize("sql", ["DROP TABLE person", "INSERT INTO person SELECT 1", "CREATE TABLE x (a INT)", "CREATE VIEW v AS SELECT 1", "DELETE FROM person", "SELECT 1; SELECT 2", "SELEC 1", "", "SHOW TABLES", "SET x = 1", "USE default", "DESCRIBE person", "EXPLAIN SELECT 1", "TRUNCATE TABLE person", "ALTER TABLE person ADD COLUMNS (b INT)", "CACHE TABLE person",
     "SELECT * FROM text.`/etc/passwd`", "SELECT * FROM csv.`/tmp`", "WITH x AS (SELECT * FROM binaryFile.`/etc/passwd`) SELECT * FROM x", "SELECT id FROM person WHERE id IN (SELECT value FROM text.`/etc/passwd`)",
     "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x", "SELECT java_method('java.lang.System', 'getenv', 'HOME') AS x", "SELECT * FROM nowhere", "SELECT 1) UNION (SELECT 2"])

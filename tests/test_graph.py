@@ -125,9 +125,6 @@ def test_search(spark):
     docs = df(spark, [(1, "red fox"), (2, "blue whale"), (3, "Fox, again")], "doc_id long, text string")
     assert [r.doc_id for r in search.fts(docs, "a FOX!").collect()] == [1, 3]
     assert search.fts(docs, "??").collect() == []
-    index = search.inverted_index(docs)
-    asked = df(spark, [(1, "fox"), (1, "red")], "question_id long, term string")
-    assert [r.doc_id for r in search.bm25(index, asked).orderBy("rank").collect()] == [1, 3]
     items = df(spark, [("a", 0, [0.0, 1.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [0.7, 0.7])], "item_id string, pos int, embedding array<float>")
     assert [r.item_id for r in search.top_or_head([1.0, 0.0], items, 2, "pos").collect()] == ["b", "c"]
     assert [r.item_id for r in search.top_or_head(None, items, 2, "pos").collect()] == ["a", "b"]
@@ -149,11 +146,6 @@ def test_search(spark):
             got = sorted(((x.rank, x.item_id, round(x.score, 12)) for x in found if x.query_id == r.query_id))
             assert [(i, s) for _, i, s in got] == want
     assert search.cosine_top(q.limit(0), items, 7).count() == 0 and search.cosine_top(q, items.limit(0), 7).count() == 0
-    items = df(spark, [("a", 0, [0.0, 1.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [0.7, 0.7])], "item_id string, pos int, embedding array<float>")
-    many = df(spark, [(k, [1.0, k / 10]) for k in range(20)], "query_id long, embedding array<float>")
-    pairs = lambda met: met.select("query_id", "item_id")
-    met = search.against_queries(many.select("query_id"), "query_id", items, pairs, most=3)
-    assert met.count() == 60 and met.distinct().count() == 60
 
 
 def test_hints_and_provenance(spark):

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,14 +28,15 @@ from claimwright.llm.url_filter import host_of, path_of
 
 NEUTRAL, ARTICLE, CHROME = range(3)
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.DOTALL)
-_OPEN_END = re.compile(r"<(?:[a-zA-Z/!?][^>]*)?$", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_SPECIAL = re.compile(r"[>\"']")
+_OPEN_END = re.compile(r"<(?=[a-zA-Z/!?]|\n?\Z)")
 _NAMES = re.compile(r"(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _ROLE = re.compile(r"role\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu|menubar|main|article)", re.IGNORECASE)
 _HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none", re.IGNORECASE)
 
 #: Elements whose content is never text of the page, and elements that stand in no block of their own.
-_RAW = ("script", "style")
+_RAW = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in ("script", "style")}
 _SKIPPED = frozenset("head noscript template svg math iframe object canvas audio video select textarea button dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
@@ -66,11 +67,71 @@ def _zone(tag: str, attributes: str, around: int) -> int:
     return ARTICLE if tag in _ARTICLE_TAGS else around
 
 
+class _Tags:
+    """The tags of a page in order, each part of the text looked at a bounded number of times whatever is left open."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.special = self.greater = -1
+        self.failed: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Behind the > that ends a tag whose name ends at `at`: the first outside quotes, else the first of all; -1 if none.
+
+        A quote from which no end was found once is known to lead to none.
+        """
+        if at > self.last:
+            return -1
+        if self.special < at:
+            self.special = _SPECIAL.search(self.html, at).start()
+        place, passed = self.special, []
+        while self.html[place] != ">":
+            closing = -1 if place in self.failed else self.html.find(self.html[place], place + 1)
+            passed.append(place)
+            behind = _SPECIAL.search(self.html, closing + 1) if closing >= 0 else None
+            if behind is None:
+                self.failed.update(passed)
+                if self.greater < at:
+                    self.greater = self.html.find(">", at)
+                return self.greater + 1
+            place = behind.start()
+        return place + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes); comments and declarations have no name."""
+        html, at = self.html, 0
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(html)
+                yield start, at, "", False, ""
+            elif html[start + 1 : start + 2] in ("!", "?"):
+                if start < self.last:
+                    at = html.index(">", start) + 1
+                    yield start, at, "", False, ""
+            else:
+                closes = html.startswith("/", start + 1)
+                name = _NAME.match(html, start + 1 + closes)
+                if name and (end := self._end(name.end())) > 0:
+                    tag = name[0].lower()
+                    at = end
+                    if tag in _RAW and not closes:
+                        closing = _RAW[tag].search(html, end)
+                        at = html.index(">", closing.end()) + 1 if closing and closing.end() <= self.last else len(html)
+                    yield start, at, tag, closes, html[name.end() : end - 1]
+
+
 def lines_of(html: str) -> list[tuple[str, int]]:
-    """(text, zone) of every non-empty block of a page in order, references decoded, white space made single."""
+    """(text, zone) of every non-empty block of a page in order, references decoded, white space made single.
+
+    Takes time in proportion to the page, also where tags, quotes or elements stay open.
+    """
     out: list[tuple[str, int]] = []
     pieces: list[str] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
     zone = NEUTRAL
 
     def close() -> None:
@@ -79,19 +140,17 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if text:
             out.append((text, zone))
 
-    place = 0
-    size = len(html)
-    while place < size:
-        m = _TAG.search(html, place)
-        if m is None:
-            pieces.append(_OPEN_END.sub("", html[place:]))
-            break
-        pieces.append(html[place : m.start()])
-        place = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    def leave() -> str:
+        name, _ = stack.pop()
+        opened[name] -= 1
+        return name
+
+    place, tags = 0, _Tags(html)
+    for start, end, tag, ends, attributes in tags:
+        pieces.append(html[place:start])
+        place = end
         if not tag:
             continue
-        ends, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in _VOID:
             if tag in _INLINE:
                 pieces.append(" " if tag == "br" else "")
@@ -101,24 +160,26 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if tag in _INLINE and not ends and _zone(tag, attributes, zone) == zone:
             continue
         if ends:
-            if any(name == tag for name, _ in stack):
+            if opened[tag]:
                 close()
-                while stack.pop()[0] != tag:
+                while leave() != tag:
                     pass
                 zone = stack[-1][1] if stack else NEUTRAL
             elif tag not in _INLINE:
                 close()
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(html, place)
-            place = end.end() if end else size
             continue
         close()
         if stack and (stack[-1][0] == "p" and tag not in _INLINE or stack[-1][0] == tag == "li"):
-            stack.pop()
+            leave()
             zone = stack[-1][1] if stack else NEUTRAL
         zone = _zone(tag, attributes, zone)
         stack.append((tag, zone))
+        opened[tag] += 1
+    # a tag that the page's end cuts off is no text
+    cut_off = _OPEN_END.search(html, max(place, tags.last + 1))
+    pieces.append(html[place : cut_off.start() if cut_off else len(html)])
     close()
     return out
 

@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from claimwright.llm import html_text
 
@@ -61,6 +64,27 @@ def test_cut_off_and_odd_pages():
     assert text_of("<article>" + "<p>w</p>" * 20000 + "</article>").count("\n") == 19999
 
 
+@pytest.mark.parametrize("make", [
+    lambda n: "<a " * n, lambda n: "<b class='" * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "</1 " * n + ">", lambda n: "<script></script" * n, lambda n: "<a '><a '" * n + '"',
+    lambda n: "<a ''" * n + '"', lambda n: "<!-- " * n, lambda n: '<a "' * n + ">'", lambda n: "<" * n, lambda n: "<p>" * n + "x", lambda n: "<nav>" * n + "</div>" * n, lambda n: "<p " + "role class display " * n + ">x",
+])
+def test_hostile_markup_takes_linear_time(make):
+    seconds = []
+    for size in (1_000_000, 10_000_000):
+        page = make(size // len(make(1)) + 1)[:size]
+        began = time.perf_counter()
+        html_text.lines_of(page)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < max(25 * seconds[0], 1) and seconds[1] < 30
+
+
+def test_quotes_and_open_ends():
+    assert text_of('<p title="a > b">x</p>') == "x" and text_of("<p title='>'>y") == "y"
+    assert text_of('<p title="a > b</p>') == "b" and text_of('<a "><b>z') == "z"
+    assert text_of("one <a b='") == "one" and text_of("one <1") == "one <1" and text_of("one <\n") == "one" and text_of("a <!-- b") == "a"
+    assert text_of("<script>x</script y") == "" and text_of("<script>x</SCRIPT >z") == "z"
+
+
 def test_neutral_lines_shared_with_the_nearest_page_go(spark, monkeypatch):
     page = lambda body: f"<html><body><div>Site name</div><div>{body}</div><p>All rights</p></body></html>"
     rows = [(1, "http://h.com/a/1", page("first")), (2, "http://h.com/a/2", page("second")), (3, "http://h.com/b/1", page("third")), (4, "http://alone.com/a", page("only")), (5, None, page("none")), (6, "http://h.com/a/3", None)]

@@ -189,7 +189,7 @@ def groups_of(sets: list[np.ndarray], weights: list[np.ndarray | None], similari
     that every two have in common.  Where neither repeats a shingle both similarities are
     one.  Else equal samples of the two are at most as probable as either one's share of
     shingles in common; pairs that this bound leaves, and no other link has joined, are
-    looked at one by one.
+    looked at member by member, all partners of a member at once.
     """
     n, size = len(sets), np.array([len(x) for x in sets])
     element, own = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -219,11 +219,50 @@ def groups_of(sets: list[np.ndarray], weights: list[np.ndarray | None], similari
     if heavy.any():
         bound = np.minimum(mass, mass.T)
         open_ = (bound >= similarity - ROUNDING) & (label[:, None] != label[None, :]) & (heavy[:, None] | heavy[None, :])
-        x, y = np.nonzero(np.triu(open_))
-        weighted = lambda k: (sets[k], np.ones(size[k]) if weights[k] is None else weights[k])
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            if label[i] != label[j] and jaccards(weighted(i), weighted(j))[1] >= similarity:
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        by_member = np.argsort(own, kind="stable")
+        label = _joined(open_, label, np.searchsorted(own[by_member], np.arange(n + 1)), column[by_member], share[by_member], similarity)
+    return label
+
+
+def _joined(open_: np.ndarray, label: np.ndarray, ends: np.ndarray, column: np.ndarray, share: np.ndarray, similarity: float) -> np.ndarray:
+    """`label` after linking the open pairs whose probability Jaccard reaches `similarity`.
+
+    ends, column, share: each member's entries, its shingles' shares of its own weight.
+    With s, the sum of the lesser shares of two members, the similarity is at most s and
+    at least s / (2 - s); only pairs between the two need its own sum, which goes through
+    the shared shingles in order of the ratio of their shares.
+    """
+    mine = np.zeros(int(column.max()) + 1 if len(column) else 1)
+    for i in range(len(label)):
+        partners = np.flatnonzero(open_[i, i + 1 :] & (label[i + 1 :] != label[i])) + i + 1
+        if not len(partners):
+            continue
+        own = column[ends[i] : ends[i + 1]]
+        mine[own] = share[ends[i] : ends[i + 1]]
+        counts = ends[partners + 1] - ends[partners]
+        at = np.repeat(ends[partners] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        which, x, y = np.repeat(np.arange(len(partners)), counts), mine[column[at]], share[at]
+        mine[own] = 0
+        both = x > 0
+        which, x, y = which[both], x[both], y[both]
+        least = np.bincount(which, np.minimum(x, y), len(partners))
+        linked = least / (2 - least) >= similarity
+        unsure = ~linked & (least >= similarity - 1e-12)
+        if unsure.any():
+            on = unsure[which]
+            which, x, y = which[on], x[on], y[on]
+            order = np.lexsort((x / y, which))
+            which, x, y = which[order], x[order], y[order]
+            heads = np.searchsorted(which, np.arange(len(partners) + 1))
+            sums_x, sums_y = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, y))
+            # of the shares of i what comes behind in order or isn't shared, of the partner's what comes up to here or isn't shared
+            x_beyond = 1 - (sums_x[1:] - sums_x[heads[which]])
+            y_up_to = 1 - (sums_y[heads[which + 1]] - sums_y[1:])
+            score = np.bincount(which, 1 / (x_beyond / x + y_up_to / y), len(partners))
+            linked |= unsure & (score >= similarity - 1e-12)
+        if linked.any():
+            met = np.unique(np.append(label[partners[linked]], label[i]))
+            label[np.isin(label, met)] = met[0]
     return label
 
 

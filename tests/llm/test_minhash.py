@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import numpy as np
 
 from claimwright.llm import minhash
 
@@ -159,3 +162,32 @@ def test_texts_that_differ_in_repeats_share_a_band(spark):
     signed = minhash.signatures(spark.createDataFrame([(i, t, "") for i, t in rows], "doc_id long, text string, digest string"), 24, 4, 5)
     bands = {r.doc_id: set(r.bands) for r in signed.collect()}
     assert all(bands[i] & bands[i + 1] for i in range(0, 24, 2))
+
+
+def test_groups_of_repeated_shingles_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(40):
+        pool, sets, weights = rng.randrange(5, 40), [], []
+        base = [rng.sample(range(pool), rng.randrange(1, pool)) for _ in range(3)]
+        for _ in range(rng.randrange(2, 25)):
+            elements = set(rng.choice(base))
+            elements.symmetric_difference_update({rng.randrange(pool) for _ in range(rng.randrange(3))})
+            sets.append(np.array(sorted(elements or {0}), np.uint32))
+            counts = np.array([rng.choice([1, 1, 2, 6]) for _ in sets[-1]], float)
+            weights.append(counts if (counts > 1).any() and rng.random() < 0.7 else None)
+        whole = [(x, np.ones(len(x)) if w is None else w) for x, w in zip(sets, weights, strict=True)]
+        label = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if max(minhash.jaccards(whole[i], whole[j])) >= 0.8 - 1e-12:
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        assert minhash.groups_of(sets, weights, 0.8).tolist() == label
+
+
+def test_crowds_that_repeat_a_passage_are_judged_quickly():
+    shared, own = np.arange(300, dtype=np.uint32), np.arange(200, dtype=np.uint32)
+    sets = [np.concatenate([shared, 10_000 * (k + 1) + own]).astype(np.uint32) for k in range(1000)]
+    weights = [np.concatenate([np.full(300, (2, 6, 18)[k % 3]), np.ones(200)]).astype(float) for k in range(1000)]
+    began = time.perf_counter()
+    assert len(set(minhash.groups_of(sets, weights, 0.8).tolist())) == 335
+    assert time.perf_counter() - began < 10

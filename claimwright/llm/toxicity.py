@@ -27,7 +27,7 @@ from claimwright.llm.labelled import labelled_sample
 from claimwright.llm.scratch import cut
 from claimwright.llm.textbytes import Words, mix, shingles, slices, text_buffer
 
-#: Training documents of each label, about.
+#: Training documents of each label at most.
 MOST_LABELLED = {1: 2048, 0: 8192}
 #: Prefix lengths in bytes that are features besides the whole word.
 PREFIXES = (4, 5, 6)
@@ -143,7 +143,11 @@ def feature_places(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _windows(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """([windows, tokens, features] places, [windows, tokens] toxic or not): tokens around marked ones and some of clean text."""
+    """([windows, tokens, features] places, [windows, tokens] toxic or not): tokens around marked ones and some of clean text.
+
+    A window begins and ends with its text where that is nearer; places behind its last
+    token are -1 in both, so that short texts and the edges of long ones train the chain.
+    """
     wide, kinds, none = 2 * AROUND + 1, 1 + len(PREFIXES) + len(BESIDE), len(known) + len(BESIDE)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +165,21 @@ def _windows(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
                     joins[1:-1] |= marked[:-2] & marked[2:] & (words.doc[:-2] == words.doc[2:])
                 counts = words.per_doc()
                 heads = np.cumsum(counts) - counts
-                plain = heads[counts >= wide] + (mix(words.hash[heads[counts >= wide]]) % (counts[counts >= wide] - wide + 1).astype(np.uint64)).astype(np.int64) + AROUND
+                long, short = counts >= wide, (counts > 0) & (counts < wide)
+                drawn = heads[long] + (mix(words.hash[heads[long]]) % (counts[long] - wide + 1).astype(np.uint64)).astype(np.int64) + AROUND
+                plain = np.concatenate([drawn, heads[short] + np.minimum(AROUND, counts[short] - 1)])
                 for center in (np.flatnonzero(marked), plain):
                     d = words.doc[center]
-                    fits = (center - heads[d] >= AROUND) & (heads[d] + counts[d] - center > AROUND)
-                    at = center[fits][:, None] + np.arange(-AROUND, AROUND + 1)
-                    toxic = joins[at] & (labels[start:stop][d[fits]] == 1)[:, None]
-                    draw = mix(words.hash[at[:, 0]] + words.hash[at[:, -1]]).view(np.int64)
+                    first = np.maximum(center - AROUND, heads[d])
+                    last = np.minimum(center + AROUND, heads[d] + counts[d] - 1)
+                    at = first[:, None] + np.arange(wide)
+                    inside = at <= last[:, None]
+                    at = np.minimum(at, last[:, None])
+                    toxic = np.where(inside, joins[at] & (labels[start:stop][d] == 1)[:, None], -1)
+                    held = np.where(inside[:, :, None], place[at], none)
+                    draw = mix(words.hash[first] + words.hash[last]).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(draw), pa.array([x.tobytes() for x in place[at].astype(np.int32)], pa.binary()), pa.array([x.tobytes() for x in toxic.astype(np.int8)], pa.binary())],
+                        [pa.array(draw), pa.array([x.tobytes() for x in held.astype(np.int32)], pa.binary()), pa.array([x.tobytes() for x in toxic.astype(np.int8)], pa.binary())],
                         names=["draw", "places", "toxic"],
                     )
 
@@ -180,28 +190,40 @@ def _windows(sample: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return places, np.stack([np.frombuffer(r.toxic, np.int8) for r in rows]).astype(np.int64)
 
 
+def likelihood(weights: np.ndarray, bias: float, moves: np.ndarray, places: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """(loss, its slopes by weights, bias and moves): the mean negative log-likelihood of windows; tokens of -1 are none."""
+    n, wide = toxic.shape
+    on = (toxic >= 0).astype(float)
+    seen = np.maximum(toxic, 0)
+    score = bias + weights[places].sum(axis=2)
+    potential = np.stack([np.zeros_like(score), score], axis=2)
+    forward, backward = np.zeros((n, wide, 2)), np.zeros((n, wide, 2))
+    forward[:, 0] = potential[:, 0]
+    for t in range(1, wide):
+        step = np.logaddexp.reduce(forward[:, t - 1, :, None] + moves, axis=1) + potential[:, t]
+        forward[:, t] = np.where(on[:, t, None] > 0, step, forward[:, t - 1])
+    for t in range(wide - 2, -1, -1):
+        step = np.logaddexp.reduce(moves + (potential[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+        backward[:, t] = np.where(on[:, t + 1, None] > 0, step, 0.0)
+    whole = np.logaddexp.reduce(forward[:, -1], axis=1)
+    error = (np.exp(forward[:, :, 1] + backward[:, :, 1] - whole[:, None]) - seen) * on
+    both = np.exp(forward[:, :-1, :, None] + moves + (potential + backward)[:, 1:, None, :] - whole[:, None, None, None])
+    pairs = (both * on[:, 1:, None, None]).sum(axis=(0, 1))
+    had = np.zeros((2, 2))
+    np.add.at(had, (seen[:, :-1].ravel(), seen[:, 1:].ravel()), on[:, 1:].ravel())
+    slope = np.bincount(places.reshape(-1), np.repeat(error.reshape(-1), places.shape[2]), len(weights))
+    said = (score * seen * on).sum(axis=1) + (moves[seen[:, :-1], seen[:, 1:]] * on[:, 1:]).sum(axis=1)
+    return float((whole - said).mean()), slope / n, float(error.sum() / n), (pairs - had) / n
+
+
 def train_chain(places: np.ndarray, toxic: np.ndarray, features: int) -> dict:
     """Weights of features, bias and transitions by maximum likelihood with a ridge, in full-batch Adam steps."""
     weights, bias, moves = np.zeros(features + 1), np.array([-2.0]), np.zeros((2, 2))
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("w", weights), ("b", bias), ("t", moves))}
-    n, wide = toxic.shape
-    for step in range(1, STEPS + 1) if n else ():
-        score = bias + weights[places].sum(axis=2)
-        potential = np.stack([np.zeros_like(score), score], axis=2)
-        forward, backward = np.zeros((n, wide, 2)), np.zeros((n, wide, 2))
-        forward[:, 0] = potential[:, 0]
-        for t in range(1, wide):
-            forward[:, t] = np.logaddexp.reduce(forward[:, t - 1, :, None] + moves, axis=1) + potential[:, t]
-        for t in range(wide - 2, -1, -1):
-            backward[:, t] = np.logaddexp.reduce(moves + (potential[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-        whole = np.logaddexp.reduce(forward[:, -1], axis=1)
-        error = np.exp(forward[:, :, 1] + backward[:, :, 1] - whole[:, None]) - toxic
-        pairs = np.exp(forward[:, :-1, :, None] + moves + (potential + backward)[:, 1:, None, :] - whole[:, None, None, None]).sum(axis=(0, 1))
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (toxic[:, :-1].ravel(), toxic[:, 1:].ravel()), 1)
-        slope = np.bincount(places.reshape(-1), np.repeat(error.reshape(-1), places.shape[2]), features + 1)
-        slope[features] = 0
-        grads = {"w": slope / n + RIDGE * weights, "b": np.array([error.sum() / n]), "t": (pairs - seen) / n + RIDGE * moves}
+    for step in range(1, STEPS + 1) if len(toxic) else ():
+        _, by_weights, by_bias, by_moves = likelihood(weights, float(bias[0]), moves, places, toxic)
+        by_weights[features] = 0
+        grads = {"w": by_weights + RIDGE * weights, "b": np.array([by_bias]), "t": by_moves + RIDGE * moves}
         for name, value in (("w", weights), ("b", bias), ("t", moves)):
             m, v = moments[name]
             m += 0.1 * (grads[name] - m)
@@ -308,7 +330,7 @@ def _calibrate(rows: list, counts: dict) -> tuple[float, float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict:
-    """The model: learned features, chain weights and calibration, from about MOST_LABELLED training documents.
+    """The model: learned features, chain weights and calibration, from at most MOST_LABELLED training documents of each label, one row an id.
 
     labels: doc_id, toxic (0 or 1; nulls and the held-out fifth are left out).  Without
     both classes the score is the smoothed share of toxic labels.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS = 1 << 30
@@ -17,30 +17,51 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
 MOST_VALUES = 256
 
 
+#: How many more than wanted are drawn before the exact cut.
+SPARE = 1.25
+
+
 def chosen(rows: DataFrame, label: str, most: dict | int, seed: int) -> tuple[DataFrame, dict]:
-    """(about `most` rows of each label by hash of doc_id, the count of each label).
+    """(rows of about SPARE times `most` ids of each label by hash of doc_id, the count of each label's rows).
 
-    The share of a label's rows that is kept is fixed from its count, so that choosing
-    needs no sort and a hash range decides row by row.  A label column with more than
-    MOST_VALUES values, as a dirty one has, gives its most frequent ones.
+    The share of a label's ids that is kept is fixed from their approximate number, so
+    that choosing needs no sort and a hash range decides row by row; `one_each` then cuts
+    exactly.  A label column with more than MOST_VALUES values, as a dirty one has, gives
+    its most frequent ones.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_VALUES).collect()}
+    found = rows.groupBy(label).agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    found = {r[0]: r for r in found.orderBy(F.desc("n"), label).limit(MOST_VALUES).collect()}
     limit = lambda k: most if isinstance(most, int) else most.get(k, 0)
     share = F.lit(0)
-    for value, count in sorted(counts.items(), key=lambda x: str(x[0])):
-        share = F.when(F.col(label) == value, F.lit(min(_STEPS, int(_STEPS * limit(value) / count)))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_STEPS))
-    return rows.filter(draw < share), counts
+    for value, row in sorted(found.items(), key=lambda x: str(x[0])):
+        share = F.when(F.col(label) == value, F.lit(min(_STEPS, int(_STEPS * SPARE * limit(value) / max(row.ids, 1))))).otherwise(share)
+    return rows.filter(_draw(seed) < share), {k: r.n for k, r in found.items()}
+
+
+def _draw(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_STEPS))
+
+
+def one_each(rows: DataFrame, label: str, most: dict | int, seed: int) -> DataFrame:
+    """(doc_id, text, label) of at most `most` ids of each label, by hash, one row an id: of repeated ids the least text counts."""
+    one = rows.groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(_draw(seed), "doc_id"))
+    limit = F.lit(most) if isinstance(most, int) else F.lit(0)
+    for value, n in most.items() if isinstance(most, dict) else ():
+        limit = F.when(F.col(label) == value, F.lit(max(1, round(n)))).otherwise(limit)
+    return one.withColumn("_place", place).filter(F.col("_place") <= limit).select("doc_id", "text", label)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict | int, seed: int = 11) -> tuple[DataFrame, dict]:
-    """(doc_id, text, label rows; counts): about `most` training documents of each label value.
+    """(doc_id, text, label rows; counts): at most `most` training documents of each label value, one row a document.
 
     Only labels whose crc32 remainder by 5 is not 0 take part; null labels and doc_ids
-    don't; of repeated labels of one document the greatest counts.  The chosen ids are
-    bounded by `most`, so they are broadcast to the scan of the documents.
+    don't; of repeated labels of one document the greatest counts, of its repeated rows
+    the least text.  The chosen ids are bounded by `most`, so they are broadcast to the
+    scan of the documents.
     """
     train = labels.filter(F.col(label).isNotNull() & (remainder(5) != 0))
     train = train.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     ids, counts = chosen(train, "label", most, seed)
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), counts
+    met = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return one_each(met, "label", most, seed), counts

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.labelled import chosen, remainder
+from claimwright.llm.labelled import chosen, one_each, remainder
 from claimwright.llm.textbytes import LOWER_BYTE, mix, slices, text_buffer
 
 #: Training texts of each language, about, and landmarks of each.
@@ -72,12 +72,14 @@ def _normal(bits: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame) -> dict:
-    """The model from about MOST_LABELLED training texts of each language, drawn by hash of doc_id.
+    """The model from at most MOST_LABELLED training texts of each language, drawn by hash of doc_id, one row an id.
 
-    Training rows have a non-null lang and a crc32 remainder by 3 other than 1.
+    Training rows have a non-null lang and a crc32 remainder by 3 other than 1.  Without
+    any, every text is `und` with score 0.
     """
     train = documents.filter(F.col("lang").isNotNull() & (remainder(3) != 1))
-    sample, _ = chosen(train.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), "lang", MOST_LABELLED, 5)
+    drawn, _ = chosen(train.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), "lang", MOST_LABELLED, 5)
+    sample = one_each(drawn, "lang", MOST_LABELLED, 5)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +140,7 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
                     share = np.exp(4.0 * (value - value.max(axis=1, keepdims=True)).astype(np.float64))
                     best = value.argmax(axis=1)
                     share = share[np.arange(len(best)), best] / share.sum(axis=1)
-                    on = known[first:last] & (len(model["matrix"]) > 0)
+                    on = known[first:last] & bool(model["matrix"].any())
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(first, last - first), pa.array(np.where(on, names[best], "und"), pa.string()), pa.array(np.where(on, share, 0.0))],
                         names=["doc_id", "lang_pred", "score"],

@@ -81,14 +81,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> dict:
-    """The model from about MOST_LABELLED training documents, drawn by hash of doc_id.
+    """The model from at most MOST_LABELLED training documents, drawn by hash of doc_id, one row an id.
 
     labels: doc_id, quality (0 or 1; nulls and the held-out fifth are left out).  Without
     labels every score is one half.
     """
     _, counts = labelled_sample(documents, labels, "quality", 0)
     total = sum(counts.values())
-    most = {k: MOST_LABELLED * v / total for k, v in counts.items()} if total else {}
+    most = {k: MOST_LABELLED * v // total for k, v in counts.items()} if total else {}
     sample, counts = labelled_sample(documents, labels, "quality", most)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,11 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimwright.llm import langid, quality, toxicity
+from claimwright.llm import labelled, langid, quality, toxicity
 from claimwright.llm.labelled import remainder
 from claimwright.llm.textbytes import Words, shingles
 
@@ -129,3 +130,55 @@ def test_toxic_word_in_a_fixed_phrase_is_learned_and_copies_count_once(spark):
     known = toxicity.learn_features(spark.createDataFrame(rows, "doc_id long, text string, label int")).tolist()
     word = lambda w: int(toxicity.Words(*toxicity.text_buffer(toxicity.pa.array([w]))).hash[0])
     assert word("grobian") in known and word("onlycopied") not in known
+
+
+def test_samples_are_bounded_by_rows(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "CASE WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang")
+    rows = rows.union(rows.filter("doc_id IN (1, 2)").crossJoin(spark.range(25_000)).select("doc_id", F.concat("text", F.lit(" again")).alias("text"), "lang"))
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS INT) AS toxic", "CAST(id % 2 AS INT) AS quality")
+    sample, counts = labelled.labelled_sample(rows, labels, "toxic", {1: 100, 0: 300})
+    found = [(r.doc_id, r.label, r.text) for r in sample.collect()]
+    assert [sum(x[1] == k for x in found) for k in (1, 0)] == [100, 300] and len({x[0] for x in found}) == 400 and sum(counts.values()) > 2000
+    assert all(text == f"text {i}" for i, _, text in found)
+    assert len(quality.fit(rows, labels)["vectors"]) <= quality.MOST_LABELLED
+    drawn, _ = labelled.chosen(rows, "lang", 50, 5)
+    assert [r["count"] for r in labelled.one_each(drawn, "lang", 50, 5).groupBy("lang").count().collect()] == [50, 50]
+
+
+def test_nothing_to_learn_a_language_from(spark):
+    table = edge_table(spark)
+    for frame in (table.withColumn("lang", F.lit(None).cast("string")), table.limit(0)):
+        assert {(r.lang_pred, r.score) for r in langid.predict(table, langid.fit(frame)).collect()} == {("und", 0.0)}
+
+
+def test_the_chain_s_slopes_against_differences():
+    rng = np.random.default_rng(4)
+    places, lengths = rng.integers(0, 7, (12, 6, 3)), rng.integers(1, 7, 12)
+    toxic = np.where(np.arange(6) < lengths[:, None], rng.integers(0, 2, (12, 6)), -1)
+    weights, bias, moves = rng.normal(size=7), 0.3, rng.normal(size=(2, 2))
+    loss, by_weights, by_bias, by_moves = toxicity.likelihood(weights, bias, moves, places, toxic)
+    brute = 0.0
+    for window, states in zip(places, toxic, strict=True):
+        states = states[states >= 0]
+        value = lambda s: sum((bias + weights[window[t]].sum()) * s[t] for t in range(len(s))) + sum(moves[s[t - 1], s[t]] for t in range(1, len(s)))  # noqa: B023, E731
+        brute += np.log(sum(np.exp(value(s)) for s in itertools.product((0, 1), repeat=len(states)))) - value(states)
+    assert loss == pytest.approx(brute / 12)
+    step, at = 1e-6, lambda w, b, m: toxicity.likelihood(w, b, m, places, toxic)[0]
+    for k in range(7):
+        move = np.eye(7)[k] * step
+        assert by_weights[k] == pytest.approx((at(weights + move, bias, moves) - at(weights - move, bias, moves)) / (2 * step), abs=1e-6)
+    assert by_bias == pytest.approx((at(weights, bias + step, moves) - at(weights, bias - step, moves)) / (2 * step), abs=1e-6)
+    for k in range(4):
+        move = np.eye(4)[k].reshape(2, 2) * step
+        assert by_moves.reshape(-1)[k] == pytest.approx((at(weights, bias, moves + move) - at(weights, bias, moves - move)) / (2 * step), abs=1e-6)
+
+
+def test_short_toxic_texts_get_spans(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*rng.sample(words, 5), rng.choice(["idiot", "moron", "scum"])] if k % 3 == 0 else rng.sample(words, 6))) for k in range(1500)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(1500)], "doc_id long, toxic int")
+    scored = toxicity.score(documents, toxicity.fit(documents, labels)).cache()
+    assert scored.filter("doc_id % 3 = 0 AND size(spans) = 1 AND score >= 0.5").count() == 500
+    assert scored.filter("doc_id % 3 <> 0 AND (size(spans) > 0 OR score >= 0.5)").count() == 0

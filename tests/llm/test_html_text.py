@@ -70,12 +70,12 @@ def test_cut_off_and_odd_pages():
 ])
 def test_hostile_markup_takes_linear_time(make):
     seconds = []
-    for size in (1_000_000, 10_000_000):
+    for size in (300_000, 3_000_000):
         page = make(size // len(make(1)) + 1)[:size]
         began = time.perf_counter()
         html_text.lines_of(page)
         seconds.append(time.perf_counter() - began)
-    assert seconds[1] < max(25 * seconds[0], 1) and seconds[1] < 30
+    assert seconds[1] < max(25 * seconds[0], 1) and seconds[1] < 20
 
 
 def test_quotes_and_open_ends():

@@ -74,16 +74,20 @@ def weak_list(weak: DataFrame, entities: DataFrame, documents: DataFrame, limit:
     return met.withColumn("object_name", F.coalesce("object_name", "object_text")).orderBy(F.desc("confidence"), "predicate", "subject_id").limit(limit)
 
 
+def with_documents(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Claims or mentions with doc_slug, the slug of their document; rows of no known document are left out."""
+    return rows.join(documents.select(F.col("id").alias("document_id"), F.col("slug").alias("doc_slug")), "document_id")
+
+
 def entity_detail(entity_table: str, entity_id: int, entities: DataFrame, aliases: DataFrame, claims: DataFrame, relations: DataFrame, mentions: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     """Everything about one entity: itself, aliases, claims with their documents, relations and mentions."""
     mine = lambda df: df.filter((F.col("entity_table") == entity_table) & (F.col("entity_id") == entity_id))
-    slugs = documents.select(F.col("id").alias("document_id"), "slug")
     return {
         "entity": mine(entities),
         "aliases": mine(aliases).orderBy("alias"),
-        "claims": mine(claims).join(slugs, "document_id").orderBy("column_name", F.desc("confidence"), "document_id"),
+        "claims": with_documents(mine(claims), documents).orderBy("column_name", F.desc("confidence"), "document_id"),
         "relations": mine(relations).orderBy("relation", "direction", "other_name"),
-        "mentions": mine(mentions).join(slugs, "document_id").orderBy("document_id"),
+        "mentions": with_documents(mine(mentions), documents).orderBy("document_id"),
     }
 
 

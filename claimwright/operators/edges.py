@@ -67,7 +67,7 @@ def variant_losers(edges: list[tuple[int, int, int, float]]) -> dict[int, int]:
     """index -> the index that beat it, among one document's (index, parent, variant, confidence).
 
     A node that is both a parent and a variant keeps the side with the greater sum of
-    confidences, the parent side if equal.  Nodes go in order of id, and an edge dropped
+    confidences to nine places, the parent side if equal.  Nodes go in order of id, and an edge dropped
     for one node counts no more for the next.
     """
     touching: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
@@ -78,7 +78,7 @@ def variant_losers(edges: list[tuple[int, int, int, float]]) -> dict[int, int]:
     for _, both in sorted((node, both) for node, both in touching.items() if all(both)):
         as_parent, as_variant = ([e for e in side if e[0] not in beaten] for side in both)
         if as_parent and as_variant:
-            stays_parent = sum(e[3] for e in as_parent) >= sum(e[3] for e in as_variant)
+            stays_parent = round(sum(e[3] for e in as_parent), 9) >= round(sum(e[3] for e in as_variant), 9)
             winners, losers = (as_parent, as_variant) if stays_parent else (as_variant, as_parent)
             best = min(winners, key=lambda e: (-e[3], e[0]))[0]
             beaten.update((e[0], best) for e in losers)

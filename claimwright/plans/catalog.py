@@ -191,6 +191,11 @@ def next_version(applied: DataFrame, version: str = "version") -> DataFrame:
     return applied.agg((F.coalesce(F.max(version), F.lit(0)) + 1).cast("bigint").alias("version"))
 
 
+def present_types(spark: SparkSession, registry: Registry) -> list[str]:
+    """The entity types whose table and claims table are both there, as a store that wasn't migrated may lack some."""
+    return [name for name in registry.entities if spark.catalog.tableExists(name) and spark.catalog.tableExists(f"{name}_claims")]
+
+
 def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(table, column, change) of two catalogs of rows (table, column, type): added, removed, retyped or kept."""
     sides = before.withColumnRenamed("type", "was").join(after.withColumnRenamed("type", "now"), ["table", "column"], "full")

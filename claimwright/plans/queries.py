@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimwright.functions.confidence import mean_confidence
 from claimwright.functions.names import strip_name
+from claimwright.functions import tables
 from claimwright.functions.text import chunk_documents, parse_payload, terms
 from claimwright.operators import audit, claims, edges, entities, evaluation, grounding, routing, search
 from claimwright.operators.textindex import TextIndex
@@ -297,7 +299,15 @@ def indoc_winner_loser(t):
     return edges.in_document_winners(rows, ["document_id", "key"]).select("document_id", "idx", "confidence", "winner_idx", "role")
 
 
-@_query()
+@_query("""WITH RECURSIVE r AS (SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, l_partkey % 5 AS p, l_suppkey % 5 AS v, 1 - l_discount AS c FROM lineitem),
+g AS (SELECT d, list({'i': i, 'p': p, 'v': v, 'c': c, 'b': CAST(NULL AS BIGINT)} ORDER BY i) AS e FROM r WHERE p <> v GROUP BY d),
+s AS (SELECT d, -1 AS node, e FROM g UNION ALL
+SELECT d, node, CASE WHEN len(a) = 0 OR len(b) = 0 THEN e WHEN stays THEN list_transform(e, lambda x: CASE WHEN x.v = node AND x.b IS NULL THEN {'i': x.i, 'p': x.p, 'v': x.v, 'c': x.c, 'b': best_a} ELSE x END)
+  ELSE list_transform(e, lambda x: CASE WHEN x.p = node AND x.b IS NULL THEN {'i': x.i, 'p': x.p, 'v': x.v, 'c': x.c, 'b': best_b} ELSE x END) END
+FROM (SELECT *, round(list_sum(list_transform(a, lambda x: x.c)), 9) >= round(list_sum(list_transform(b, lambda x: x.c)), 9) AS stays,
+    list_filter(a, lambda x: x.c = list_max(list_transform(a, lambda y: y.c)))[1].i AS best_a, list_filter(b, lambda x: x.c = list_max(list_transform(b, lambda y: y.c)))[1].i AS best_b
+  FROM (SELECT d, node + 1 AS node, e, list_filter(e, lambda x: x.p = node + 1 AND x.b IS NULL) AS a, list_filter(e, lambda x: x.v = node + 1 AND x.b IS NULL) AS b FROM s WHERE node < 4)))
+SELECT d AS document_id, x.i AS idx, x.b IS NULL AS kept, x.b AS winner_idx FROM (SELECT d, unnest(e) AS x FROM s WHERE node = 4)""")
 def variant_direction(t):
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = t("lineitem").select(
@@ -509,11 +519,36 @@ def grounding_contains(t):
     return found.select(F.col("document_id").alias("doc_id"), F.col("name_id").alias("item_id"))
 
 
-@_query()
+_CHUNK_SQL = """p AS (SELECT doc_id, t, CASE WHEN length(t) <= {0} THEN [t] ELSE list_filter(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: regexp_matches(x, '\\S')) END AS p FROM d),
+q AS (SELECT doc_id, CASE WHEN length(t) <= {0} THEN [[t]] ELSE list_transform(flatten(list_transform(CASE WHEN len(p) = 0 THEN [t] ELSE p END, lambda x: list_transform(range(0, length(x), {0}), lambda i: substr(x, i + 1, {0})))), lambda x: [x]) END AS q FROM p),
+c AS (SELECT doc_id, list_reduce(q, lambda a, x: CASE WHEN length(a[-1]) + length(x[1]) + 2 <= {0} THEN list_append(a[:-2], a[-1] || chr(10) || chr(10) || x[1]) ELSE list_concat(a, x) END) AS c FROM q)
+SELECT doc_id, CAST(i - 1 AS INT) AS chunk_no, CAST(length(c[i]) AS BIGINT) AS chars, sha256(c[i]) AS chunk_sha256 FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM c)"""
+
+
+@_query("WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), " + _CHUNK_SQL.format(2000))
 def chunk_texts(t):
     return chunk_documents(t("documents"), limit=2000).select("doc_id", "chunk_no", F.length("chunk").cast("bigint").alias("chars"), F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
+@_query("WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(10)), ', ', ',' || chr(10) || ' ' || chr(10)) AS t FROM documents), " + _CHUNK_SQL.format(300))
+def chunk_paragraphs(t):
+    """Texts of many paragraphs, some of white space only, through the table function beside their row."""
+    return _paragraphed(t).sparkSession.sql("SELECT doc_id, chunk_no, CAST(length(chunk) AS BIGINT) AS chars, sha2(chunk, 256) AS chunk_sha256 FROM paragraphed, LATERAL chunk_text(text, 300)")
+
+
+@_query(ORACLES["chunk_paragraphs"])
+def chunk_paragraphs_table(t):
+    """The same through the Arrow function over the whole table."""
+    return _paragraphed(t).sparkSession.sql("SELECT id AS doc_id, chunk_no, CAST(length(chunk) AS BIGINT) AS chars, sha2(chunk, 256) AS chunk_sha256 FROM chunk_table(TABLE(SELECT doc_id, text, 300 AS size FROM paragraphed))")
+
+
+def _paragraphed(t: Callable[[str], DataFrame]) -> DataFrame:
+    d = t("documents")
+    tables.register(d.sparkSession)
+    d.select("doc_id", F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n\n")), F.lit(", "), F.lit(",\n \n")).alias("text")).createOrReplaceTempView("paragraphed")
+    return d
+
+
 @_query("""SELECT event_id, event_type AS proposed_type, 'user ' || user_id AS canonical_name, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_id % 4 <> 3""")
 def payload_parse(t):
     """Payloads as a model returns them: fenced, bare lists, with items that lack a field."""
@@ -525,10 +560,12 @@ def payload_parse(t):
     return parsed.select("event_id", "e.proposed_type", "e.canonical_name", F.element_at("e.attributes", "k").alias("k"))
 
 
-@_query("""SELECT user_id, event_type, round(exp(avg(-value / 100)), 6) AS confidence, count(*) AS tokens FROM events GROUP BY ALL""")
+@_query("""SELECT user_id, event_type, round(coalesce(exp(avg(-value / 100) FILTER (event_id % 11 = 0)), 0.1), 6) AS confidence, count(*) FILTER (event_id % 11 = 0) AS tokens FROM events GROUP BY ALL""")
 def confidence_exp_mean(t):
-    grouped = t("events").groupBy("user_id", "event_type").agg(F.avg(-F.col("value") / 100).alias("lp"), F.count("*").alias("tokens"))
-    return grouped.select("user_id", "event_type", F.round(F.exp("lp"), 6).alias("confidence"), "tokens")
+    """Some groups have no tokens at all, and the fallback."""
+    logprobs = F.collect_list(F.when(F.col("event_id") % 11 == 0, -F.col("value") / 100))
+    grouped = t("events").groupBy("user_id", "event_type").agg(logprobs.alias("logprobs"))
+    return grouped.select("user_id", "event_type", F.round(mean_confidence(F.col("logprobs")), 6).alias("confidence"), F.size("logprobs").cast("bigint").alias("tokens"))
 
 
 # Routing ----------------------------------------------------------------------------
@@ -537,11 +574,11 @@ _JUNCTION_OF = ("employment", "manufacturing", "org_hierarchy", "product_variant
 _TYPE_OF = ("person", "organization", "product", "contract")
 
 
-def _relations(t: Callable[[str], DataFrame]) -> DataFrame:
+def _relations(t: Callable[[str], DataFrame], *kept: str) -> DataFrame:
     li = t("lineitem")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
     return li.select(
-        F.col("l_orderkey").alias("document_id"), pick(_JUNCTION_OF, F.col("l_partkey")).alias("junction"), pick(_TYPE_OF, F.col("l_suppkey")).alias("from_type"),
+        *kept, F.col("l_orderkey").alias("document_id"), pick(_JUNCTION_OF, F.col("l_partkey")).alias("junction"), pick(_TYPE_OF, F.col("l_suppkey")).alias("from_type"),
         F.when(F.col("l_suppkey") % 11 != 0, F.col("l_suppkey")).alias("from_id"), pick(_TYPE_OF, F.col("l_orderkey")).alias("to_type"),
         F.when(F.col("l_orderkey") % 13 != 0, F.col("l_orderkey") % 50).alias("to_id"), F.when(F.col("l_orderkey") % 5 != 0, F.lit("ISO")).alias("to_text"),
         (1 - F.col("l_discount") * 9).alias("confidence"), F.when(F.col("l_linenumber") == 7, "cardinality_violation").alias("how"),
@@ -562,6 +599,14 @@ def route_relations(t):
     return routing.outcomes(routing.route_relations(_relations(t)))
 
 
+@_query(f"""WITH {_RELATIONS_SQL.replace(" FROM lineitem)", ", l_orderkey AS document_id, l_linenumber FROM lineitem)", 1)} SELECT document_id, l_linenumber AS line, junction, ft AS from_type, fi AS from_id, reason,
+CASE WHEN reason = 'ok' THEN 'edge' WHEN reason = 'unresolved_endpoint' OR (reason = 'endpoint_type_mismatch' AND junction = 'compliance') THEN 'dropped' WHEN reason = 'cardinality_violation' THEN 'staging' ELSE 'weak' END AS route FROM y""")
+def relations_routed(t):
+    """Each relation with where it goes and why."""
+    found = routing.route_relations(_relations(t, "l_linenumber"))
+    return found.select("document_id", F.col("l_linenumber").alias("line"), "junction", "from_type", "from_id", F.coalesce("reason", F.lit("ok")).alias("reason"), "route")
+
+
 @_query("""WITH a AS (SELECT CASE user_id % 3 WHEN 0 THEN 'organization' WHEN 1 THEN 'product' ELSE 'startup' END AS pt, CASE event_type WHEN 'click' THEN 'org_type' WHEN 'view' THEN 'category' ELSE 'canonical_name' END AS cn,
 CASE WHEN event_id % 7 = 0 THEN '' ELSE 'v' END AS v, value / 100 AS conf FROM events),
 r AS (SELECT *, CASE WHEN v = '' THEN 'empty_value' WHEN pt = 'startup' THEN 'non_starter_type' WHEN (pt = 'organization' AND cn = 'category') OR (pt = 'product' AND cn = 'org_type') THEN 'unknown_column' WHEN conf < 0.3 THEN 'low_confidence' ELSE 'ok' END AS reason FROM a)
@@ -734,12 +779,12 @@ def interval_overlap(t):
     return rows.filter("started_at <= '1998-06-30' AND (ended_at IS NULL OR ended_at >= '1998-06-01')")
 
 
-@_query("""WITH a AS (SELECT substr(column_name, 3) AS c FROM information_schema.columns WHERE table_name = 'customer'), b AS (SELECT substr(column_name, 3) AS c FROM information_schema.columns WHERE table_name = 'supplier')
-SELECT 'party' AS "table", coalesce(a.c, b.c) AS "column", CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' ELSE 'kept' END AS change FROM a FULL JOIN b ON a.c = b.c""")
+@_query("""WITH c AS (SELECT DISTINCT 'user' AS "table", event_type || '_' || json_extract_string(props, '$.k') AS "column", event_id % 2 = 0 AS new FROM events)
+SELECT "table", "column", CASE WHEN bool_and(new) THEN 'added' WHEN bool_or(new) THEN 'kept' ELSE 'removed' END AS change FROM c GROUP BY ALL""")
 def catalog_diff(t):
-    """Customers' columns turned to suppliers', prefixes left off: what a migration would add, remove and keep."""
-    spark = t("region").sparkSession
-    sides = [spark.createDataFrame([("party", c[2:], kind) for c, kind in t(name).dtypes], "`table` string, `column` string, type string") for name in ("customer", "supplier")]
+    """Columns that claims of an older and of a newer log are about: what a migration would add, remove and keep."""
+    said = t("events").select(F.lit("user").alias("table"), F.concat("event_type", F.lit("_"), F.get_json_object("props", "$.k")).alias("column"), F.lit("string").alias("type"), "event_id")
+    sides = [said.filter(F.col("event_id") % 2 == k).drop("event_id").distinct() for k in (1, 0)]
     return catalog.column_changes(*sides)
 
 

@@ -39,9 +39,18 @@ def _text(path: str, file: str) -> str:
         return stream.read().decode("utf-8", "replace")
 
 
+#: Files that one task reads.
+FILES_PER_TASK = 32
+
+
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    paths: list[str]
+
+
+def _dealt(path: str, endings: tuple[str, ...]) -> list[InputPartition]:
+    found = _listed(path, endings)
+    return [_Files(found[k : k + FILES_PER_TASK]) for k in range(0, max(len(found), 1), FILES_PER_TASK)]
 
 
 class GoldSource(DataSource):
@@ -68,11 +77,12 @@ class _GoldReader(DataSourceReader):
         self.needed = tuple(x.strip() for x in options.get("needed", "id").split(",") if x.strip())
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in _listed(self.path, (".yaml", ".yml"))] or [_File("")]
+        return _dealt(self.path, (".yaml", ".yml"))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for k, item in enumerate(yaml_items(_text(self.path, partition.path), self.needed, self.key) if partition.path else ()):
-            yield partition.path, k, str(item.get("id")), json.dumps(item, ensure_ascii=False, default=str)
+        for path in partition.paths:
+            for k, item in enumerate(yaml_items(_text(self.path, path), self.needed, self.key)):
+                yield path, k, str(item.get("id")), json.dumps(item, ensure_ascii=False, default=str)
 
 
 #: What a report states: its file, run, aggregate and cases, and why it can't be read.
@@ -105,20 +115,22 @@ class _ReportReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in _listed(self.path, (".json",))] or [_File("")]
+        return _dealt(self.path, (".json",))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        name = partition.path.rpartition("/")[2]
+        for path in partition.paths:
+            yield self._row(path)
+
+    def _row(self, path: str) -> tuple:
+        name = path.rpartition("/")[2]
         try:
-            data = json.loads(_text(self.path, partition.path))
+            data = json.loads(_text(self.path, path))
             meta, result = data.get("meta") or {}, data.get("result") or {}
             stage, cases = meta.get("stage") or "unknown", result.get("per_case") or []
             numbers = {k: float(v) for k, v in (result.get("aggregate") or {}).items() if isinstance(v, int | float)}
-            yield name, stage, *(meta.get(k) for k in ("timestamp_utc", "model", "tag", "git_rev")), numbers, len(cases), _failed(stage, cases), None
+            return name, stage, *(meta.get(k) for k in ("timestamp_utc", "model", "tag", "git_rev")), numbers, len(cases), _failed(stage, cases), None
         except (ValueError, AttributeError, TypeError) as error:
-            yield name, *[None] * 8, str(error)
+            return name, *[None] * 8, str(error)
 
 
 def _failed(stage: str, cases: list[dict]) -> bool:

@@ -39,6 +39,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 PIVOTS = 8
 #: Cells of a matrix of members and shingles in memory at once.
 CELLS = 1 << 22
+#: Entries of partners that are looked at together.
+ENTRIES = 1 << 17
 #: Rounding that a bound allows for.
 ROUNDING = 1e-4
 
@@ -192,16 +194,16 @@ def groups_of(sets: list[np.ndarray], weights: list[np.ndarray | None], similari
     looked at member by member, all partners of a member at once.
     """
     n, size = len(sets), np.array([len(x) for x in sets])
-    element, own = np.concatenate(sets), np.repeat(np.arange(n), size)
+    element, own = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), size)
     order = np.argsort(element, kind="stable")
     element, own = element[order], own[order]
-    column = np.cumsum(np.concatenate([[False], element[1:] != element[:-1]]))
+    column = np.cumsum(np.concatenate([[False], element[1:] != element[:-1]]), dtype=np.int32)
     several = np.bincount(column) > 1
     on = several[column]
-    column, own = (np.cumsum(several) - 1)[column[on]], own[on]
+    column, own, order = (np.cumsum(several, dtype=np.int32) - 1)[column[on]], own[on], order[on]
     heavy = np.array([w is not None for w in weights])
     if heavy.any():
-        share = np.concatenate([np.full(len(x), 1.0 / len(x)) if w is None else w / w.sum() for x, w in zip(sets, weights, strict=True)])[order][on]
+        share = np.concatenate([np.full(len(x), 1.0 / len(x)) if w is None else w / w.sum() for x, w in zip(sets, weights, strict=True)])[order]
     common, mass = np.zeros((n, n)), np.zeros((n, n))
     wide = max(64, CELLS // n)
     for first in range(0, int(several.sum()), wide):
@@ -219,8 +221,9 @@ def groups_of(sets: list[np.ndarray], weights: list[np.ndarray | None], similari
     if heavy.any():
         bound = np.minimum(mass, mass.T)
         open_ = (bound >= similarity - ROUNDING) & (label[:, None] != label[None, :]) & (heavy[:, None] | heavy[None, :])
-        by_member = np.argsort(own, kind="stable")
-        label = _joined(open_, label, np.searchsorted(own[by_member], np.arange(n + 1)), column[by_member], share[by_member], similarity)
+        if open_.any():
+            by_member = np.argsort(order)
+            label = _joined(open_, label, np.searchsorted(own[by_member], np.arange(n + 1)), column[by_member], share[by_member], similarity)
     return label
 
 
@@ -239,33 +242,40 @@ def _joined(open_: np.ndarray, label: np.ndarray, ends: np.ndarray, column: np.n
             continue
         own = column[ends[i] : ends[i + 1]]
         mine[own] = share[ends[i] : ends[i + 1]]
-        counts = ends[partners + 1] - ends[partners]
-        at = np.repeat(ends[partners] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        which, x, y = np.repeat(np.arange(len(partners)), counts), mine[column[at]], share[at]
+        sums = np.cumsum(ends[partners + 1] - ends[partners])
+        for some in np.split(partners, np.flatnonzero(np.diff(sums // ENTRIES)) + 1):
+            linked = some[_alike(mine, some, ends, column, share, similarity)]
+            if len(linked):
+                met = np.unique(np.append(label[linked], label[i]))
+                label[np.isin(label, met)] = met[0]
         mine[own] = 0
-        both = x > 0
-        which, x, y = which[both], x[both], y[both]
-        least = np.bincount(which, np.minimum(x, y), len(partners))
-        linked = least / (2 - least) >= similarity
-        unsure = ~linked & (least >= similarity - 1e-12)
-        if unsure.any():
-            on = unsure[which]
-            which, x, y = which[on], x[on], y[on]
-            order = np.lexsort((x / y, which))
-            which, x, y = which[order], x[order], y[order]
-            heads = np.searchsorted(which, np.arange(len(partners) + 1))
-            sums_x, sums_y = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, y))
-            # of the shares of i what comes behind in order or isn't shared, of the partner's what comes up to here or isn't shared
-            x_beyond = 1 - (sums_x[1:] - sums_x[heads[which]])
-            y_up_to = 1 - (sums_y[heads[which + 1]] - sums_y[1:])
-            score = np.bincount(which, 1 / (x_beyond / x + y_up_to / y), len(partners))
-            linked |= unsure & (score >= similarity - 1e-12)
-        if linked.any():
-            met = np.unique(np.append(label[partners[linked]], label[i]))
-            label[np.isin(label, met)] = met[0]
     return label
 
 
+def _alike(mine: np.ndarray, partners: np.ndarray, ends: np.ndarray, column: np.ndarray, share: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each partner is as similar to the member whose shares `mine` has."""
+    counts = ends[partners + 1] - ends[partners]
+    at = np.repeat(ends[partners] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    which, x, y = np.repeat(np.arange(len(partners)), counts), mine[column[at]], share[at]
+    both = x > 0
+    which, x, y = which[both], x[both], y[both]
+    least = np.bincount(which, np.minimum(x, y), len(partners))
+    linked = least / (2 - least) >= similarity
+    unsure = ~linked & (least >= similarity - 1e-12)
+    if unsure.any():
+        on = unsure[which]
+        which, x, y = which[on], x[on], y[on]
+        order = np.lexsort((x / y, which))
+        which, x, y = which[order], x[order], y[order]
+        heads = np.searchsorted(which, np.arange(len(partners) + 1))
+        sums_x, sums_y = (np.concatenate([[0.0], np.cumsum(v)]) for v in (x, y))
+        # of the member's shares what comes behind in order or isn't shared, of the partner's what comes up to here or isn't shared
+        x_beyond = 1 - (sums_x[1:] - sums_x[heads[which]])
+        y_up_to = 1 - (sums_y[heads[which + 1]] - sums_y[1:])
+        linked |= unsure & (np.bincount(which, 1 / (x_beyond / x + y_up_to / y), len(partners)) >= similarity - 1e-12)
+    return linked
+
+
 def _met(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) among the members (key, i, j, node) of each (key, i, j): each linked member with the least node of its group."""
     shape = ["key", "i", "j"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STEPS = 1 << 30
@@ -43,13 +43,24 @@ def _draw(seed: int) -> Column:
 
 
 def one_each(rows: DataFrame, label: str, most: dict | int, seed: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` ids of each label, by hash, one row an id: of repeated ids the least text counts."""
-    one = rows.groupBy("doc_id", label).agg(F.min("text").alias("text"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(_draw(seed), "doc_id"))
-    limit = F.lit(most) if isinstance(most, int) else F.lit(0)
-    for value, n in most.items() if isinstance(most, dict) else ():
-        limit = F.when(F.col(label) == value, F.lit(max(1, round(n)))).otherwise(limit)
-    return one.withColumn("_place", place).filter(F.col("_place") <= limit).select("doc_id", "text", label)
+    """(doc_id, text, label) of at most `most` ids of each label, by hash, one row an id: of repeated ids the least text counts.
+
+    The drawn ids, which `chosen` has bounded, are cut on the driver and come back to the
+    rows; only texts of repeated ids are dealt.
+    """
+    drawn = rows.groupBy("doc_id", label).agg(F.count("*").alias("n")).withColumn("draw", _draw(seed)).collect()
+    kept: dict = {}
+    for r in sorted(drawn, key=lambda r: (r.draw, r.doc_id)):
+        kept.setdefault(r[1], []).append(r)
+    limit = lambda k: most if isinstance(most, int) else max(1, int(most.get(k, 0)))
+    ids = [(r.doc_id, r[1], r.n > 1) for k, found in kept.items() for r in found[: limit(k)]]
+    kind = rows.schema[label].dataType.simpleString()
+    chosen_ids = F.broadcast(rows.sparkSession.createDataFrame(ids, f"doc_id long, {label} {kind}, _repeated boolean"))
+    met = rows.select("doc_id", "text", label).join(chosen_ids, ["doc_id", label])
+    one = met.filter(~F.col("_repeated")).select("doc_id", "text", label)
+    if not any(r[2] for r in ids):
+        return one
+    return one.union(met.filter("_repeated").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label))
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: dict | int, seed: int = 11) -> tuple[DataFrame, dict]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from claimwright.operators import reports
-from claimwright.plans import gate
+from claimwright.plans import gate, ingest
 from claimwright.plans.queries import _RESOLVE_SQL, _query, _resolved
 from claimwright.plans.span_queries import _REPORTS_SQL
 from claimwright.sources import files, formats
@@ -110,3 +110,45 @@ def gate_subquery_status(t):
     resolved = _resolved(t)
     resolved.createOrReplaceTempView("user_claims")
     return gate.run(resolved.sparkSession, "SELECT column_name, count(DISTINCT value) AS `values`, count(*) AS n FROM user_claims x WHERE EXISTS (SELECT 1 FROM user_claims y WHERE y.status = 'superseded' AND y.entity_id = x.entity_id) GROUP BY column_name")
+
+
+@_query("SELECT p_brand, count(*) AS n, strftime(DATE '1998-01-01', '%Y/%m') AS month FROM part WHERE p_name ILIKE '%RING%' AND p_name NOT ILIKE 'B%' GROUP BY p_brand")
+def gate_sqlite(t):
+    """A question in SQLite's words through the gate, whose LIKE knows no case there."""
+    p = t("part")
+    p.createOrReplaceTempView("part")
+    return gate.run(p.sparkSession, "SELECT p_brand, count(*) AS n, strftime('%Y/%m', '1998-01-01') AS month FROM part WHERE p_name LIKE '%RING%' AND p_name NOT LIKE 'B%' GROUP BY p_brand", sqlite=True)
+
+
+_INGEST_SQL = """d AS (SELECT p_partkey AS k, p_brand AS b, 'the ' || p_name || ' ' || p_partkey AS n, p_type AS y, CASE WHEN p_partkey % 7 = 0 THEN 0.2 ELSE 0.9 END AS c FROM part)
+SELECT 'claim' AS kind, 'organization' AS a, 'canonical_name' AS b, b AS c, k AS document_id FROM d UNION ALL SELECT 'claim', 'organization', 'headquarters', 'town of ' || b, k FROM d WHERE k % 2 = 0
+UNION ALL SELECT 'claim', 'product', 'canonical_name', n, k FROM d WHERE c > 0.3 UNION ALL SELECT 'claim', 'product', 'category', y, k FROM d WHERE c > 0.3
+UNION ALL SELECT 'staging', 'unknown_column', 'organization', 'colour', k FROM d UNION ALL SELECT 'staging', 'low_confidence', 'product', 'canonical_name', k FROM d WHERE c < 0.3 UNION ALL SELECT 'staging', 'low_confidence', 'product', 'category', k FROM d WHERE c < 0.3
+UNION ALL SELECT 'edge', 'manufacturing', NULL, NULL, k FROM d UNION ALL SELECT 'weak', 'praises', 'organization', 'the sea', k FROM d WHERE k % 3 = 0"""
+
+
+@_query(f"WITH {_INGEST_SQL}")
+def ingest_store(t):
+    """Whole extractions of a text a part: claims, staged cells, edges and weak relations that come of them; one name isn't in its text."""
+    p, k = t("part"), F.col("p_partkey")
+    name = F.concat(F.lit("the "), "p_name", F.lit(" "), k.cast("string"))
+    cells = lambda *pairs: F.map_from_entries(F.array(*[F.struct(F.lit(n), v) for n, v in pairs]))
+    entity = lambda kind, title, attributes, sure: F.struct(F.lit(kind).alias("proposed_type"), title.alias("canonical_name"), attributes.alias("attributes"), sure.alias("confidence"))
+    town = F.when(k % 2 == 0, F.concat(F.lit("town of "), "p_brand")).otherwise("")
+    found = F.array(
+        entity("organization", F.col("p_brand"), cells(("headquarters", town), ("colour", F.lit("red"))), F.lit(0.9)), entity("product", name, cells(("category", F.col("p_type"))), F.when(k % 7 == 0, 0.2).otherwise(0.9)),
+        entity("person", F.lit("Nobody Here"), cells(("birth_date", F.lit("1990"))), F.lit(0.9)),
+    )
+    made = F.array(F.struct(F.lit("manufacturing").alias("proposed_junction"), name.alias("from"), F.col("p_brand").alias("to"), F.lit(0.9).alias("confidence")))
+    said = F.when(k % 3 == 0, F.array(F.struct(F.col("p_brand").alias("subject"), F.lit("praises").alias("predicate"), F.lit("the sea").alias("object"), F.lit(0.9).alias("confidence")))).otherwise(F.array())
+    raw = p.select(k.alias("document_id"), F.to_json(F.struct(found.alias("entities"), made.alias("relations"), said.alias("weak_relations"))).alias("raw"))
+    docs = p.select(k.alias("document_id"), F.concat("p_brand", F.lit(" makes "), name, F.lit(".")).alias("body"), k.alias("arrival"))
+    out = ingest.ingest(raw, docs)
+    none = F.lit(None).cast("string")
+    cell = lambda field: F.get_json_object("payload", f"$.{field}")
+    parts = [
+        out["claims"].select(F.lit("claim").alias("kind"), F.col("entity_table").alias("a"), F.col("column_name").alias("b"), F.col("value").alias("c"), "document_id"),
+        out["staging"].select(F.lit("staging"), "reason", cell("proposed_type"), cell("column_name"), "document_id"), out["edges"].select(F.lit("edge"), "junction", none, none, "document_id"),
+        out["weak"].select(F.lit("weak"), "predicate", "subject_table", "object_text", "document_id"),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

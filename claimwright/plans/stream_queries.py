@@ -40,7 +40,7 @@ def stream_once_per_document(t):
 @_query(ORACLES["tumbling_window"])
 def stream_windows(t):
     """Windows as the stream last stated them."""
-    found = _streamed(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "event_id", streaming.window_counts, "update")
+    found = _streamed(t("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", streaming.window_counts, "update")
     last = found.groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
     return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 

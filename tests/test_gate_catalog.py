@@ -88,6 +88,15 @@ def test_bare_columns_of_a_grouping(views, sql, rows):
     assert gate.run(views, sql).count() == rows
 
 
+@pytest.mark.parametrize("sql, rows", [
+    ("SELECT id FROM named WHERE n LIKE 'ann%'", 2), ("SELECT id FROM named WHERE n NOT /* LIKE */ like 'ANN%'", 1), ("SELECT id FROM named WHERE n = 'LIKE' OR n LIKE '%B' -- LIKE\n", 1),
+    ("SELECT id FROM named WHERE id IN (SELECT id FROM named x WHERE x.n LIKE 'b_b')", 1), ("SELECT id FROM named WHERE strftime('%Y', '2024-05-06') = '2024'", 3),
+])
+def test_sqlite_s_like_knows_no_case(views, sql, rows):
+    views.createDataFrame([(1, "Ann"), (2, "ANNA"), (3, "Bob")], "id int, n string").createOrReplaceTempView("named")
+    assert gate.run(views, sql, sqlite=True).count() == rows
+
+
 @pytest.mark.parametrize("sql", ["DROP TABLE person", "INSERT INTO person SELECT 1", "CREATE TABLE x (a INT)", "CREATE VIEW v AS SELECT 1", "DELETE FROM person", "SELECT 1; SELECT 2", "SELEC 1", "", "SHOW TABLES", "SET x = 1", "USE default", "DESCRIBE person", "EXPLAIN SELECT 1", "TRUNCATE TABLE person", "ALTER TABLE person ADD COLUMNS (b INT)", "CACHE TABLE person",
     "SELECT * FROM text.`/etc/passwd`", "SELECT * FROM csv.`/tmp`", "WITH x AS (SELECT * FROM binaryFile.`/etc/passwd`) SELECT * FROM x", "SELECT id FROM person WHERE id IN (SELECT value FROM text.`/etc/passwd`)",
     "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x", "SELECT java_method('java.lang.System', 'getenv', 'HOME') AS x", "SELECT * FROM nowhere", "SELECT 1) UNION (SELECT 2"])

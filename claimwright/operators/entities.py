@@ -87,8 +87,17 @@ def candidates_across(queries: DataFrame, entities: DataFrame, top: int = CANDID
 
 
 def lookup(names: DataFrame, entities: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Each (name_id, name, hint) resolved to one entity of exactly that name: the hinted type first, then `order`."""
+    """Each (name_id, name, hint) resolved to one entity of exactly that name: the hinted type first, then `order`.
+
+    Of the entities of a name and type only the one of the least id can be wanted, so a
+    name that many entities share meets the asked ones as one row.
+    """
     place = F.array_position(F.array(*map(F.lit, order)), F.col("entity_table"))
-    met = names.join(entities.select("entity_table", "entity_id", F.col("canonical_name").alias("name")), "name")
-    rank = F.row_number().over(Window.partitionBy("name_id").orderBy(F.desc(F.col("entity_table") == F.coalesce("hint", F.lit(""))), place, "entity_id"))
-    return met.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    # a struct, as a null id goes first
+    heads = entities.groupBy(F.col("canonical_name").alias("name"), "entity_table").agg(F.min(F.struct("entity_id")).alias("_id"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("entity_table").isNull().alias("untyped"), place.alias("place"), F.col("_id.entity_id").alias("entity_id"), "entity_table"))).alias("_heads")
+    met = names.join(heads.groupBy("name").agg(listed), "name")
+    hinted = F.filter("_heads", lambda x: x["entity_table"] == F.coalesce(F.col("hint"), F.lit("")))
+    met = met.withColumn("_hinted", F.size(hinted) > 0).withColumn("_head", F.when(F.size(hinted) > 0, hinted[0]).otherwise(F.col("_heads")[0])).drop("_heads")
+    rank = F.row_number().over(Window.partitionBy("name_id").orderBy(F.desc("_hinted"), "_head"))
+    return met.withColumn("_rank", rank).filter("_rank = 1").select("name", *[c for c in names.columns if c != "name"], "_head.entity_table", "_head.entity_id")

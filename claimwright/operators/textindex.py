@@ -12,6 +12,11 @@ and left out when searching, and `merge` writes one segment of all.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +29,13 @@ BLOCK_BITS = 12
 BUCKETS = 16
 #: Blocks of a question that are scored first, to know what its others must exceed.
 SEEDS = 4
+#: Terms that are counted at once; a longer document is a slice of its own.
+TERMS_PER_SLICE = 1 << 21
 #: Only so many characters of a question count.
 QUESTION_CHARS = 200
 
 _POSTINGS = "term string, block long, n long, most int, least_len int, places array<int>, tfs array<int>, lens array<int>, segment int, bucket int"
+_HELD = "term string, block long, places array<int>, tfs array<int>, lens array<int>"
 _DOCUMENTS = "doc_id long, len int, segment int"
 _REMOVED = "doc_id long, segment int"
 _SEGMENTS = "docs long, tokens long, base boolean, segment int"
@@ -37,6 +45,45 @@ def _bucket(term: str | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _parts_of(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches (doc_id, terms) of different ids to parts of postings: the documents of a term and block in order of place; a null term has all documents of the block."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            number = (np.cumsum(sizes) - sizes) // TERMS_PER_SLICE
+            edges = np.r_[0, np.flatnonzero(np.diff(number)) + 1, len(batch)] if len(batch) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield batch.column(0).slice(a, b - a).to_numpy(), sizes[a:b], batch.column(1).slice(a, b - a).flatten()
+
+    def parts(term: pa.Array, starts: np.ndarray, ids: np.ndarray, tfs: np.ndarray, lens: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.r_[starts, len(ids)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for v in (ids & ((1 << bits) - 1), tfs, lens)]
+        return pa.RecordBatch.from_arrays([term, pa.array(ids[starts] >> bits), *lists], names=["term", "block", "places", "tfs", "lens"])
+
+    def heads(*values: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, np.logical_or.reduce([np.diff(v) != 0 for v in values])])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, words in slices(batches):
+            if not len(words):
+                continue
+            order = np.argsort(ids, kind="stable")
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids))
+            ids, lens = ids[order], sizes[order]
+            coded = words.dictionary_encode()
+            found, tfs = np.unique(coded.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(rank, sizes), return_counts=True)
+            code, row = np.divmod(found, len(ids))
+            starts = heads(code, ids[row] >> bits)
+            yield parts(coded.dictionary.take(pa.array(code[starts])), starts, ids[row], tfs, lens[row])
+            ids, lens = ids[lens > 0], lens[lens > 0]
+            starts = heads(ids >> bits)
+            yield parts(pa.nulls(len(starts), pa.string()), starts, ids, lens, lens)
+
+    return work
+
+
 class TextIndex:
     """An index in a folder; one writer at a time, any readers.
 
@@ -55,19 +102,23 @@ class TextIndex:
 
     # Writing ------------------------------------------------------------------------
 
-    def _write(self, counted: DataFrame, segment: int, arrived: DataFrame | None = None) -> TextIndex:
-        """Postings of rows (doc_id, term, tf), their documents, and of the ids that arrived those that they replace; all is new without any."""
+    def _write(self, held: DataFrame, documents: DataFrame, segment: int, arrived: DataFrame | None = None) -> TextIndex:
+        """Postings of rows (term, block, places, tfs, lens), which may be parts of postings, their documents (doc_id, len), and of the ids that arrived those that they replace; all is new without any."""
         here = f"{self.path}/{{}}/segment={segment}"
-        counted = cut(counted)
-        counted.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("len")).write.mode("overwrite").parquet(here.format("documents"))
+        documents.write.mode("overwrite").parquet(here.format("documents"))
         mine = self.spark.read.schema("doc_id long, len int").parquet(here.format("documents"))
-        block = F.shiftright("doc_id", self.bits)
-        rows = counted.join(mine, "doc_id").withColumn("block", block).withColumn("place", F.col("doc_id").bitwiseAND((1 << self.bits) - 1).cast("int"))
-        held = F.array_sort(F.collect_list(F.struct("place", "tf", "len")))
-        postings = rows.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least_len"), held.alias("h"))
-        part = lambda name: F.transform("h", lambda x: x[name])
-        postings = postings.select("term", "block", "n", "most", "least_len", part("place").alias("places"), part("tf").alias("tfs"), part("len").alias("lens"), _bucket("term").alias("bucket"))
-        postings.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(here.format("postings"))
+        at = ["bucket", "term", "block"]
+        # parts of a posting come from one range, so that they are dealt out once
+        parts = held.select(_bucket("term").alias("bucket"), "term", "block", F.struct("places", "tfs", "lens").alias("p")).repartitionByRange(*at)
+        # parts of neighbouring documents follow each other; only those that mix are sorted place by place
+        follow = F.forall(F.sequence(F.lit(1), F.size("h") - 1), lambda i: F.element_at(F.get("h", i - 1)["places"], -1) < F.get(F.get("h", i)["places"], F.lit(0)))
+        mixed = (F.size("h") > 1) & ~F.when(F.size("h") > 1, follow).otherwise(True)
+        rows = F.flatten(F.transform("h", lambda x: F.arrays_zip(x["places"].alias("place"), x["tfs"].alias("tf"), x["lens"].alias("len"))))
+        met = parts.groupBy(*at).agg(F.sort_array(F.collect_list("p")).alias("h")).withColumn("s", F.when(mixed, F.sort_array(rows)))
+        part = lambda name, own: F.when(F.col("s").isNull(), F.flatten(F.transform("h", lambda x: x[own]))).otherwise(F.col("s")[name])
+        postings = met.select(*at, part("place", "places").alias("places"), part("tf", "tfs").alias("tfs"), part("len", "lens").alias("lens"))
+        postings = postings.select("term", "block", F.size("places").cast("long").alias("n"), F.array_max("tfs").alias("most"), F.array_min("lens").alias("least_len"), "places", "tfs", "lens", "bucket")
+        postings.sortWithinPartitions(*at).write.mode("overwrite").partitionBy("bucket").parquet(here.format("postings"))
         size = F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")
         docs, tokens = mine.agg(*size).first()
         if arrived is not None:
@@ -77,23 +128,50 @@ class TextIndex:
         self.spark.createDataFrame([(docs, tokens, arrived is None)], "docs long, tokens long, base boolean").coalesce(1).write.mode("overwrite").parquet(here.format("segments"))
         return self.refresh()
 
-    @staticmethod
-    def _counted(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-        rows = documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.explode(terms(text_column)).alias("term"))
-        return rows.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    def _counted(self, documents: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+        """(parts of postings, documents): terms are counted where the texts are, and a batch's documents of one term and block are one row.
+
+        Rows that share an id, which may be any number, are counted one by one over all
+        batches instead.
+        """
+        rows = documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+        again = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+        some = not again.isEmpty()
+        single = rows.join(again, "doc_id", "left_anti") if some else rows
+        held = cut(single.select("doc_id", terms("text").alias("terms")).mapInArrow(_parts_of(self.bits), _HELD))
+        place = F.explode(F.arrays_zip("places", "lens")).alias("h")
+        listed = held.filter("term IS NULL").select("block", place).select((F.shiftleft("block", self.bits) + F.col("h.places")).alias("doc_id"), F.col("h.lens").alias("len"))
+        held = held.filter("term IS NOT NULL")
+        if some:
+            counted = rows.join(again, "doc_id", "left_semi").select("doc_id", F.explode(terms("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+            counted = cut(counted)
+            sizes = counted.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("len"))
+            held, listed = held.unionByName(self._single(counted.join(sizes, "doc_id"))), listed.union(sizes)
+        return held, listed
+
+    def _single(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, term, tf, len) as postings of one document each."""
+        place = F.col("doc_id").bitwiseAND((1 << self.bits) - 1).cast("int")
+        return rows.select("term", F.shiftright("doc_id", self.bits).alias("block"), F.array(place).alias("places"), F.array("tf").alias("tfs"), F.array("len").alias("lens"))
 
     def build(self, documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> TextIndex:
         """Indexes `documents` anew.  Rows that share an id are one document; rows without an id, and texts without a term, aren't found by any term."""
-        return self._write(self._counted(documents, id_column, text_column), self._next())
+        return self._write(*self._counted(documents, id_column, text_column), self._next())
 
     def add(self, documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> TextIndex:
         """Takes documents in; one whose id is known replaces what was there, by nothing that can be found if its text has no term."""
         arrived = documents.select(F.col(id_column).cast("long").alias("doc_id")).distinct()
-        return self._write(self._counted(documents, id_column, text_column), self._next(), arrived)
+        return self._write(*self._counted(documents, id_column, text_column), self._next(), arrived)
 
     def merge(self) -> TextIndex:
-        """Writes one segment of what counts now; the index answers as before."""
-        return self._write(self._exploded(self.postings()).select("doc_id", "term", "tf"), self._next())
+        """Writes one segment of what counts now; the index answers as before.  Only blocks that lost a document are taken apart."""
+        postings, gone = self.postings(), self._gone()
+        held = postings
+        if gone is not None:
+            touched = gone.select(F.shiftright("doc_id", self.bits).alias("block")).distinct()
+            apart = self._exploded(postings.join(touched, "block", "left_semi"))
+            held = postings.join(touched, "block", "left_anti").select("term", "block", "places", "tfs", "lens").unionByName(self._single(apart))
+        return self._write(held, self.documents().select("doc_id", "len"), self._next())
 
     # Reading ------------------------------------------------------------------------
 
@@ -122,9 +200,10 @@ class TextIndex:
         return self._read("postings", _POSTINGS, [r.segment for r in self._listed()])
 
     def _gone(self) -> DataFrame | None:
-        """(doc_id, gone): the last segment that replaced a document; none where no segment could."""
+        """(doc_id, gone): the last segment that replaced a document; none where no segment did."""
         later = [r.segment for r in self._listed()[1:]]
-        return self._read("removed", _REMOVED, later).groupBy("doc_id").agg(F.max("segment").alias("gone")) if later else None
+        removed = self._read("removed", _REMOVED, later)
+        return removed.groupBy("doc_id").agg(F.max("segment").alias("gone")) if later and not removed.isEmpty() else None
 
     def _living(self, rows: DataFrame) -> DataFrame:
         """Rows (doc_id, segment) that no later segment replaced."""
@@ -174,7 +253,8 @@ class TextIndex:
         blocks = bounds.groupBy("question_id", "block").agg(F.sum("bound").alias("bound"))
 
         def scored(chosen: DataFrame) -> DataFrame:
-            rows = mine.join(weighed, "term").join(chosen.select("question_id", "block"), ["question_id", "block"], "left_semi")
+            # a posting meets the questions that chose its block, not all that ask for its term
+            rows = mine.join(chosen.select("question_id", "block").join(weighed, "question_id"), ["term", "block"])
             return best(self._exploded(rows).groupBy("question_id", "doc_id").agg(F.sum(gain("tf", "len")).alias("score")))
 
         def best(sums: DataFrame) -> DataFrame:

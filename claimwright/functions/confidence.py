@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,7 +77,8 @@ _VALUES = {"entities": ("canonical_name",), "relations": ("from", "to"), "weak_r
 def graph_confidences(content: str, tokens: list[dict], raw: dict | list, graph: dict) -> dict[str, list[float]]:
     """Confidences of each section's items, sections in the order in which the raw JSON has them."""
     data = content.encode()
-    spans = byte_spans(tokens)
+    # tokens lie end to end, so those over a value are neighbours
+    starts, ends = (list(x) for x in zip(*byte_spans(tokens), strict=True)) if tokens else ([], [])
     order = [k for k in raw if k in _VALUES] if isinstance(raw, dict) else ["entities"]
     cursor, out = 0, {}
     for section in [*order, *(k for k in _VALUES if k not in order)]:
@@ -86,7 +88,7 @@ def graph_confidences(content: str, tokens: list[dict], raw: dict | list, graph:
             for key in _VALUES[section]:
                 span, cursor = value_span(data, item.get(key), cursor)
                 if span:
-                    found += [t["logprob"] for t, (a, b) in zip(tokens, spans, strict=True) if b > span[0] and a < span[1]]
+                    found += [t["logprob"] for t in tokens[bisect_right(ends, span[0]) : bisect_left(starts, span[1])]]
             out[section].append(math.exp(sum(found) / len(found)) if found else FALLBACK_CONFIDENCE)
     return out
 

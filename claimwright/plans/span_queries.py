@@ -60,8 +60,8 @@ def graph_confidences(t):
     n = t("supplier").select(F.col("s_nationkey").cast("bigint").alias("document_id"), "s_suppkey", F.concat(F.lit('{"canonical_name": "'), "s_name", F.lit('"}')).alias("item"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "item"))), lambda x: x["item"])
     c = n.groupBy("document_id").agg(F.concat(F.lit('{"entities": ['), F.array_join(listed, ", "), F.lit("]}")).alias("content"))
-    token = lambda k: F.struct(F.substr("content", k * 3 + 1, F.lit(3)).alias("token"), (-(k % 5) / F.lit(10.0)).alias("logprob"), F.lit(None).cast("array<int>").alias("bytes"))
-    tokens = F.transform(F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 3).cast("int")), token)
+    token = lambda x, k: F.struct(x.alias("token"), (-(k % 5) / F.lit(10.0)).alias("logprob"), F.lit(None).cast("array<int>").alias("bytes"))
+    tokens = F.transform(F.regexp_extract_all("content", F.lit("(?s).{1,3}"), F.lit(0)), token)
     return apply_confidences(c.select("document_id", "content", tokens.alias("tokens"))).select("document_id", "section", "item_no", F.round("confidence", 4).alias("near"))
 
 

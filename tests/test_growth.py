@@ -1,10 +1,14 @@
 """Steps whose work must grow no faster than their input."""
 
+import json
+import math
 import time
 
 from pyspark.sql import functions as F
 
+from claimwright.functions import confidence
 from claimwright.operators import entities
+from claimwright.operators.textindex import TextIndex
 
 
 def test_lookup_of_a_name_that_many_share(spark):
@@ -16,3 +20,34 @@ def test_lookup_of_a_name_that_many_share(spark):
     found = entities.lookup(names, known, ("person", "organization")).groupBy("hint", "entity_table", "entity_id").agg(F.count("*").alias("n"))
     assert {tuple(r) for r in found.collect()} == {("organization", "organization", 1, n // 2), (None, "person", 2, n // 2)}
     assert time.perf_counter() - began < 60
+
+
+def test_index_takes_a_row_a_term_and_batch(spark, tmp_path):
+    """Documents in any order over the partitions; repeated ids are one document; a term of all documents is a few rows, not one a document."""
+    d = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("doc_id"), F.concat(F.lit("same same word"), (F.col("id") % 5).cast("string")).alias("text"))
+    d = d.repartition(3).union(spark.createDataFrame([(1, "same other"), (None, "lost"), (9000, "")], "doc_id long, text string"))
+    index = TextIndex(spark, str(tmp_path / "index"), bits=8)
+    held, _ = index._counted(d, "doc_id", "text")
+    assert held.count() < 500  # of 6001 documents and terms
+    index.build(d)
+    rows = [r for r in index.postings().collect() if r.term == "same"]
+    assert all(r.places == sorted(r.places) and r.n == len(r.places) == len(r.tfs) == len(r.lens) for r in rows)
+    got = {(r.block << 8) + p: (tf, size) for r in rows for p, tf, size in zip(r.places, r.tfs, r.lens, strict=True)}
+    assert got == {k: (2, 3) for k in range(3000)} | {1: (3, 5)}
+    assert index.documents().count() == 3000
+    index.add(spark.createDataFrame([(5, "new"), (4000, "same")], "doc_id long, text string")).merge()
+    assert {r.doc_id for r in index._exploded(index.postings().filter("term = 'same'")).collect()} == set(range(3000)) - {5} | {4000}
+
+
+def test_confidences_of_a_long_answer():
+    """All pairs of items and tokens would be 2.4 billion."""
+    names = [f"name {k:06d}" for k in range(40_000)]
+    content = json.dumps({"entities": [{"canonical_name": n} for n in names]})
+    tokens = [{"token": content[k : k + 3], "logprob": -(k // 3 % 5) / 10, "bytes": None} for k in range(0, len(content), 3)]
+    began = time.perf_counter()
+    found = confidence.graph_confidences(content, tokens, json.loads(content), json.loads(content))["entities"]
+    assert time.perf_counter() - began < 30
+    for k in (0, 1, 20_000, 39_999):
+        a = content.index(f'"{names[k]}"') + 1
+        mine = [t["logprob"] for i, t in enumerate(tokens) if 3 * i + len(t["token"]) > a and 3 * i < a + len(names[k])]
+        assert math.isclose(found[k], math.exp(sum(mine) / len(mine)))

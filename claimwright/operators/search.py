@@ -20,6 +20,8 @@ from claimwright.plans.registry import FTS_TOP, HINT_CHARS, HINT_COSINE, HINT_TO
 #: Query rows, and bytes of them, broadcast at once; more are scored block by block.
 QUERIES_PER_BLOCK = 4096
 QUERY_BYTES_PER_BLOCK = 16 << 20
+#: Scores that one product holds at once; a batch of items is taken in slices of so many.
+SCORES_AT_ONCE = 1 << 20
 
 
 def fts(documents: DataFrame, question: str, top: int = FTS_TOP, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -52,6 +54,13 @@ def _unit(vectors: list, wide: int) -> np.ndarray:
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+def _slices(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
+    """A batch of items in slices that make at most about SCORES_AT_ONCE scores with so many queries."""
+    rows = max(64, SCORES_AT_ONCE // max(queries, 1))
+    for start in range(0, len(batch), rows):
+        yield batch.slice(start, rows)
+
+
 def _nearest(row: np.ndarray, place: np.ndarray, top: int) -> np.ndarray:
     """The places of the `top` greatest scores of a row, the first in order among equal ones."""
     if len(row) <= top:
@@ -80,16 +89,38 @@ def cosine_top(queries: DataFrame, items: DataFrame, top: int, query_id: str = "
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vectors, place = batch.column(1).to_pylist(), np.empty(len(batch), np.int64)
+                # each slice's nearest, and of these the batch's
+                parts = [near(part, start) for start, part in placed(batch)]
+                query, at, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int),) * 3
+                if not len(query):
+                    continue
+                place = np.empty(len(batch), np.int64)
                 place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(len(batch))
-                for mine, unit, wide in asked:
-                    scores = unit @ _unit(vectors, wide).T
-                    kept = [_nearest(row, place, top) for row in scores]
-                    if least is not None:
-                        kept = [at[row[at] >= least] for at, row in zip(kept, scores, strict=True)]
-                    query = np.repeat(mine, [len(at) for at in kept])
-                    values = np.concatenate([row[at] for at, row in zip(kept, scores, strict=True)])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(np.concatenate(kept))), pa.array(values)], names=[query_id, item_id, "score"])
+                order = np.lexsort((place[at], -value, query))
+                query, at, value = query[order], at[order], value[order]
+                heads = np.flatnonzero(np.r_[True, np.diff(query) != 0])
+                kept = np.arange(len(query)) - np.repeat(heads, np.diff(np.r_[heads, len(query)])) < top
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[kept])), batch.column(0).take(pa.array(at[kept])), pa.array(value[kept])], names=[query_id, item_id, "score"])
+
+        def placed(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+            start = 0
+            for part in _slices(batch, len(ids)):
+                yield start, part
+                start += len(part)
+
+        def near(part: pa.RecordBatch, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            vectors, place = part.column(1).to_pylist(), np.empty(len(part), np.int64)
+            place[pc.sort_indices(part.column(0)).to_numpy()] = np.arange(len(part))
+            query, at, value = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+            for mine, unit, wide in asked:
+                scores = unit @ _unit(vectors, wide).T
+                kept = [_nearest(row, place, top) for row in scores]
+                if least is not None:
+                    kept = [x[row[x] >= least] for x, row in zip(kept, scores, strict=True)]
+                query.append(np.repeat(mine, [len(x) for x in kept]))
+                at += [x + start for x in kept]
+                value += [row[x] for x, row in zip(kept, scores, strict=True)]
+            return np.concatenate(query), np.concatenate(at), np.concatenate(value)
 
         return items.select(item_id, vector).mapInArrow(score, schema)
 
@@ -113,24 +144,33 @@ def cosine_groups(queries: DataFrame, items: DataFrame, top: int, least: float)
         asked = [(mine, _unit([own[k] for k in mine], wide), wide) for wide in sorted({len(v) for v in own}) for mine in [[k for k, v in enumerate(own) if len(v) == wide]]]
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vectors = batch.column("embedding").to_pylist()
-                group, item = (pc.rank(batch.column(n), tiebreaker="dense").to_numpy() for n in ("group", "item_id"))
-                for mine, unit, wide in asked:
-                    scores = unit @ _unit(vectors, wide).T
-                    query, at = np.nonzero(scores >= least)
-                    value = scores[query, at]
-                    order = np.lexsort((item[at], -value, group[at], query))
-                    query, at, value = query[order], at[order], value[order]
-                    # the best vector of each item, then the first `top` items of each query and group
-                    _, first = np.unique(np.stack([query, group[at], item[at]]), axis=1, return_index=True)
-                    first.sort()
-                    query, at, value = query[first], at[first], value[first]
-                    heads = np.flatnonzero(np.r_[True, (np.diff(query) != 0) | (np.diff(group[at]) != 0)]) if len(at) else np.zeros(0, int)
-                    place = np.arange(len(at)) - np.repeat(heads, np.diff(np.r_[heads, len(at)]))
-                    kept = place < top
-                    which = pa.array(at[kept])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(mine, np.int64)[query[kept]])), batch.column("group").take(which), batch.column("item_id").take(which), pa.array(value[kept])], names=["query_id", "group", "item_id", "score"])
+            for whole in batches:
+                group, item = (pc.rank(whole.column(n), tiebreaker="dense").to_numpy() for n in ("group", "item_id"))
+                parts, start = [], 0
+                for batch in _slices(whole, len(ids)):
+                    vectors = batch.column("embedding").to_pylist()
+                    for mine, unit, wide in asked:
+                        scores = unit @ _unit(vectors, wide).T
+                        query, at = np.nonzero(scores >= least)
+                        parts.append(first(np.array(mine, np.int64)[query], at + start, scores[query, at], group, item))
+                    start += len(batch)
+                if not parts:
+                    continue
+                # each slice's first ones, and of these the batch's
+                query, at, value = first(*(np.concatenate(x) for x in zip(*parts, strict=True)), group, item)
+                which = pa.array(at)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), whole.column("group").take(which), whole.column("item_id").take(which), pa.array(value)], names=["query_id", "group", "item_id", "score"])
+
+        def first(query: np.ndarray, at: np.ndarray, value: np.ndarray, group: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The best vector of each item, then the first `top` items of each query and group."""
+            order = np.lexsort((item[at], -value, group[at], query))
+            query, at, value = query[order], at[order], value[order]
+            _, best = np.unique(np.stack([query, group[at], item[at]]), axis=1, return_index=True)
+            best.sort()
+            query, at, value = query[best], at[best], value[best]
+            heads = np.flatnonzero(np.r_[True, (np.diff(query) != 0) | (np.diff(group[at]) != 0)]) if len(at) else np.zeros(0, int)
+            kept = np.arange(len(at)) - np.repeat(heads, np.diff(np.r_[heads, len(at)])) < top
+            return query[kept], at[kept], value[kept]
 
         return items.select("group", "item_id", "embedding").mapInArrow(score, schema)
 

@@ -4,10 +4,11 @@ import json
 import math
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimwright.functions import confidence
-from claimwright.operators import entities
+from claimwright.operators import entities, search
 from claimwright.operators.textindex import TextIndex
 
 
@@ -51,3 +52,26 @@ def test_confidences_of_a_long_answer():
         a = content.index(f'"{names[k]}"') + 1
         mine = [t["logprob"] for i, t in enumerate(tokens) if 3 * i + len(t["token"]) > a and 3 * i < a + len(names[k])]
         assert math.isclose(found[k], math.exp(sum(mine) / len(mine)))
+
+
+def test_nearest_over_slices_of_a_batch(spark):
+    """A batch of items is scored in slices; the nearest, and the first of equal ones, are those of the whole batch."""
+    batch = pa.record_batch({"v": list(range(10_000))})
+    assert max(len(x) for x in search._slices(batch, 4096)) * 4096 <= search.SCORES_AT_ONCE
+    assert pa.Table.from_batches(search._slices(batch, 4096)).column(0).to_pylist() == list(range(10_000))
+    vectors = [[math.cos(k % 700), math.sin(k % 700)] for k in range(2000)]
+    items = spark.createDataFrame([((k * 7) % 2000, f"g{k % 3}", vectors[k]) for k in range(2000)], "item_id long, group string, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(k, [math.cos(k / 9), math.sin(k / 9)]) for k in range(3000)], "query_id long, embedding array<double>")
+    places = sorted(((k * 7) % 2000, vectors[k], f"g{k % 3}") for k in range(2000))
+    found = {(r.query_id, r["rank"]): r.item_id for r in search.cosine_top(asked, items, 3).collect()}
+    grouped = {}
+    for r in search.cosine_groups(asked, items, 2, 0.5).collect():
+        grouped.setdefault((r.query_id, r.group), set()).add(r.item_id)
+    for q in range(0, 3000, 300):
+        score = lambda v: round(math.cos(q / 9) * v[0] + math.sin(q / 9) * v[1], 9)  # noqa: B023, E731
+        order = sorted(places, key=lambda x: (-score(x[1]), x[0]))
+        assert [score(vectors[found[q, n] * 1143 % 2000]) for n in (1, 2, 3)] == [score(x[1]) for x in order[:3]]
+        for g in ("g0", "g1", "g2"):
+            want = sorted((score(x[1]) for x in places if x[2] == g), reverse=True)[:2]
+            got = sorted((score(vectors[i * 1143 % 2000]) for i in grouped[q, g]), reverse=True)
+            assert got[:2] == want

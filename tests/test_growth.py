@@ -2,8 +2,10 @@
 
 import json
 import math
+import re
 import time
 
+import __spark_entry__
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -75,3 +77,8 @@ def test_nearest_over_slices_of_a_batch(spark):
             want = sorted((score(x[1]) for x in places if x[2] == g), reverse=True)[:2]
             got = sorted((score(vectors[i * 1143 % 2000]) for i in grouped[q, g]), reverse=True)
             assert got[:2] == want
+
+
+def test_sketches_are_not_kept_for_each_value(spark, tiny):
+    plan = __spark_entry__.queries()["approx_distinct"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan and not re.search(r"keys=\[[^\]]*l_partkey[^\]]*\], functions=\[[^\]]*approx_count_distinct", plan)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimwright.functions.names import norm_key
 from claimwright.operators.search import cosine_groups
-from claimwright.operators.similarity import similarity_join
+from claimwright.operators.similarity import similar_top, similarity_join  # noqa: F401  both joins of names are had from here
 from claimwright.plans.registry import CANDIDATE_COSINE, CANDIDATE_TOP, CANDIDATE_TOP_ACROSS, CANDIDATE_TRIGRAM
 
 
@@ -69,8 +69,8 @@ def candidates(
     """
     q = queries.withColumnRenamed("norm_key", "l")
     e = entities.withColumnRenamed("norm_key", "r")
-    near = similarity_join(q, e, least)
-    met = q.join(near, "l").join(e.select("r", "entity_table", "entity_id"), "r").select("query_id", "entity_table", "entity_id", (F.col("l") == F.col("r")).alias("norm_match"), "score")
+    near = similar_top(q, e.select(F.col("entity_table").alias("group"), F.col("entity_id").alias("item_id"), "r"), top, least)
+    met = q.join(near, "l").select("query_id", F.col("group").alias("entity_table"), F.col("item_id").alias("entity_id"), "norm_match", "score")
     if vectors:
         by_vector = cosine_groups(q.select("query_id", "embedding"), e.select(F.col("entity_table").alias("group"), F.col("entity_id").alias("item_id"), "embedding"), top, least_cosine)
         met = met.unionByName(by_vector.select("query_id", F.col("group").alias("entity_table"), F.col("item_id").alias("entity_id"), F.lit(False).alias("norm_match"), "score"))

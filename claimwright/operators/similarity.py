@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +37,77 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = CANDIDATE_
     return scored.filter(F.col("score") >= least).select("l", "r", "score")
 
 
+#: Keys asked for at once, and the scores that one step holds.
+QUERIES_PER_BLOCK = 4096
+SCORES_AT_ONCE = 1 << 21
+
+
+def _grams(key: str) -> set[str]:
+    padded = f"  {key} "
+    return {padded[i : i + 3] for i in range(len(key) + 1)}
+
+
+def similar_top(queries: DataFrame, items: DataFrame, top: int, least: float) -> DataFrame:
+    """(l, group, item_id, norm_match, score): per key l and group every item that may be among the `top` most similar ones of `least` or more; exact.
+
+    queries: l; items: group, item_id, r, where an item may have several keys and counts
+    by its best.  Equal keys go first, then the score, then the id.  Names that are alike
+    by the thousand make as many pairs, so pairs are not rows here: a batch of items is
+    counted against a block of keys within a task and hands on each key's first items.
+    """
+    asked = queries.filter("l <> ''").select("l").distinct()
+    kinds = [items.schema[n].dataType.simpleString() for n in ("group", "item_id")]
+    schema = f"l string, group {kinds[0]}, item_id {kinds[1]}, norm_match boolean, score double"
+
+    def met(block: list[str]) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, held = {k: i for i, k in enumerate(block)}, {}
+            for i, key in enumerate(block):
+                for gram in _grams(key):
+                    held.setdefault(gram, []).append(i)
+            held = {g: np.array(v) for g, v in held.items()}
+            sizes = np.array([len(_grams(k)) for k in block])
+            for batch in batches:
+                group, item = (pc.rank(batch.column(n), tiebreaker="dense", null_placement="at_start").to_numpy() for n in ("group", "item_id"))
+                keys, rows, parts = batch.column("r").to_pylist(), max(64, SCORES_AT_ONCE // len(block)), []
+                for start in range(0, len(keys), rows):
+                    both, own = np.zeros((min(rows, len(keys) - start), len(block)), np.int32), []
+                    equal = np.full(len(both), -1)
+                    for n, key in enumerate(keys[start : start + rows]):
+                        grams = _grams(key)
+                        own.append(len(grams))
+                        equal[n] = place.get(key, -1)
+                        for gram in grams & held.keys():
+                            both[n, held[gram]] += 1
+                    score = both / (np.array(own)[:, None] + sizes - both)
+                    at, query = np.nonzero((score >= least) | (np.arange(len(block)) == equal[:, None]))
+                    parts.append(first(query, at + start, equal[at] == query, score[at, query], group, item))
+                if parts:
+                    query, at, same, score = first(*(np.concatenate(x) for x in zip(*parts, strict=True)), group, item)
+                    which = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([block[q] for q in query], pa.string()), batch.column("group").take(which), batch.column("item_id").take(which), pa.array(same), pa.array(score)], names=["l", "group", "item_id", "norm_match", "score"])
+
+        def first(query: np.ndarray, at: np.ndarray, same: np.ndarray, score: np.ndarray, group: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The best key of each item, then the first `top` items of each query and group."""
+            order = np.lexsort((item[at], -score, ~same, group[at], query))
+            query, at, same, score = query[order], at[order], same[order], score[order]
+            _, best = np.unique(np.stack([query, group[at], item[at]]), axis=1, return_index=True)
+            best.sort()
+            query, at, same, score = query[best], at[best], same[best], score[best]
+            heads = np.flatnonzero(np.r_[True, (np.diff(query) != 0) | (np.diff(group[at]) != 0)]) if len(at) else np.zeros(0, int)
+            kept = np.arange(len(at)) - np.repeat(heads, np.diff(np.r_[heads, len(at)])) < top
+            return query[kept], at[kept], same[kept], score[kept]
+
+        return spread.mapInArrow(work, schema)
+
+    # few bytes are much work here
+    spread = items.filter("r <> ''").select("group", "item_id", "r").repartition(items.sparkSession.sparkContext.defaultParallelism)
+    number = max(1, -(-asked.count() // QUERIES_PER_BLOCK))
+    blocks = [[r.l for r in asked.filter(F.pmod(F.xxhash64("l"), F.lit(number)) == k).collect()] for k in range(number)]
+    blocks = [b for b in blocks if b]
+    return reduce(DataFrame.union, [met(b) for b in blocks]) if blocks else queries.sparkSession.createDataFrame([], schema)
+
+
 def _inner(key: str) -> Column:
     """The distinct trigrams within a key."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 2), lambda i: F.substr(key, i, F.lit(3))))

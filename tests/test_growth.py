@@ -82,3 +82,20 @@ def test_nearest_over_slices_of_a_batch(spark):
 def test_sketches_are_not_kept_for_each_value(spark, tiny):
     plan = __spark_entry__.queries()["approx_distinct"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "approx_count_distinct" in plan and not re.search(r"keys=\[[^\]]*l_partkey[^\]]*\], functions=\[[^\]]*approx_count_distinct", plan)
+
+
+def test_candidates_among_names_that_are_all_alike(spark):
+    """Of 24 million pairs nearly all are similar; the first ones of each query and type are those of comparing all."""
+    keys = [f"thelargering{k}" for k in range(12_000)]
+    known = spark.createDataFrame([("product" if k % 3 else "part", k, key) for k, key in enumerate(keys)], "entity_table string, entity_id long, norm_key string")
+    asked = spark.createDataFrame([(k, f"thelargering{k * 5}") for k in range(2000)], "query_id long, norm_key string")
+    began = time.perf_counter()
+    rows = entities.candidates(asked, known, top=3).collect()
+    assert time.perf_counter() - began < 90 and len(rows) == 2000 * 2 * 3
+    grams = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}
+    for q in (0, 3, 1111, 1999):
+        mine = f"thelargering{q * 5}"
+        score = lambda k: len(grams(mine) & grams(keys[k])) / len(grams(mine) | grams(keys[k]))  # noqa: B023, E731
+        for kind, ids in (("product", [k for k in range(12_000) if k % 3]), ("part", range(0, 12_000, 3))):
+            want = sorted(ids, key=lambda k: (keys[k] != mine, -score(k), k))[:3]  # noqa: B023
+            assert [(r.entity_id, r.norm_match) for r in sorted((r for r in rows if (r.query_id, r.entity_table) == (q, kind)), key=lambda r: r["rank"])] == [(k, keys[k] == mine) for k in want]

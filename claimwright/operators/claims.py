@@ -181,6 +181,12 @@ class Machine:
         self.active[document] = 1
         self.values[_slot(value)] = self.values.get(_slot(value), 0) + 1
 
+    def reactivate(self) -> None:
+        """What is kept beside the rows, from the rows."""
+        for document, (value, confidence, status, _, _) in self.rows.items():
+            if status == "active":
+                self._activate(document, value, confidence)
+
     def _retire(self, status: str, group: int | None) -> None:
         """No claim is active any more."""
         for document in list(self.active):

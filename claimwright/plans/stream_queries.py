@@ -100,6 +100,6 @@ def claims_edge_attributes(t):
 
 @_query(_fold_sql(_CLAIMS_SQL) + "SELECT entity_id, column_name, document_id, seq, outcome, value AS canonical_value FROM m WHERE rn > 0")
 def stream_claims_fold(t):
-    """What became of each claim as it arrived, with a row of state a document."""
+    """What became of each claim as it arrived, with the machines of some tens of keys an entry of state."""
     found = _streamed(_claims(t).drop("ts"), "seq", streaming.fold_stream)
     return found.select("entity_id", "column_name", "document_id", "seq", "outcome", "canonical_value")

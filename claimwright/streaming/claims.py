@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, MutableMapping
+import json
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,78 +14,124 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from claimwright.operators.claims import KEY, Machine
 
 UPDATES = "entity_table string, entity_id long, column_name string, document_id long, seq long, outcome string, canonical_value string, canonical_changed boolean"
-#: The store that keeps a key's maps entry by entry.
+#: The store that keeps a map entry by entry.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Stored(MutableMapping):
-    """A map state as a mapping; an entry that is set is the only one written."""
+#: Groups of the fold, and entries of state in each.  A call and its Arrow batches serve a group's keys, a read and a write of state an entry's; both are fixed for a checkpoint.
+GROUPS, ENTRIES = 1024, 64
+#: Documents of a key that lie in its entry; later ones lie in pages of as many.
+PAGE = 64
+#: Rows of a frame that is handed back.
+MOST_ROWS = 10_000
 
-    def __init__(self, state):
-        self.state = state
 
-    def __getitem__(self, key):
-        if not self.state.containsKey((key,)):
-            raise KeyError(key)
-        found = self.state.getValue((key,))
-        return list(found) if len(found) > 1 else found[0]
+class _Noted(dict):
+    """A key's claims by document, with the documents whose claims were set."""
 
-    def __setitem__(self, key, value):
-        self.state.updateValue((key,), tuple(value) if isinstance(value, list) else (value,))
+    def __init__(self, rows: dict[int, list]):
+        super().__init__(rows)
+        self.changed: set[int] = set()
 
-    def __delitem__(self, key):
-        self.state.removeKey((key,))
-
-    def __iter__(self):
-        return iter([k[0] for k in self.state.keys()])
-
-    def __len__(self):
-        # whether there is any is all that is asked
-        return 0 if next(iter(self.state.keys()), None) is None else 1
-
-    def items(self):
-        return [(k[0], list(v)) for k, v in self.state.iterator()]
-
-    def clear(self):
-        self.state.clear()
+    def __setitem__(self, document: int, row: list) -> None:
+        super().__setitem__(document, row)
+        self.changed.add(document)
 
 
 class ClaimFold(StatefulProcessor):
-    """The machine of each (entity, column) over map states: a claim rewrites its own entry, and those that it changes."""
+    """The machines of a group's (entity, column) keys over a map state.
+
+    A call to the state costs far more than a claim, so an entry holds the keys of one
+    hash, some tens where there are millions of keys, and is read and written once a
+    micro-batch that speaks of any of them.  A key's documents beyond the first page lie
+    in pages of their own, in order of arrival, and only changed ones are written.
+    """
 
-    def __init__(self, delta: float):
-        self.delta = delta
+    def __init__(self, delta: float, page: int = PAGE):
+        self.delta, self.page = delta, page
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getMapState("rows", "document long", "value string, confidence double, status string, conflict int, arrival long")
-        self.active = handle.getMapState("active", "document long", "n long")
-        self.values = handle.getMapState("values", "value string", "n long")
-        self.summary = handle.getValueState("summary", "value string, conflicts int, arrivals long, best double")
+        self.state = handle.getMapState("entries", "name string", "content string")
+
+    def read(self, name: str) -> list:
+        found = self.state.getValue((name,))
+        return [] if found is None else json.loads(found[0])
+
+    def write(self, name: str, content: list) -> None:
+        self.state.updateValue((name,), (json.dumps(content),))
+
+    def machine(self, key: tuple, value: str | None, groups: int, arrivals: int, rows: list[list]) -> Machine:
+        """The machine of a key as the last micro-batch left it, with its first page of claims."""
+        rows = rows + [r for n in range(1, -(-arrivals // self.page)) for r in self.read(_page(key, n))]
+        machine = Machine(self.delta, rows=_Noted({document: row for document, *row in rows}))
+        machine.value, machine.groups, machine.arrivals = value, groups, arrivals
+        machine.reactivate()
+        return machine
+
+    def kept(self, key: tuple, machine: Machine) -> tuple:
+        """What the key's entry is to hold; its later pages are written where a claim has changed."""
+        pages: dict[int, list] = {n: [] for n in {0} | {self.page_of(machine.rows[d]) for d in machine.rows.changed}}
+        for document, row in machine.rows.items():
+            if (n := self.page_of(row)) in pages:
+                pages[n].append([document, *row])
+        for n in pages.keys() - {0}:
+            self.write(_page(key, n), pages[n])
+        return machine.value, machine.groups, machine.arrivals, pages[0]
+
+    def page_of(self, row: list) -> int:
+        return (row[4] - 1) // self.page
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
-        machine = Machine(self.delta, rows=_Stored(self.rows), active=_Stored(self.active), values=_Stored(self.values))
-        if self.summary.exists():
-            machine.value, machine.groups, machine.arrivals, machine.best = self.summary.get()
-        out = []
-        for claim in pd.concat(list(rows)).sort_values("seq").itertuples():
-            before = machine.value
-            outcome = machine.add(int(claim.document_id), claim.value, claim.confidence)
-            out.append((*key, int(claim.document_id), int(claim.seq), outcome, machine.value, machine.value != before))
-        self.summary.update((machine.value, machine.groups, machine.arrivals, machine.best))
-        yield pd.DataFrame(out, columns=[*KEY, "document_id", "seq", "outcome", "canonical_value", "canonical_changed"])
+        entries: dict[int, dict[tuple, list]] = {}
+        for frame in rows:
+            for entry, table, entity, column, *claim in frame[["entry", *KEY, "seq", "document_id", "value", "confidence"]].itertuples(index=False, name=None):
+                mine = (table, None if entity is None or entity != entity else int(entity), column)  # a frame with nulls has floats
+                entries.setdefault(entry, {}).setdefault(mine, []).append(claim)
+        out: list[tuple] = []
+        for entry, spoken in entries.items():
+            held = {(table, entity, column): rest for table, entity, column, *rest in self.read(str(entry))}
+            changed = False
+            for mine, said in spoken.items():
+                machine = self.machine(mine, *held.get(mine, (None, 0, 0, [])))
+                said.sort(key=itemgetter(0))
+                for seq, document, value, confidence in said:
+                    before = machine.value
+                    outcome = machine.add(int(document), value, confidence)
+                    out.append((*mine, int(document), int(seq), outcome, machine.value, machine.value != before))
+                    if len(out) == MOST_ROWS:
+                        yield _updates(out)
+                        out = []
+                if machine.rows.changed:
+                    held[mine] = self.kept(mine, machine)
+                    changed = True
+            if changed:
+                self.write(str(entry), [(*mine, *rest) for mine, rest in held.items()])
+        yield _updates(out)
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(claims: DataFrame, delta: float = 0.1) -> DataFrame:
+def _page(key: tuple, n: int) -> str:
+    return json.dumps([*key, n])
+
+
+def _updates(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[*KEY, "document_id", "seq", "outcome", "canonical_value", "canonical_changed"])
+
+
+def fold_stream(claims: DataFrame, delta: float = 0.1, groups: int = GROUPS, entries: int = ENTRIES, page: int = PAGE) -> DataFrame:
     """What becomes of each arriving claim, with the machine of each (entity, column) as keyed state.
 
     The same machine as the batch fold; within a micro-batch a key's claims go in order
-    of seq, over micro-batches in order of arrival, which is the semantic order.  The
-    state is a row a document in the RocksDB store, which `into_table` turns on.
+    of seq, over micro-batches in order of arrival, which is the semantic order.  Keys
+    are dealt by hash over `groups` with `entries` of state each, in the RocksDB store,
+    which `into_table` turns on.  A claim rewrites its entry, so a store of far more keys
+    than these defaults' few millions wants more entries.
     """
-    return claims.groupBy(*KEY).transformWithStateInPandas(ClaimFold(delta), UPDATES, "Append", "None")
+    dealt = F.pmod(F.xxhash64(*KEY), F.lit(groups * entries))
+    rows = claims.select((dealt % groups).alias("group"), dealt.alias("entry"), *KEY, "document_id", "seq", "value", "confidence")
+    return rows.groupBy("group").transformWithStateInPandas(ClaimFold(delta, page), UPDATES, "Append", "None")
 
 
 def once_per_document(claims: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:

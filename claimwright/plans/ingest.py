@@ -68,6 +68,8 @@ def ingest(extractions: DataFrame, documents: DataFrame, known: DataFrame | None
     outcomes.  A name is looked up among its own document's entities, the type that the
     junction expects first.
     """
+    # a file of few bytes would be few tasks of much work; the joins are on this key anyway
+    extractions, documents = (d.repartition("document_id") for d in (extractions, documents))
     arrival = documents.select("document_id", "arrival")
     parsed = cut(extractions.withColumn("g", parse_payload("raw")).join(arrival, "document_id").select("document_id", "arrival", "g"))
     found = parsed.select("document_id", "arrival", F.posexplode("g.entities").alias("idx", "e")).select("document_id", "arrival", "idx", "e.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from claimwright.functions import confidence
-from claimwright.operators import entities, search
+from claimwright.operators import entities, search, similarity
 from claimwright.operators.textindex import TextIndex
 
 
@@ -99,3 +99,59 @@ def test_candidates_among_names_that_are_all_alike(spark):
         for kind, ids in (("product", [k for k in range(12_000) if k % 3]), ("part", range(0, 12_000, 3))):
             want = sorted(ids, key=lambda k: (keys[k] != mine, -score(k), k))[:3]  # noqa: B023
             assert [(r.entity_id, r.norm_match) for r in sorted((r for r in rows if (r.query_id, r.entity_table) == (q, kind)), key=lambda r: r["rank"])] == [(k, keys[k] == mine) for k in want]
+
+
+def test_candidates_by_classes_of_frequent_trigrams(spark, monkeypatch):
+    """Queries meet few of the pairs that are alike, and find what comparing all pairs finds: near and far names, several keys of an item, ties, null ids."""
+    for name, value in {"FEW_PAIRS": 0, "ENTRIES_PER_PLACE": 100, "QUERIES_PER_PLACE": 64, "LEAST_ENTRIES": 20}.items():
+        monkeypatch.setattr(similarity, name, value)
+    scored, nearest = spark.sparkContext.accumulator(0), similarity._nearest
+
+    def counting(entries, asked, top):
+        scored.add(len(entries) * len(asked))
+        return nearest(entries, asked, top)
+
+    monkeypatch.setattr(similarity, "_nearest", counting)
+    words = [a + b for a in ("large", "old", "hot", "red") for b in ("ring", "bolt", "anvil", "rod")]
+    rows = [(("product", "part", None)[k % 3 if k % 10 == 0 else 0], k if k % 97 else None, f"the{words[k * k % 16]}{k * 7}") for k in range(2400)]
+    rows += [("product", k, f"old{words[k % 5]}") for k in range(0, 600, 7)] + [("product", k, f"same{k % 3}") for k in range(60)] + [("place", k, x) for k, x in enumerate(("a", "ab", "aaaa", "aaaaaa", "x" * 900, "x" * 901 + "y", "日本電気", "日本電信", "😀x", ""))]
+    known = spark.createDataFrame(rows, "entity_table string, entity_id long, norm_key string")
+    keys = [r[2] for r in rows[::9]] + [f"the{words[k % 16]}{k * 31}" for k in range(300)] + ["aaaaa", "b", "same", "日本", "x" * 899, "theold", "", "nothing like it", "same1"]
+    asked = spark.createDataFrame(list(enumerate(keys)), "query_id long, norm_key string")
+    found = {}
+    for r in entities.candidates(asked, known).collect():
+        found.setdefault((r.query_id, r.entity_table), {})[r["rank"]] = (r.entity_id, r.norm_match, r.score)
+    grams = {x: {f"  {x} "[i : i + 3] for i in range(len(x) + 1)} for x in {*keys, *(r[2] for r in rows)}}
+    want = {}
+    for q, key in enumerate(keys):
+        best = {}
+        for kind, item, other in rows:
+            both = len(grams[key] & grams[other])
+            score = both / (len(grams[key]) + len(grams[other]) - both)
+            if key and other and score >= 0.3:
+                best[kind, item] = max(best.get((kind, item), (False, 0.0)), (key == other, score))
+        for kind in {k for k, _ in best}:
+            mine = sorted(((not same, -score, item is not None, item or 0, item) for (k, item), (same, score) in best.items() if k == kind), key=lambda x: x[:4])
+            want[q, kind] = {n + 1: (x[4], not x[0], round(-x[1], 4)) for n, x in enumerate(mine[:5])}
+    assert found == want
+    assert 0 < scored.value < len(rows) * len(set(keys)) * 0.7  # of places as small as these
+
+
+def test_candidates_of_many_names_of_few_stems(spark):
+    """All pairs would be 3.2 billion scores; nearly all are of 0.3 or more, and few are looked at."""
+    words = [a + b for a in ("large", "old", "hot", "red", "blue", "new", "cold", "small") for b in ("ring", "bolt", "anvil", "rod", "gear", "plate", "widget", "screw")]
+    keys = [f"the{words[k * 7919 % 1009 % 64]}{k}" for k in range(160_000)]
+    known = spark.createDataFrame(pa.table({"entity_table": ["product"] * len(keys), "entity_id": list(range(len(keys))), "norm_key": keys}))
+    asked = spark.createDataFrame(pa.table({"query_id": list(range(20_000)), "norm_key": [f"{keys[k * 8]}9" if k % 2 else keys[k * 8] for k in range(20_000)]}))
+    began = time.perf_counter()
+    found = entities.candidates(asked, known)
+    assert found.count() == 20_000 * 5
+    assert time.perf_counter() - began < 100
+    some = {q: [] for q in (0, 1, 9_998, 19_999)}
+    for r in found.filter(F.col("query_id").isin(*some)).orderBy("rank").collect():
+        some[r.query_id].append((r.entity_id, r.norm_match))
+    grams = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}
+    for q, got in some.items():
+        mine = grams(name := f"{keys[q * 8]}9" if q % 2 else keys[q * 8])
+        score = [len(mine & other) / len(mine | other) for other in map(grams, keys)]
+        assert got == [(k, keys[k] == name) for k in sorted(range(len(keys)), key=lambda k: (keys[k] != name, -score[k], k))[:5]]

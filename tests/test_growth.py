@@ -138,16 +138,16 @@ def test_candidates_by_classes_of_frequent_trigrams(spark, monkeypatch):
 
 
 def test_candidates_of_many_names_of_few_stems(spark):
-    """All pairs would be 3.2 billion scores; nearly all are of 0.3 or more, and few are looked at."""
+    """All pairs would be 9 billion scores, and few are looked at."""
     words = [a + b for a in ("large", "old", "hot", "red", "blue", "new", "cold", "small") for b in ("ring", "bolt", "anvil", "rod", "gear", "plate", "widget", "screw")]
-    keys = [f"the{words[k * 7919 % 1009 % 64]}{k}" for k in range(160_000)]
+    keys = [f"the{words[k * 7919 % 1009 % 64]}{k}" for k in range(300_000)]
     known = spark.createDataFrame(pa.table({"entity_table": ["product"] * len(keys), "entity_id": list(range(len(keys))), "norm_key": keys}))
-    asked = spark.createDataFrame(pa.table({"query_id": list(range(20_000)), "norm_key": [f"{keys[k * 8]}9" if k % 2 else keys[k * 8] for k in range(20_000)]}))
+    asked = spark.createDataFrame(pa.table({"query_id": list(range(30_000)), "norm_key": [f"{keys[k * 8]}9" if k % 2 else keys[k * 8] for k in range(30_000)]}))
     began = time.perf_counter()
     found = entities.candidates(asked, known)
-    assert found.count() == 20_000 * 5
+    assert found.count() == 30_000 * 5
     assert time.perf_counter() - began < 100
-    some = {q: [] for q in (0, 1, 9_998, 19_999)}
+    some = {q: [] for q in (0, 1, 9_998, 29_999)}
     for r in found.filter(F.col("query_id").isin(*some)).orderBy("rank").collect():
         some[r.query_id].append((r.entity_id, r.norm_match))
     grams = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}

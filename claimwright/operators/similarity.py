@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,24 +181,21 @@ def similar_top(queries: DataFrame, items: DataFrame, top: int, least: float) ->
     # of the items of one key only the first ones can be wanted
     place = F.row_number().over(Window.partitionBy("group", "r").orderBy("item_id"))
     known = cut(items.filter("r <> ''").select("group", "item_id", "r").distinct().withColumn("_n", place).filter(F.col("_n") <= top).drop("_n"))
-    number = known.count()
-    few = asked.count() * number <= FEW_PAIRS
-    if few:
-        asked, known = _marked(asked, "l", []), _marked(known, "r", [])
-    else:
-        grams = known.select("r").distinct().select(F.explode(trigrams("r")).alias("g")).groupBy("g").count()
-        grams = [r.g for r in grams.orderBy(F.desc("count"), "g").limit(MARKS[-1]).collect()]
-        spread = spark.sparkContext.defaultParallelism  # few bytes are much work here
-        asked, known = cut(_marked(asked.repartition(spread), "l", grams)), cut(_marked(known.repartition(spread), "r", grams))
+    number, characters = known.agg(F.count("*"), F.coalesce(F.sum(F.length("r")), F.lit(0))).first()
+    asking = asked.count()
+    if asking * number <= FEW_PAIRS:
+        return _of_few(asked, asking, known, max(1, -(-number // ENTRIES_PER_PLACE), -(-characters // CHARACTERS_PER_PLACE)), top, least)
+    grams = known.select("r").distinct().select(F.explode(trigrams("r")).alias("g")).groupBy("g").count()
+    grams = [r.g for r in grams.orderBy(F.desc("count"), "g").limit(MARKS[-1]).collect()]
+    spread = spark.sparkContext.defaultParallelism  # few bytes are much work here
+    asked, known = cut(_marked(asked.repartition(spread), "l", grams)), cut(_marked(known.repartition(spread), "r", grams))
     scale = lambda key: F.floor(F.log2(F.length(key) + 1)).cast("int")
     asked, known = asked.withColumn("scale", scale("l")), known.withColumn("scale", scale("r"))
-    marks = 0 if few else _marks(asked, known, max(1, min(MOST_CLASSES, number // LEAST_ENTRIES)))
+    marks = _marks(asked, known, max(1, min(MOST_CLASSES, number // LEAST_ENTRIES)))
     asked, known = (d.withColumn("pattern", F.filter("hits", lambda x: x < marks)).drop("hits") for d in (asked, known))
 
     classes = known.groupBy("group", "pattern", "scale").agg(F.count("*").alias("n"), F.sum(F.length("r")).alias("characters"), F.min("size").alias("low"), F.max("size").alias("high")).collect()
     patterns = asked.groupBy("pattern", "scale").agg(F.max("size").alias("high")).collect()
-    if not classes or not patterns:
-        return spark.createDataFrame([], f"l string, group {items.schema['group'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, norm_match boolean, score double")
     chunks = [max(-(-r.n // ENTRIES_PER_PLACE), -(-r.characters // CHARACTERS_PER_PLACE)) for r in classes]
     pairs = spark.createDataFrame(_pairs(patterns, classes, chunks, least))
     kind = known.schema["group"].dataType.simpleString()
@@ -209,9 +206,6 @@ def similar_top(queries: DataFrame, items: DataFrame, top: int, least: float) ->
     asked = asked.join(F.broadcast(listed), ["pattern", "scale"]).select("l", "size", "p", "marked")
 
     at_home = F.pmod(F.xxhash64("l"), "chunks").cast("int")
-    if few:
-        everywhere = asked.join(F.broadcast(pairs), "p").select("l", "g", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(least).alias("bound"))
-        return _asked_of(everywhere, known, top).drop("g")
     first = cut(_asked_of(asked.join(F.broadcast(pairs.filter("home")), "p").select("l", "g", "c", at_home.alias("chunk"), F.lit(least).alias("bound")), known, top))
     bounds = first.groupBy("l", "g").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == top)
     bounds = bounds.groupBy("l").agg(F.map_from_entries(F.collect_list(F.struct("g", "score"))).alias("bounds"))
@@ -224,6 +218,22 @@ def similar_top(queries: DataFrame, items: DataFrame, top: int, least: float) ->
     return first.union(_asked_of(further, known, top)).drop("g")
 
 
+def _of_few(asked: DataFrame, asking: int, known: DataFrame, chunks: int, top: int, least: float) -> DataFrame:
+    """What `similar_top` gives, every query asked of every chunk: a step without classes, which costs more than it saves where pairs are few."""
+    blocks = max(1, -(-4 * asking // QUERIES_PER_PLACE))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    entries = known.withColumn("chunk", F.pmod(F.xxhash64("r"), F.lit(chunks)).cast("int")).withColumn("block", numbers(blocks))
+    asked = asked.select("l", F.lit(0).alias("g"), F.lit(least).alias("bound"), F.pmod(F.hash("l"), F.lit(blocks)).alias("block")).withColumn("chunk", numbers(chunks))
+
+    def work(entries: pa.Table, asked: pa.Table) -> pa.Table:
+        # a type and length at a time: rows of trigrams are as wide as the longest
+        kind = pc.rank(entries.column("group").combine_chunks(), tiebreaker="dense", null_placement="at_start").to_numpy().astype(np.int64)
+        kind = kind << 6 | np.log2(pc.utf8_length(entries.column("r")).to_numpy() + 1).astype(np.int64)
+        return pa.concat_tables([_nearest(entries.filter(pa.array(kind == k)), asked, top) for k in np.unique(kind)] or [_nearest(entries, asked, top)])
+
+    return _cogrouped(entries, asked, ["chunk", "block"], work).drop("g")
+
+
 def _marks(asked: DataFrame, known: DataFrame, most: int) -> int:
     """How many of the frequent trigrams mark classes, so that there are at most about `most` on either side."""
     counts = [
@@ -267,17 +277,20 @@ def _pairs(patterns: list, classes: list, chunks: list[int], least: float) -> pa
 def _asked_of(ship: DataFrame, known: DataFrame, top: int) -> DataFrame:
     """What `_nearest` finds for queries (l, g, c, chunk, bound) among the entries (c, chunk, group, item_id, r) of their chunk, in tasks of bounded size."""
     spark, ship = known.sparkSession, cut(ship)
-    kinds = [known.schema[n].dataType.simpleString() for n in ("group", "item_id")]
-    schema = f"l string, g int, group {kinds[0]}, item_id {kinds[1]}, norm_match boolean, score double"
     counts = ship.groupBy("c", "chunk").count().collect()
     blocks = [-(-r["count"] // QUERIES_PER_PLACE) for r in counts]
     starts = np.cumsum([0, *blocks]).tolist()
     places = F.broadcast(spark.createDataFrame([(r.c, r.chunk, s, b) for r, s, b in zip(counts, starts, blocks)], "c int, chunk int, start int, blocks int"))  # noqa: B905
     entries = known.join(places, ["c", "chunk"]).select(F.explode(F.sequence("start", F.col("start") + F.col("blocks") - 1)).alias("place"), "group", "item_id", "r")
     asked = ship.join(places, ["c", "chunk"]).select((F.col("start") + F.pmod(F.hash("l"), "blocks")).alias("place"), "l", "g", "bound")
-    tasks = 4 * spark.sparkContext.defaultParallelism  # few bytes are much work here
-    left, right = (d.repartition(tasks, "place").groupBy("place") for d in (entries, asked))
-    return left.cogroup(right).applyInArrow(lambda e, a: _nearest(e, a, top), schema)
+    return _cogrouped(entries, asked, ["place"], lambda e, a: _nearest(e, a, top))
+
+
+def _cogrouped(entries: DataFrame, asked: DataFrame, keys: list[str], work: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    kinds = [entries.schema[n].dataType.simpleString() for n in ("group", "item_id")]
+    tasks = 4 * entries.sparkSession.sparkContext.defaultParallelism  # few bytes are much work here
+    left, right = (d.repartition(tasks, *keys).groupBy(*keys) for d in (entries, asked))
+    return left.cogroup(right).applyInArrow(work, f"l string, g int, group {kinds[0]}, item_id {kinds[1]}, norm_match boolean, score double")
 
 
 def _inner(key: str) -> Column:

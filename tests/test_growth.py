@@ -7,6 +7,7 @@ import time
 
 import __spark_entry__
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from claimwright.functions import confidence
@@ -101,9 +102,10 @@ def test_candidates_among_names_that_are_all_alike(spark):
             assert [(r.entity_id, r.norm_match) for r in sorted((r for r in rows if (r.query_id, r.entity_table) == (q, kind)), key=lambda r: r["rank"])] == [(k, keys[k] == mine) for k in want]
 
 
-def test_candidates_by_classes_of_frequent_trigrams(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1 << 28])
+def test_candidates_by_classes_of_frequent_trigrams(spark, monkeypatch, few):
     """Queries meet few of the pairs that are alike, and find what comparing all pairs finds: near and far names, several keys of an item, ties, null ids."""
-    for name, value in {"FEW_PAIRS": 0, "ENTRIES_PER_PLACE": 100, "QUERIES_PER_PLACE": 64, "LEAST_ENTRIES": 20}.items():
+    for name, value in {"FEW_PAIRS": few, "ENTRIES_PER_PLACE": 100, "QUERIES_PER_PLACE": 64, "LEAST_ENTRIES": 20}.items():
         monkeypatch.setattr(similarity, name, value)
     scored, nearest = spark.sparkContext.accumulator(0), similarity._nearest
 
@@ -134,7 +136,7 @@ def test_candidates_by_classes_of_frequent_trigrams(spark, monkeypatch):
             mine = sorted(((not same, -score, item is not None, item or 0, item) for (k, item), (same, score) in best.items() if k == kind), key=lambda x: x[:4])
             want[q, kind] = {n + 1: (x[4], not x[0], round(-x[1], 4)) for n, x in enumerate(mine[:5])}
     assert found == want
-    assert 0 < scored.value < len(rows) * len(set(keys)) * 0.7  # of places as small as these
+    assert few or 0 < scored.value < len(rows) * len(set(keys)) * 0.7  # of places as small as these
 
 
 def test_candidates_of_many_names_of_few_stems(spark):
